@@ -108,20 +108,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return state.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def with_columns(docs: DataFrame, work: Callable[[dict[str, pa.Array], list[bytes]], dict], schema: str, *, text_col: str = "text", uses: tuple[str, ...] = ()) -> DataFrame:
-    """All columns of ``docs`` and those that ``work(columns, texts)`` computes from each text and the columns ``uses``.
+def with_columns(docs: DataFrame, work: Callable[[dict[str, pa.Array], list[bytes]], dict], schema: str, *, text_col: str = "text", uses: tuple[str, ...] = (), keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, if None) and those that ``work(columns, texts)`` computes from each text and the columns ``uses``.
 
     No shuffle and no join. A column of ``docs`` that bears a computed column's name is replaced.
     """
     added = [f.strip().split(" ")[0] for f in schema.split(",")]
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    old = [c for c in docs.columns if c not in added and (keep is None or c in keep)]
+    base = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*old, *uses, text_col])])
     place = {c: base.columns.index(c) for c in (*uses, text_col)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
                 got = pa.RecordBatch.from_pydict(work({c: part.column(place[c]) for c in uses}, as_bytes(part.column(place[text_col]))))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(got.column(got.schema.get_field_index(c)) for c in added)], names=[*base.columns, *added])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(old)], *(got.column(got.schema.get_field_index(c)) for c in added)], names=[*old, *added])
 
-    old = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{old}, {schema}")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[: len(old)])
+    return base.mapInArrow(run, f"{kinds}, {schema}" if old else schema)

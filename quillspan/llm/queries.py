@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, sharding
+from . import media, packing, quality_rules, sharding, simhash
 from .common import documents
 
 
@@ -26,10 +26,21 @@ def op4_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op9_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir), keep=["doc_id"])
+
+
 QUERIES = {
     "op2_media_columns": op2_media_columns,
     "op3_external_shuffle": op3_external_shuffle,
     "op4_ffd_packing": op4_ffd_packing,
+    "op8_simhash_pivots": op8_simhash_pivots,
+    "op9_perplexity_rules": op9_perplexity_rules,
 }
 
 ORACLES: dict[str, str] = {}
