@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, quality_rules, sharding, simhash
-from .common import documents
+from . import bradley_terry, media, packing, quality_rules, sharding, simhash
+from .common import documents, id_crc
+
+
+def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = bradley_terry.classify(documents(spark, sf_dir), labels, keep=["doc_id"], learn=bradley_terry.learnable())
+    return found.select("doc_id", (F.pmod(id_crc("doc_id"), F.lit(5)) == 0).alias("held_out"), "score", "predicted")
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +42,7 @@ def op9_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bradley_terry": op1_bradley_terry,
     "op2_media_columns": op2_media_columns,
     "op3_external_shuffle": op3_external_shuffle,
     "op4_ffd_packing": op4_ffd_packing,
