@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A slice of an Arrow batch that is worked on at once holds about so many bytes of text.
 SLICE_BYTES = 8 << 20
@@ -113,7 +114,7 @@ def with_columns(docs: DataFrame, work: Callable[[dict[str, pa.Array], list[byte
 
     No shuffle and no join. A column of ``docs`` that bears a computed column's name is replaced.
     """
-    added = [f.strip().split(" ")[0] for f in schema.split(",")]
+    added = [f.name for f in StructType.fromDDL(schema)]
     old = [c for c in docs.columns if c not in added and (keep is None or c in keep)]
     base = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*old, *uses, text_col])])
     place = {c: base.columns.index(c) for c in (*uses, text_col)}
