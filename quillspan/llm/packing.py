@@ -29,7 +29,9 @@ SEED = 404
 #: Added after each document.
 END_ID = 1
 #: Words whose ids a worker remembers; it forgets them all beyond that.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 1_200_000
+#: Bytes of text whose unknown words are encoded together.
+LEARN_BYTES = 1 << 20
 TAIL = b".,;:!?%$&*#\"')("
 
 
@@ -58,10 +60,14 @@ class WordTokenizer:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
+        new = words.difference(self.memo)
+        if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
+            new = words
+        if not new:
+            return
         memo, cut, todo = self.memo, [], set()
-        for w in words:
+        for w in new:
             core = w.rstrip(TAIL)
             if len(core) < len(w) and core and (97 <= core[-1] <= 122 or core[-1] >= 128):
                 # a run of punctuation at the end of a word is a token run of its own
@@ -90,20 +96,27 @@ class WordTokenizer:
         for w, core, tail in cut:
             memo[w] = memo[core] + memo[tail]
 
+    def _run(self, texts: list[bytes]) -> list[bytes]:
+        split = [text.lower().split() for text in texts]
+        self._learn(set().union(*split))
+        look = self.memo.__getitem__
+        return [b"".join(map(look, words)) for words in split]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        out = []
+        out: list[bytes] = []
+        run: list[bytes] = []
+        size = 0
         for text in texts:
-            if b"<|" in text:
+            special = b"<|" in text
+            if run and (special or size + len(text) > LEARN_BYTES):
+                out += self._run(run)
+                run, size = [], 0
+            if special:
                 out += self._encode([text.decode("utf-8")])
-                continue
-            words = text.lower().split()
-            new = set(words).difference(self.memo)
-            if new:
-                self._learn(new)
-                if not all(w in self.memo for w in words):  # the memo was emptied meanwhile
-                    self._learn(set(words))
-            out.append(b"".join(map(self.memo.__getitem__, words)))
-        return out
+            else:
+                run.append(text)
+                size += len(text)
+        return out + self._run(run)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
