@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bradley_terry, media, packing, quality_rules, sharding, simhash
+from . import bradley_terry, media, packing, pii, quality_rules, sentencepiece_sampling, sharding, simhash, url_filters
 from .common import documents, id_crc
 
 
@@ -32,6 +32,60 @@ def op4_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(documents(spark, sf_dir), keep=["doc_id"])
+    kinds = F.array_join(F.transform("findings", lambda x: x["kind"]), ",")
+    return found.select("doc_id", "text", F.size("findings").alias("n_found"), kinds.alias("kinds"))
+
+
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures: the fetch hour is spread over 2024 by the page's id."""
+    hours = F.expr("make_dt_interval(0, cast((page_id * 7919) % 8760 as int), 0, 0)")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", (F.lit("2024-01-01").cast("timestamp") + hours).alias("fetched_at"))
+
+
+def _list_entries(captures: DataFrame) -> DataFrame:
+    """Four dated entries for every host and parent domain (of two labels or more) of the pages."""
+    hosts = captures.select(url_filters.host_of(F.col("url")).alias("host")).distinct().filter("host <> ''")
+    domains = hosts.select(F.explode(url_filters.suffixes(F.col("host"))).alias("s")).filter("s.level > 1").select("s.domain").distinct()
+    day = F.expr("(length(domain) * 37 + ascii(substr(domain, 1, 1)) * 11 + ascii(substr(domain, 3, 1)) * 5 + k * 97) % 365")
+    action = F.expr("element_at(array('block', 'block', 'allow', 'remove'), cast((length(domain) + ascii(substr(domain, 2, 1)) + k) % 4 + 1 as int))")
+    return domains.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("domain", action.alias("action"), F.date_add(F.lit("2024-01-01").cast("date"), day.cast("int")).alias("listed_at"))
+
+
+def op7_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = _captures(spark, sf_dir)
+    found = url_filters.temporal_join(captures, _list_entries(captures))
+    return found.select("page_id", "host", "action", "matched_domain", F.date_format("listed_at", "yyyy-MM-dd").alias("listed_on"), "blocked")
+
+
+OP7_SQL = r"""
+WITH captures AS (
+  SELECT page_id, TIMESTAMP '2024-01-01' + to_hours(CAST((page_id * 7919) % 8760 AS INTEGER)) AS t,
+         coalesce(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '') AS host
+  FROM pages),
+parts AS (
+  SELECT DISTINCT host, level, array_to_string(list_slice(labels, len(labels) - level + 1, len(labels)), '.') AS domain
+  FROM (SELECT host, labels, unnest(range(1, len(labels) + 1)) AS level
+        FROM (SELECT DISTINCT host, string_split(host, '.') AS labels FROM captures WHERE host <> ''))),
+numbered AS (
+  SELECT domain, k, (length(domain) * 37 + ascii(substr(domain, 1, 1)) * 11 + ascii(substr(domain, 3, 1)) * 5 + k * 97) % 365 AS day,
+         (length(domain) + ascii(substr(domain, 2, 1)) + k) % 4 AS a
+  FROM (SELECT DISTINCT domain FROM parts WHERE level > 1), range(4) AS r(k)),
+entries AS (
+  SELECT domain, DATE '2024-01-01' + CAST(day AS INTEGER) AS listed_on, max(CASE WHEN a < 2 THEN 3 WHEN a = 2 THEN 2 ELSE 1 END) AS rank
+  FROM numbered GROUP BY ALL),
+latest AS (
+  SELECT c.page_id, c.host, p.level, p.domain, max(e.listed_on) AS listed_on, arg_max(e.rank, e.listed_on) AS rank
+  FROM captures c JOIN parts p USING (host) JOIN entries e ON e.domain = p.domain AND e.listed_on <= c.t GROUP BY ALL),
+best AS (
+  SELECT page_id, max(level) AS level FROM latest WHERE rank > 1 GROUP BY page_id)
+SELECT c.page_id, c.host, CASE l.rank WHEN 3 THEN 'block' WHEN 2 THEN 'allow' ELSE 'none' END AS action,
+       l.domain AS matched_domain, strftime(l.listed_on, '%Y-%m-%d') AS listed_on, coalesce(l.rank, 0) = 3 AS blocked
+FROM captures c LEFT JOIN best b USING (page_id) LEFT JOIN latest l ON l.page_id = b.page_id AND l.level = b.level
+"""
+
+
 def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -41,13 +95,20 @@ def op9_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir), keep=["doc_id"])
 
 
+def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sampling.encode(documents(spark, sf_dir), with_ids=False, check=True)
+
+
 QUERIES = {
     "op1_bradley_terry": op1_bradley_terry,
     "op2_media_columns": op2_media_columns,
     "op3_external_shuffle": op3_external_shuffle,
     "op4_ffd_packing": op4_ffd_packing,
+    "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
+    "op7_temporal_lists": op7_temporal_lists,
     "op8_simhash_pivots": op8_simhash_pivots,
     "op9_perplexity_rules": op9_perplexity_rules,
+    "op10_sampled_pieces": op10_sampled_pieces,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_temporal_lists": OP7_SQL}
