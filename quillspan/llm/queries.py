@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bradley_terry, media, packing, pii, quality_rules, sentencepiece_sampling, sharding, simhash, url_filters
+from . import bradley_terry, deleted_interpolation, media, packing, pii, quality_rules, sentencepiece_sampling, sharding, simhash, url_filters
 from .common import documents, id_crc
 
 
@@ -38,6 +38,10 @@ def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("findings").alias("n_found"), kinds.alias("kinds"))
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.score(documents(spark, sf_dir))
+
+
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as captures: the fetch hour is spread over 2024 by the page's id."""
     hours = F.expr("make_dt_interval(0, cast((page_id * 7919) % 8760 as int), 0, 0)")
@@ -105,6 +109,7 @@ QUERIES = {
     "op3_external_shuffle": op3_external_shuffle,
     "op4_ffd_packing": op4_ffd_packing,
     "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
+    "op6_deleted_interpolation": op6_deleted_interpolation,
     "op7_temporal_lists": op7_temporal_lists,
     "op8_simhash_pivots": op8_simhash_pivots,
     "op9_perplexity_rules": op9_perplexity_rules,
