@@ -25,7 +25,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, map_texts, written
@@ -117,3 +117,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"))
     classes = rooted.join(lowest, "root", "left").select("fp", F.coalesce("lowest", "low").alias("component"))
     return prints.join(classes, "fp", "left").select(F.col("id").alias(id_col), "fp", "component")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """``docs`` without near-duplicates: of each class the document with the smallest id stays, once.
+
+    Rows without an id can't be told apart by the links and all stay.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, bucket=bucket)
+    extra = found.filter(F.col(id_col) != F.col("component")).select(id_col).distinct()
+    left = docs.join(extra, id_col, "left_anti").select(docs.columns)
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    return left.withColumn("__nth", nth).filter((F.col("__nth") == 1) | F.col(id_col).isNull()).drop("__nth")
