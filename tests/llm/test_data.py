@@ -296,7 +296,7 @@ def test_sampled_pieces_are_lossless(docs, no_docs, rows):
     assert all(r.lossless for r in found)
     same = defaultdict(set)
     for r in found:
-        same[r.doc_id if r.doc_id is not None else r.n_pieces].add(r.ids_crc32)
+        same[r.doc_id, r.doc_id is None and r.n_pieces].add(r.ids_crc32)
     assert {len(x) for x in same.values()} == {1}
     other = {r.doc_id: r.ids_crc32 for r in sentencepiece_sampling.encode(docs.repartition(7)).collect()}
     assert all(other[r.doc_id] == r.ids_crc32 for r in found if r.doc_id is not None)  # in any partitioning
