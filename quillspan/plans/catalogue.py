@@ -1,21 +1,398 @@
-"""Registered queries over the given tables, with their oracle SQL."""
+"""Registered queries over the given tables, with their oracle SQL where SQL can express them.
+
+Vectors of ``embeddings`` form a corpus for each label, documents one for each source, conversations one for each id.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.functions import text as T
 from quillspan.functions import vec
+from quillspan.operators import admit, chunk, cluster, embed, evaluate, project, vectors
+from quillspan.sources.shared import written
+from quillspan.streaming import notes
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(corpus_id, id, seq, embedding): a corpus for each label."""
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("corpus_id"), F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), "embedding")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("corpus_id"), F.col("doc_id").alias("note_id"), F.col("doc_id").alias("seq"), "text")
+
+
+COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
+@query(f"""
+WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round({COSINE}, 9) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
+SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
 def rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors to each of vectors 0, 1 and 2."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", vec.as_double("embedding").alias("embedding"))
-    wanted = vectors.filter("vec_id in (0, 1, 2)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = vectors.crossJoin(F.broadcast(wanted)).select("query_id", "vec_id", F.round(vec.cosine("q", "embedding"), 9).alias("s"))
-    by = Window.partitionBy("query_id").orderBy(F.col("s").desc(), F.col("vec_id"))
-    return scored.withColumn("rank", F.row_number().over(by)).filter("rank <= 10").select("query_id", "vec_id", "rank")
+    """The ten nearest vectors to every hundredth one."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.rank(asked, e, 10, item_id="vec_id")
 
 
-QUERIES = {"rank_topk": rank_topk}
-ORACLES: dict[str, str] = {}
+@query()
+def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five chunks of all documents nearest to each benchmark passage, with their notes."""
+    docs = _documents(spark, sf_dir)
+    chunks = written(embed.embed(chunk.chunk_notes(docs)), "chunks")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), embed.embedding("text").alias("embedding"))
+    ranked = vectors.rank(asked, chunks, 5, item_id="chunk_id")
+    return vectors.with_context(ranked, chunks, docs).select("query_id", "rank", "chunk_id", "note_id", "chunk_text", F.length("note_text").alias("note_length"))
+
+
+@query("""
+SELECT label, i, round(avg(x), 6) AS value FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL""")
+def centroid_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.centroids(table(spark, sf_dir, "embeddings"), by="label")
+    return found.select("label", F.posexplode("embedding").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("value"))
+
+
+PAIRS = f"SELECT a.label, a.vec_id AS a, b.vec_id AS b, round({COSINE}, 9) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id"
+
+
+@query(f"""
+WITH p AS ({PAIRS}), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, a, b) AS rank, count(*) OVER (PARTITION BY label) AS n FROM p)
+SELECT label, a, b, round(similarity, 6) AS similarity, rank, greatest(n - 10, 0) AS remainder FROM r WHERE rank <= 10""")
+def pairs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.top_pairs(_vectors(spark, sf_dir), 10)
+    return found.select(F.col("corpus_id").alias("label"), "a", "b", F.round("similarity", 6).alias("similarity"), "rank", "remainder")
+
+
+@query(f"""
+WITH p AS ({PAIRS}), c AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY similarity) - 1 AS below, count(*) OVER (PARTITION BY label, similarity) AS equal, count(*) OVER (PARTITION BY label) AS total FROM p)
+SELECT label, a, b, CASE WHEN total >= 10 THEN round((below + 0.5 * equal) / total * 100, 6) END AS percentile FROM c""")
+def pair_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.pair_percentiles(vectors.all_pairs(_vectors(spark, sf_dir), digits=9))
+    return found.select(F.col("corpus_id").alias("label"), "a", "b", F.round("percentile", 6).alias("percentile"))
+
+
+@query(f"""
+WITH p AS ({PAIRS}), v AS (SELECT DISTINCT label, x AS value FROM embeddings, (VALUES (-0.5::DOUBLE), (0.0), (0.1), (0.5), (2.0)) t(x))
+SELECT label, value, CASE WHEN count(p.a) >= 10 THEN round((count(*) FILTER (p.similarity < value) + 0.5 * count(*) FILTER (p.similarity = value)) / count(p.a) * 100, 6) END AS percentile
+FROM v LEFT JOIN p USING (label) GROUP BY ALL""")
+def percentile_of_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _vectors(spark, sf_dir)
+    asked = items.select("corpus_id").distinct().select("corpus_id", F.explode(F.array(*map(F.lit, (-0.5, 0.0, 0.1, 0.5, 2.0)))).alias("similarity"))
+    found = vectors.percentile_of(asked, vectors.all_pairs(items, digits=9))
+    return found.select(F.col("corpus_id").alias("label"), F.col("similarity").alias("value"), F.round("percentile", 6).alias("percentile"))
+
+
+@query(f"""
+WITH m AS (SELECT a.label, a.vec_id, avg({COSINE}) AS mean FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL HAVING count(*) >= 2)
+SELECT label, vec_id, round(mean, 6) AS mean_similarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(mean, 12), vec_id) AS r FROM m) WHERE r = 1""")
+def outlier_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.outlier(_vectors(spark, sf_dir))
+    return found.select(F.col("corpus_id").alias("label"), F.col("id").alias("vec_id"), F.round("mean_similarity", 6).alias("mean_similarity"))
+
+
+@query("""
+SELECT label, count(*) AS n, greatest(0, 3 - count(*)) AS outlier_needed, greatest(0, 5 - count(*)) AS percentile_needed, greatest(0, 15 - count(*)) AS cluster_needed FROM embeddings GROUP BY label""")
+def floor_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admit.floor_status(_vectors(spark, sf_dir)).withColumnRenamed("corpus_id", "label")
+
+
+@query("""
+SELECT round(sum(v * n), 4) AS total_variance FROM (SELECT i, var_pop(x) AS v, count(*) AS n FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i)""")
+def total_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project.total_variance(table(spark, sf_dir, "embeddings")).select(F.round("total_variance", 4).alias("total_variance"))
+
+
+@query()
+def pca_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as chunks and their labels' centroids as notes on one pair of axes, in pixels."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("note_id"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding", F.lit(False).alias("truncated"))
+    points, basis = project.map_points(e, vectors.centroids(e))
+    drawn = project.to_pixels(points, project.viewport_fit(points))
+    return drawn.select("kind", "note_id", "chunk_id", "px", "py", F.lit(basis.percent).alias("percent"))
+
+
+@query()
+def map_instability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the points of all labels but the largest move when that one is added."""
+    e = _vectors(spark, sf_dir)
+    top = e.agg(F.max("corpus_id")).first()[0]
+    return project.instability(e.filter(F.col("corpus_id") != top).select("id", "embedding"), e.filter(F.col("corpus_id") == top).select("id", "embedding"))
+
+
+@query("""
+WITH p AS (SELECT label, vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), f AS (SELECT label, 260 / coalesce(nullif(max(greatest(abs(x), abs(y))), 0), 1) AS s FROM p GROUP BY label)
+SELECT label, vec_id, round(300 + x * s, 6) AS px, round(300 - y * s, 6) AS py FROM p JOIN f USING (label)""")
+def viewport_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two dimensions as a map for each label."""
+    points = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    drawn = project.to_pixels(points, project.viewport_fit(points, by="label"), by="label")
+    return drawn.select("label", "vec_id", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
+
+
+@query()
+def cluster_upgma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters within each label."""
+    return cluster.cluster(_vectors(spark, sf_dir))
+
+
+@query()
+def cluster_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as one corpus, clustered in rounds and held against their labels."""
+    e = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("corpus_id"), F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), "embedding", "label")
+    found = cluster.cluster_rounds(e, threshold=0.6)
+    return cluster.purity(found, e)
+
+
+@query()
+def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.cut_sweep(_vectors(spark, sf_dir), [0.3, 0.6, 0.82, 0.85, 0.88, 0.95])
+
+
+SQL_KEY = r"regexp_replace(nfc_normalize(text), '^[\s\p{Z}\x{FEFF}\x0B]+|[\s\p{Z}\x{FEFF}\x0B]+$', '', 'g')"
+
+
+@query(f"""
+WITH k AS (SELECT source, doc_id, {SQL_KEY} AS key FROM documents)
+SELECT source, min(doc_id) AS doc_id FROM k WHERE key <> '' GROUP BY source, key""")
+def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admit.first_of_each(_documents(spark, sf_dir)).select(F.col("corpus_id").alias("source"), F.col("note_id").alias("doc_id"))
+
+
+@query("SELECT doc_id, length_grapheme(text) AS n FROM documents")
+def grapheme_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.graphemes("text")).cast("long").alias("n"))
+
+
+@query(rf"""
+WITH RECURSIVE k AS (SELECT source, doc_id, {SQL_KEY} AS key FROM documents),
+o AS (SELECT source, doc_id, key, length(key) + len(regexp_extract_all(key, '[\x{{10000}}-\x{{10FFFF}}]')) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM k),
+f AS (
+  SELECT source, 0::BIGINT AS i, 0::BIGINT AS doc_id, '' AS status, NULL::VARCHAR AS reason, []::VARCHAR[] AS keys, 0::BIGINT AS chars FROM (SELECT DISTINCT source FROM o)
+  UNION ALL
+  SELECT source, i, doc_id, status, CASE WHEN status = 'capped' THEN CASE WHEN len(keys) + 1 > 20 THEN 'notes' ELSE 'characters' END END,
+         CASE WHEN status = 'added' THEN list_append(keys, key) ELSE keys END, CASE WHEN status = 'added' THEN chars + size ELSE chars END
+  FROM (SELECT o.*, f.keys, f.chars, CASE WHEN o.key = '' THEN 'empty' WHEN list_contains(f.keys, o.key) THEN 'duplicate' WHEN len(f.keys) + 1 > 20 OR f.chars + o.size > 30000 THEN 'capped' ELSE 'added' END AS status
+        FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1))
+SELECT source, doc_id, status, reason FROM f WHERE i > 0""")
+def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source in order, under budgets of 20 notes and 30,000 characters."""
+    found = admit.admit(_documents(spark, sf_dir), max_notes=20, max_characters=30_000)
+    return found.select(F.col("corpus_id").alias("source"), F.col("seq").alias("doc_id"), "status", "reason")
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE text <> ''")
+def chunk_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a ceiling chunks are a partition of the text."""
+    chunks = chunk.chunk_notes(_documents(spark, sf_dir), hard_ceiling=1 << 30)
+    return chunk.reconstructed(chunks).select(F.col("note_id").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query()
+def chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.note_summary(chunk.chunk_notes(_documents(spark, sf_dir)))
+
+
+@query()
+def segmentation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.segmentation_counts(_documents(spark, sf_dir).select("note_id", "text"), counter="graphemes", max_tokens=400, hard_ceiling=800)
+
+
+@query()
+def grapheme_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which chunk holds every five-hundredth grapheme of each document."""
+    docs = _documents(spark, sf_dir)
+    chunks = chunk.chunk_notes(docs, hard_ceiling=1 << 30)
+    points = docs.select("note_id", F.explode(F.sequence(F.lit(0), F.size(T.graphemes("text")), F.lit(500))).alias("i"))
+    return chunk.owner_of_grapheme(points, chunks).select("note_id", "i", "chunk_id")
+
+
+SQL_TRIM = r"regexp_replace(text, '^[\s\p{Z}\x{FEFF}\x0B]+|[\s\p{Z}\x{FEFF}\x0B]+$', '', 'g')"
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, {SQL_TRIM} AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) > 70 THEN regexp_replace(substr(t, 1, 70), '[\s\p{{Z}}\x{{FEFF}}\x0B]+$', '') || '…' ELSE t END AS preview FROM t""")
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.preview("text").alias("preview"))
+
+
+@query("SELECT doc_id, item_id, substr(d.text, instr(d.text, b.text), 200) AS snippet FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)")
+def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.leak_scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+PHRASES = ("worthless", "idiot", "released under the mit license", "all rights reserved", "api_key")
+
+
+@query(f"SELECT doc_id, phrase FROM documents, (SELECT unnest({list(PHRASES)!r}) AS phrase) WHERE contains(lower(text), phrase)")
+def banned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = spark.createDataFrame([(p,) for p in PHRASES], "phrase string")
+    return evaluate.banned_words(table(spark, sf_dir, "documents"), phrases)
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '[.!?]') AS ascii_marks, regexp_matches(text, '\s') AS has_space, regexp_matches(text, '[\r\n]') AS has_newline FROM documents")
+def data_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.data_flags(table(spark, sf_dir, "documents")).select("doc_id", "ascii_marks", "has_space", "has_newline")
+
+
+def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector with the next of its label and the first of the next label."""
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", vec.as_double("embedding").alias("v"))
+    after = F.lead("vec_id").over(vectors.Window.partitionBy("label").orderBy("vec_id"))
+    first = e.groupBy("label").agg(F.min_by("v", "vec_id").alias("n")).select((F.col("label") - 1).alias("label"), "n")
+    other = e.select(F.col("vec_id").alias("after"), F.col("v").alias("p"))
+    met = e.withColumn("after", after).join(other, "after").join(first, "label")
+    return met.select("label", "vec_id", vec.cosine("v", "p").alias("cos_positive"), vec.cosine("v", "n").alias("cos_negative"))
+
+
+SQL_TRIPLES = """
+WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings),
+f AS (SELECT label - 1 AS label, arg_min(v, vec_id) AS n FROM e GROUP BY label),
+t AS (SELECT a.label, a.vec_id, list_cosine_similarity(a.v, p.v) AS cp, list_cosine_similarity(a.v, f.n) AS cn FROM e a JOIN e p ON p.vec_id = a.nxt JOIN f ON f.label = a.label)"""
+
+
+@query(f"{SQL_TRIPLES} SELECT count(*) AS n, count(*) FILTER (cp > cn) AS n_pass, round(avg(cp - cn), 6) AS mean_gap, round(min(cp - cn), 6) AS min_margin, count(*) FILTER (cp > cn) = count(*) AND avg(cp - cn) >= 0.1 AS passed FROM t")
+def triple_discriminability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate.triple_discriminability(_triples(spark, sf_dir))
+    return found.select("n", "n_pass", F.round("mean_gap", 6).alias("mean_gap"), F.round("min_margin", 6).alias("min_margin"), "passed")
+
+
+@query(f"{SQL_TRIPLES} SELECT vec_id AS id, round(cp, 6) AS measured, round(cn, 6) AS pinned, round(abs(cp - cn), 6) AS drift, abs(cp - cn) <= 0.05 AS ok FROM t")
+def drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs' cosines (to the label's next vector, to the next label's first) held against each other."""
+    t = _triples(spark, sf_dir)
+    found = evaluate.drift(t.select(F.col("vec_id").alias("id"), F.col("cos_positive").alias("value")), t.select(F.col("vec_id").alias("id"), F.col("cos_negative").alias("value")), epsilon=0.05)
+    return found.select("id", *[F.round(c, 6).alias(c) for c in ("measured", "pinned", "drift")], "ok")
+
+
+SQL_COVERAGE = """
+WITH claims AS (SELECT DISTINCT lang AS bcp47, upper(lang) AS name, lang IN ('es', 'fr') AS special FROM documents WHERE lang IS NOT NULL),
+verdicts AS (SELECT lang AS bcp47, avg(quality) >= 0.84 AS passed, count(*)::VARCHAR || ' labels' AS evidence FROM documents JOIN labels USING (doc_id) WHERE lang <> 'es' GROUP BY lang),
+c AS (SELECT bcp47, name, special, CASE WHEN NOT special THEN CASE WHEN bcp47 = 'en' THEN 'verified' ELSE 'unverified' END WHEN passed IS NULL THEN 'unverified' WHEN passed THEN 'verified' ELSE 'not-supported' END AS status, evidence FROM claims LEFT JOIN verdicts USING (bcp47))"""
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    claims = docs.filter("lang is not null").select(F.col("lang").alias("bcp47")).distinct().select("bcp47", F.upper("bcp47").alias("name"), F.lit(None).cast("string").alias("note"), F.col("bcp47").isin("es", "fr").alias("special"))
+    measured = docs.filter("lang <> 'es'").join(labels, "doc_id").groupBy(F.col("lang").alias("bcp47"))
+    verdicts = measured.agg((F.avg("quality") >= 0.84).alias("passed"), F.concat(F.count("*").cast("string"), F.lit(" labels")).alias("evidence")).withColumn("note", F.lit(None).cast("string"))
+    return evaluate.coverage(claims, verdicts)
+
+
+@query(f"{SQL_COVERAGE} SELECT bcp47, name, status, evidence FROM c")
+def coverage_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coverage(spark, sf_dir).select("bcp47", "name", "status", "evidence")
+
+
+@query(f"""{SQL_COVERAGE} SELECT 'Tuned for roughly ' || count(*) FILTER (NOT special) || ' languages, tested to date in ' || coalesce(string_agg(name, ', ' ORDER BY bcp47) FILTER (status = 'verified'), 'none yet')
+  || '; other languages may work with reduced accuracy or may not be usable at all.' AS sentence FROM c""")
+def coverage_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.coverage_sentence(_coverage(spark, sf_dir))
+
+
+@query("SELECT conv_id, role, arg_max(text, turn) AS text, max(turn) AS turn, min(turn) AS first_seen FROM conversations GROUP BY conv_id, role")
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last message of each role in a conversation."""
+    events = table(spark, sf_dir, "conversations").withColumn("op", F.lit("edit"))
+    return admit.latest_state(events, keys=["conv_id", "role"], order="turn").drop("op")
+
+
+@query(rf"""
+WITH k AS (SELECT conv_id, turn, {SQL_KEY} AS key FROM conversations)
+SELECT conv_id, turn, CASE WHEN key = '' THEN 'empty' WHEN row_number() OVER (PARTITION BY conv_id, key ORDER BY turn) > 1 THEN 'duplicate' ELSE 'added' END AS status FROM k""")
+def conversation_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of each conversation by turn; budgets are out of reach here."""
+    events = table(spark, sf_dir, "conversations").withColumn("note_id", F.concat_ws("-", "conv_id", "turn"))
+    found = admit.admit(events, corpus="conv_id", order="turn", max_notes=1 << 30, max_characters=1 << 40)
+    return found.select("conv_id", "turn", "status")
+
+
+@query(f"SELECT conv_id, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE {SQL_KEY.replace('text', 'd.text')} = {SQL_KEY.replace('text', 'c.text')} AND {SQL_KEY.replace('text', 'd.text')} <> '')")
+def not_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that are no document's text."""
+    return admit.not_present(table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents")).select("conv_id", "turn")
+
+
+@query("SELECT source, count(*) AS n_notes, sum(length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::BIGINT AS n_characters FROM documents GROUP BY source")
+def session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admit.session_totals(_documents(spark, sf_dir)).withColumnRenamed("corpus_id", "source")
+
+
+@query("SELECT DISTINCT d.doc_id FROM documents d WHERE sha256(d.text || chr(0) || 'words' || chr(0) || 'hash-ngram-64') NOT IN (SELECT sha256(x.text || chr(0) || 'words' || chr(0) || 'hash-ngram-64') FROM documents x JOIN labels USING (doc_id))")
+def embedding_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to embed when those with labels are in the cache."""
+    docs = table(spark, sf_dir, "documents")
+    known = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    cache = known.select(embed.cache_key("text", F.lit(embed.HASHING)).alias("cache_key"))
+    return embed.to_embed(docs, cache).select("doc_id")
+
+
+@query("""
+WITH f AS (SELECT user_id, min(ts) FILTER (event_type = 'click') AS t FROM events GROUP BY user_id)
+SELECT user_id, count(*) FILTER (ts >= t) AS n FROM events JOIN f USING (user_id) GROUP BY user_id""")
+def count_since_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.since_baseline(table(spark, sf_dir, "events"), by="user_id", time="ts", kind="event_type", ready="click")
+
+
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n, max(ts) = arg_max(ts, ts) AS settled FROM b GROUP BY user_id, burst""")
+def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of each user's events, parted by half an hour of quiet."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = notes.debounce(events, by="user_id", time="ts", value="value", gap="30 minutes")
+    return found.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "n", (F.col("settled") > F.col("started")).alias("settled"))
+
+
+@query("SELECT user_id, count(*) AS n FROM (SELECT user_id FROM events WHERE event_type = 'click' UNION ALL SELECT user_id FROM events WHERE event_type <> 'click') GROUP BY user_id")
+def request_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return evaluate.request_counts(events.filter("event_type = 'click'"), events.filter("event_type <> 'click'"), by="user_id")
+
+
+@query()
+def encoding_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in three other encodings against itself."""
+    return evaluate.encoding_invariance(_documents(spark, sf_dir).select("note_id", "text"))
+
+
+@query()
+def similar_pairs_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate: pairs of all vectors at a cosine of 0.5 or more."""
+    return vectors.similar_pairs_lsh(_vectors(spark, sf_dir), min_similarity=0.5)
+
+
+@query()
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several checks over the tables as one report."""
+    docs, e = _documents(spark, sf_dir), _vectors(spark, sf_dir)
+    whole = chunk.reconstructed(chunk.chunk_notes(docs, hard_ceiling=1 << 30)).join(docs.select("note_id", F.col("text").alias("want")), "note_id")
+    one, other = (project.project_onto(rows, project.fit(rows)) for rows in (e, e.repartition(7, F.xxhash64("id"))))
+    return evaluate.report(
+        [
+            evaluate.check("chunks-partition", whole, F.col("text") == F.col("want"), F.col("note_id")),
+            evaluate.check("order-invariance", evaluate.order_invariance(one, other), F.col("ok")),
+            evaluate.check("discriminability", evaluate.triple_discriminability(_triples(spark, sf_dir)), F.col("mean_gap") > 0, F.col("mean_gap")),
+            evaluate.check("nothing-to-check", docs.limit(0), F.lit(True)),
+        ]
+    )
