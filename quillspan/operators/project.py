@@ -39,9 +39,9 @@ def seed_direction(d: int) -> np.ndarray:
 def fit(vectors: DataFrame, *, vector: str = "embedding") -> Basis | None:
     """The basis of all vectors: covariance summed up over the executors, a small eigenproblem on the driver. None without rows."""
     rows = vectors.select(array_to_vector(vec.as_double(vector)).alias("v"))
-    found = rows.agg(F.count("*").alias("n"), Summarizer.mean(F.col("v")).alias("m"), Summarizer.variance(F.col("v")).alias("s")).first()
-    if not found.n:
+    if rows.isEmpty():
         return None
+    found = rows.agg(F.count("*").alias("n"), Summarizer.mean(F.col("v")).alias("m"), Summarizer.variance(F.col("v")).alias("s")).first()
     mean = found.m.toArray()
     d = len(mean)
     if found.n == 1 or found.s.toArray().sum() <= 1e-18:

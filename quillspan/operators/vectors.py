@@ -43,7 +43,7 @@ def rank(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "quer
     out = None
     for start in range(0, max(total, 1), QUERY_BLOCK):
         part = wanted.offset(start).limit(QUERY_BLOCK).collect()
-        names, q = [r[0] for r in part], _unit_rows(np.array([r.v for r in part], float).reshape(len(part), -1))
+        names, q = [r[0] for r in part], _unit_rows(np.array([r.v for r in part], float).reshape(len(part), len(part[0].v) if part else 0))
 
         def best(frames: Iterator[pd.DataFrame], names=names, q=q) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -146,10 +146,12 @@ def percentile_of(values: DataFrame, pairs: DataFrame, *, corpus: str = "corpus_
     return seen.select(corpus, F.col("at").alias(value), F.when(F.col("total") >= floor, (F.col("below") + 0.5 * F.col("equal")) / F.col("total") * 100).alias("percentile"))
 
 
-def approximate_percentile_of(values: DataFrame, pairs: DataFrame, *, value: str = "similarity") -> DataFrame:
-    """The same for one corpus from a KLL sketch: one pass, a few kilobytes."""
-    sketch = pairs.agg(F.kll_sketch_agg_double(value).alias("k"))
-    return values.crossJoin(F.broadcast(sketch)).select(value, (F.kll_sketch_get_rank_double("k", F.col(value)) * 100).alias("percentile"))
+def approximate_percentile_of(values: DataFrame, pairs: DataFrame, *, value: str = "similarity", steps: int = 1000) -> DataFrame:
+    """The same for one corpus from a KLL sketch's ``steps`` quantiles: one pass, a few kilobytes."""
+    at = F.array(*[F.lit((i + 0.5) / steps) for i in range(steps)])
+    sketch = pairs.agg(F.kll_sketch_agg_double(value).alias("k")).select(F.kll_sketch_get_quantile_double("k", at).alias("q"))
+    below = F.size(F.filter("q", lambda x: x < F.col(value))) + 0.5 * F.size(F.filter("q", lambda x: x == F.col(value)))
+    return values.crossJoin(F.broadcast(sketch)).select(value, (below / steps * 100).alias("percentile"))
 
 
 def mean_similarities(items: DataFrame, *, corpus: str = "corpus_id", item_id: str = "id", vector: str = "embedding", floor: int = MIN_OUTLIER) -> DataFrame:
