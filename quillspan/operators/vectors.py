@@ -51,12 +51,14 @@ def rank(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "quer
                     continue
                 ids = frame["id"].to_numpy()
                 scores = np.round(_unit_rows(np.stack(frame["v"].to_numpy()).astype(float)) @ q.T, digits)
-                for j, name in enumerate(names):
-                    s = scores[:, j]
-                    edge = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                    near = np.flatnonzero(s >= edge)
-                    top = near[np.lexsort((ids[near], -s[near]))][:k]
-                    yield pd.DataFrame({"q": [name] * len(top), "id": ids[top], "s": s[top]})
+                edge = np.partition(scores, -k, axis=0)[-k] if len(ids) > k else np.full(len(names), -np.inf)
+                item, asked = np.nonzero(scores >= edge)  # a few more than k where scores tie
+                order = np.lexsort((ids[item], -scores[item, asked], asked))
+                item, asked = item[order], asked[order]
+                first = np.searchsorted(asked, np.arange(len(names)))
+                top = np.arange(len(asked)) - first[asked] < k
+                item, asked = item[top], asked[top]
+                yield pd.DataFrame({"q": [names[j] for j in asked], "id": ids[item], "s": scores[item, asked]})
 
         items = corpus.select(F.col(item_id).alias("id"), vec.as_double(vector).alias("v"))
         kind = dict(queries.select(F.col(query_id).alias("q")).dtypes)["q"]
@@ -183,5 +185,11 @@ def similar_pairs_lsh(items: DataFrame, *, item_id: str = "id", vector: str = "e
     return near.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1 - F.col("d") * F.col("d") / 2).alias("similarity"))
 
 
+def pair_texts(pairs: DataFrame, notes: DataFrame, *, item_id: str = "id") -> DataFrame:
+    """Pairs with both notes' texts; a pair whose note is missing goes."""
+    text = lambda side: notes.select(F.col(item_id).alias(side), F.col("text").alias(f"text_{side}"))
+    return pairs.join(text("a"), "a").join(text("b"), "b")
+
+
 def similarity(items: DataFrame, a: Column, b: Column) -> DataFrame:
     return items.withColumn("similarity", vec.cosine(a, b))

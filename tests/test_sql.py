@@ -1,0 +1,18 @@
+from quillspan import sql
+from quillspan.operators import admit, vectors
+
+
+def test_table_function_and_views(spark):
+    notes = spark.createDataFrame([(1, "One two. Three four. Five six. Seven."), (2, ""), (3, None)], "id int, text string")
+    sql.register(spark, notes=notes)
+    got = spark.sql("SELECT id, c.* FROM notes, LATERAL chunk_note(text, 80, 3, 128) c ORDER BY id, ord").collect()
+    assert [(r.id, r.ord, r.text, r.token_count) for r in got] == [(1, 0, "One two. Three four. Five six. ", 6), (1, 1, "Seven.", 1)]
+    assert spark.sql("SELECT count_tokens(' a b ') AS n").first().n == 2
+    assert spark.table("models").first().dim == 64
+
+
+def test_small_relations(spark):
+    notes = spark.createDataFrame([(1, "a", "sample", 0), (2, "b", None, 1)], "id int, text string, source string, seq int")
+    pairs = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.4)], "a int, b int, similarity double")
+    assert [(r.text_a, r.text_b) for r in vectors.pair_texts(pairs, notes).collect()] == [("a", "b")]
+    assert [r.id for r in admit.without_samples(notes).collect()] == [2] and [r.id for r in admit.first_k(notes, 1).collect()] == [1]
