@@ -35,12 +35,12 @@ PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}(?![\w-]))"
     r"|(?P<secret>\b(?:api[_ -]?key|secret|token|passw(?:or)?d|access[_ -]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_-]{16,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))"
-    r"|(?P<ymd>(?<![\d/.-])\d{4}([-/.])\d{2}\6\d{2}(?![\d/-]))"
-    r"|(?P<dmy>(?<![\d/.-])\d{2}([-/.])\d{2}\8\d{4}(?![\d/-]))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<![\d.])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([ .-])\d{3}\11\d{4})(?!\d|-\d))"
-    r"|(?P<card>(?<![\d.-])(?:\d{4}([ -])\d{4}\13\d{4}\13\d{4}|\d{4}([ -])\d{6}\14\d{5}|\d{13,19})(?![\d-]))",
+    r"|(?P<ip>(?<!\d)(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))"
+    r"|(?P<ymd>(?<!\d)(?<!\d[/.-])\d{4}([-/.])\d{2}\6\d{2}(?![\d/-]))"
+    r"|(?P<dmy>(?<!\d)(?<!\d[/.-])\d{2}([-/.])\d{2}\8\d{4}(?![\d/-]))"
+    r"|(?P<ssn>(?<!\d)(?<!\d-)\d{3}-\d{2}-\d{4}(?![\d-]))"
+    r"|(?P<phone>(?<!\d)(?<!\d[.-])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([ .-])\d{3}\11\d{4})(?!\d|-\d))"
+    r"|(?P<card>(?<!\d)(?<!\d[.-])(?:\d{4}([ -])\d{4}\13\d{4}\13\d{4}|\d{4}([ -])\d{6}\14\d{5}|\d{13,19})(?![\d-]))",
     re.IGNORECASE,
 )
 MAYBE = re.compile(rb"[0-9@]|(?i:key|secret|token|passw)")
