@@ -179,6 +179,13 @@ def test_cluster_floor_names_and_topics(spark):
     assert len(steps) == 14 and steps[-1].size == 15 and all(a.height <= b.height + 1e-9 for a, b in zip(steps, steps[1:]))
     sweep = {r.threshold: r.n_clusters for r in cluster.cut_sweep(table(spark, m), [0.0, 0.3, 10.0]).collect()}
     assert sweep == {0.0: 15, 0.3: 3, 10.0: 1}
+    assert {r.threshold: r.n_clusters for r in cluster.cut_sweep(table(spark, m), [0.0, 0.3, 10.0], exact_max=5).collect()} == sweep
+
+
+def test_exact_clusters_refuse_what_a_task_cannot_hold(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "EXACT_MAX", 10)
+    with pytest.raises(Exception, match="by rounds"):
+        cluster.cluster_exact(table(spark, blobs())).collect()
 
 
 def test_ties_go_by_position():
