@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -75,8 +75,8 @@ def debounce(events: DataFrame, *, by: str, time: str, value: str, gap: str = "3
 
 def since_baseline(events: DataFrame, *, by: str, time: str, kind: str, ready: str) -> DataFrame:
     """(by, n): events from each key's first ``ready`` event on; keys without one count 0."""
-    first = F.min(F.when(F.col(kind) == ready, F.col(time))).over(Window.partitionBy(by))
-    return events.withColumn("__first", first).groupBy(by).agg(F.count_if(F.col(time) >= F.col("__first")).alias("n"))
+    first = events.filter(F.col(kind) == ready).groupBy(by).agg(F.min(time).alias("__first"))
+    return events.select(by, time).join(first, by, "left").groupBy(by).agg(F.count_if(F.coalesce(F.col(time) >= F.col("__first"), F.lit(False))).alias("n"))
 
 
 class _Baseline(StatefulProcessor):
