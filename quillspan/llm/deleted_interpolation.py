@@ -38,8 +38,8 @@ from .common import as_bytes, id_crc, slices, written
 #: A document's part is crc32(id as text) mod 7: 2 is never learned from, 3 is the deleted part, the rest is always counted.
 PARTS, HELD_OUT, DELETED = 7, 2, 3
 COUNTED, DELETED_KIND, UNSEEN = 0, 1, 2
-BLOCK_TOKENS = 3_000_000
-RANGE_KEYS = 1_500_000
+BLOCK_TOKENS = 1_500_000
+RANGE_KEYS = 1_000_000
 ROUNDS = 60
 #: Steps of the logarithms (base 2) by which deleted events are gathered for the weights.
 STEPS, LAST_STEP = 4, 127
