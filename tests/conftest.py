@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 def spark():
     from quillspan.session import local_session
 
-    session = local_session("8")
+    session = local_session("8", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
