@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Time buckets between the first and the last capture.
 BUCKETS = 64
 #: From weak to strong, for entries of one domain and date.
@@ -52,7 +54,7 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 def time_lines(hosts: DataFrame, entries: DataFrame) -> DataFrame:
     """(host, valid_from, valid_to, matched_domain, listed_at, action): each host's intervals, most specific entry first."""
     parts = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("s")).select("host", "s.level", "s.domain")
-    events = parts.join(dated(entries), "domain").select("host", "level", "domain", "listed_at", "action")
+    events = written(parts.join(dated(entries), "domain").select("host", "level", "domain", "listed_at", "action"), "events")
     turns = events.select("host", F.col("listed_at").alias("at")).distinct()
     levels = events.select("host", "level", "domain").distinct()
     seen = F.struct("listed_at", "action")
@@ -76,7 +78,8 @@ def temporal_join(captures: DataFrame, entries: DataFrame, *, url_col: str = "ur
     width = (last - first) // BUCKETS + 1
     bucket = lambda t: F.floor((t - F.lit(first)) / F.lit(width))
 
-    lines = time_lines(keyed.select("host").distinct().filter("host <> ''"), entries)
+    # hosts and their events are written once: three steps read them, and captures are not scanned again for each
+    lines = time_lines(written(keyed.select("host").distinct().filter("host <> ''"), "hosts"), entries)
     spans = lines.filter("action is not null").select("*", F.unix_micros("valid_from").alias("lo"), F.coalesce(F.unix_micros("valid_to"), F.lit(last + 1)).alias("hi")).filter((F.col("lo") <= last) & (F.col("hi") > first))
     cut = spans.select("host", "matched_domain", "listed_at", "action", "lo", "hi", F.explode(F.sequence(bucket(F.greatest("lo", F.lit(first))), bucket(F.least("hi", F.lit(last))))).alias("b"))
     x, y = keyed.withColumn("b", bucket(F.col("t"))).alias("x"), cut.alias("y")
