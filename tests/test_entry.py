@@ -27,16 +27,19 @@ def test_query(spark, sf_dir, name):
         assert sorted(([r[i] for i in at] for r in rows), key=repr) == sorted(map(list, want.fetchall()), key=repr)
 
 
-def test_entry_works_without_the_training_data_subpackage(tmp_path):
+@pytest.mark.parametrize("left", ["nothing", "an empty folder", "the pipeline"])
+def test_entry_works_without_the_training_data_subpackage(tmp_path, left):
     root = Path(__file__).resolve().parent.parent
     for p in root.iterdir():
-        if p.name not in ("quillspan", "corpus_pipeline.py", ".git", "tests"):
+        if p.name not in ("quillspan", ".git", "tests") and (p.name != "corpus_pipeline.py" or left == "the pipeline"):
             (tmp_path / p.name).symlink_to(p)
     (tmp_path / "quillspan").mkdir()
     for p in (root / "quillspan").iterdir():
         if p.name != "llm":
             (tmp_path / "quillspan" / p.name).symlink_to(p)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'rank_topk' in q and not any(n.startswith('op') for n in q) and e.oracle_sql()"
+    if left == "an empty folder":
+        (tmp_path / "quillspan/llm/__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'rank_topk' in q and not any(n.startswith(('op', 'pipeline')) for n in q) and e.oracle_sql()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
 
 
