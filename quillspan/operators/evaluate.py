@@ -16,6 +16,8 @@ from quillspan.operators.embed import embedding
 from quillspan.operators.vectors import centroids
 
 EPSILON = 0.02
+#: Short passages that one broadcast holds.
+SHORT_BLOCK = 10_000
 
 
 def drift(measured: DataFrame, pinned: DataFrame, *, by: str = "id", value: str = "value", epsilon: float = EPSILON) -> DataFrame:
@@ -98,7 +100,7 @@ def leak_scan(documents: DataFrame, passages: DataFrame, *, doc_id: str = "doc_i
 
     A passage of enough words has, inside it, a run of ``words`` whole words; documents that hold the passage hold that
     run. Both sides join on the run's hash, and ``contains`` verifies. Shorter passages are compared with every
-    document, in a broadcast of at most 10,000.
+    document, in as many broadcasts of ``SHORT_BLOCK`` as it takes.
     """
     parts = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
     p = passages.select(F.col(passage_id).alias("__p"), F.col(text_col).alias("__passage")).filter("__passage <> ''").withColumn("w", parts(F.col("__passage")))
@@ -109,9 +111,11 @@ def leak_scan(documents: DataFrame, passages: DataFrame, *, doc_id: str = "doc_i
     runs = d.withColumn("w", parts(F.col("__text"))).filter(F.size("w") >= words).select("__d", F.explode(F.array_distinct(hashes)).alias("h"))
     pairs = runs.join(long, "h").select("__d", "__p", "__passage").distinct()
     found = d.join(pairs, "__d").filter(F.col("__text").contains(F.col("__passage")))
-    short = p.filter(F.size("w") < words + 2).select("__p", "__passage").limit(10_000)
-    also = d.join(F.broadcast(short), F.col("__text").contains(F.col("__passage"))).select("__d", "__text", "__p", "__passage")
-    all_ = found.select("__d", "__text", "__p", "__passage").unionByName(also)
+    short = p.filter(F.size("w") < words + 2).select("__p", "__passage").orderBy("__p", "__passage")
+    all_ = found.select("__d", "__text", "__p", "__passage")
+    for start in range(0, short.count(), SHORT_BLOCK):
+        part = F.broadcast(short.offset(start).limit(SHORT_BLOCK))
+        all_ = all_.unionByName(d.join(part, F.col("__text").contains(F.col("__passage"))).select("__d", "__text", "__p", "__passage"))
     return all_.select(F.col("__d").alias(doc_id), F.col("__p").alias(passage_id), F.substr("__text", F.instr("__text", F.col("__passage")), F.lit(200)).alias("snippet"))
 
 
