@@ -124,7 +124,11 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Rows without an id can't be told apart by the links and all stay.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, bucket=bucket)
+    return without_copies(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, bucket=bucket), id_col, text_col)
+
+
+def without_copies(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` whose id is its own component in ``found(id, component)``, each once, and rows without an id."""
     extra = found.filter(F.col(id_col) != F.col("component")).select(id_col).distinct()
     left = docs.join(extra, id_col, "left_anti").select(docs.columns)
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
