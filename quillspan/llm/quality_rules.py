@@ -2,11 +2,14 @@
 
 The model is an interpolated modified Kneser-Ney 4-gram model (Chen and Goodman, 1999) over the symbols of the text, one
 for each language: bytes fall into 32 classes, so a language has 32**4 n-grams at most, whatever the size of the corpus, and
-its model is small enough to broadcast. Spark counts the n-grams of all documents (each task adds up its own first). The
+its model is small enough to broadcast. Spark counts the n-grams of all distinct texts (each task adds up its own first). The
 model is kept as sorted arrays of n-gram hashes with their probabilities and back-off weights.
 
-A document's perplexity must lie in its language's band: the middle half of its language's documents, in log10 per
-symbol, widened on both sides by ``WIDTH`` times its own width. Below it lie texts that repeat themselves, above it noise.
+A document's perplexity must lie in its language's band: the middle half of its language's texts, in log10 per
+symbol, widened on both sides by ``WIDTH`` times its own width, and by ``LEAST`` at least. Below it lie texts that repeat
+themselves, above it noise. Texts with the same least hash of a five-word shingle weigh once: copies always share it, and
+near copies with a probability of their Jaccard similarity, so a large group of either can't narrow the band. The
+model counts such texts once too, else a group would look too predictable beside the others, or the others too rare.
 
 Defined cases: a null text has no words and fails the base rules; a null language is a language of its own; documents
 that fail the base rules don't shape the bands; a language with one document keeps it; an empty table gives no rows;
@@ -23,19 +26,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, with_columns, written
+from . import near_copies
+from .common import as_bytes, map_texts, slices, with_columns, written
 
 ORDER, BITS = 4, 5
 CLASSES = 1 << BITS
 FULL = 1 << (ORDER * BITS)
 MIN_WORDS, MOST_REPEATED = 50, 50
 WIDTH = 3.0
+#: A band reaches so far, at least, beyond its quartiles, however little its texts differ.
+LEAST = 0.025
 #: Steps in one unit of log perplexity, for its quartiles.
 STEPS = 10_000
 #: So many languages, the ones with most documents, have models of their own; all others share one.
 LANGUAGES = 64
 SYMBOLS = b"#*$%&|<>"
 FEATURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_perplexity double"
+#: Names texts for the bands: the least hash of a five-word shingle.
+GIST = "__gist"
 
 
 def _classes() -> np.ndarray:
@@ -75,6 +83,13 @@ def language(docs: DataFrame, lang_col: str) -> Column:
     return F.when(lang.isin([r.l for r in top]), lang).otherwise(F.lit("\0other")) if top else lang
 
 
+def once_each(docs: DataFrame, slot: Column, text_col: str) -> DataFrame:
+    """(slot, text): one text of each slot and gist. Each task keeps its own least one first, so copies don't meet in one task."""
+    work = lambda columns, texts: {"slot": columns["slot"], GIST: pa.array([near_copies.least_hash(t) for t in texts], pa.int64()), "text": pa.array(texts, pa.binary()).cast(pa.string())}
+    named = map_texts(docs, work, f"slot string, {GIST} bigint, text string", text_col=text_col, keep={"slot": slot})
+    return named.groupBy("slot", GIST).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("slot", "text")
+
+
 def count_ngrams(docs: DataFrame, slot: Column, text_col: str) -> DataFrame:
     """(slot, code, c) over all texts."""
 
@@ -151,7 +166,8 @@ def fit(docs: DataFrame, slot: Column, text_col: str = "text") -> dict[str, dict
             arrays += [h[at].tobytes(), v[at].tobytes()]
         return pd.DataFrame([(pdf["slot"].iloc[0], *arrays)], columns=["slot", "gram", "p", "context", "weight"])
 
-    rows = count_ngrams(docs, slot, text_col).groupBy("slot").applyInPandas(one, "slot string, gram binary, p binary, context binary, weight binary").collect()
+    texts = once_each(docs, slot, text_col)
+    rows = count_ngrams(texts, F.col("slot"), "text").groupBy("slot").applyInPandas(one, "slot string, gram binary, p binary, context binary, weight binary").collect()
     kinds = {"gram": np.uint64, "p": np.float64, "context": np.uint64, "weight": np.float64}
     return {r.slot: {name: np.frombuffer(r[name], kind) for name, kind in kinds.items()} for r in rows}
 
@@ -207,7 +223,7 @@ def statistics(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def annotate(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` with the statistics, ``log_perplexity``, ``base_failed`` and the language's ``slot``."""
+    """``keep`` columns of ``docs`` with the statistics, ``log_perplexity``, ``base_failed``, the language's ``slot`` and the text's ``GIST``."""
     slot = language(docs, lang_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, slot, text_col))
 
@@ -220,30 +236,32 @@ def annotate(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
                 scores[at] = perplexities(model.value[name], [texts[i] for i in at])
         stats = zip(*map(statistics, texts)) if texts else [()] * 5
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        return {**{n: pa.array(c, pa.int64()) for n, c in zip(names, stats)}, "log_perplexity": pa.array(scores)}
+        gists = pa.array([near_copies.least_hash(t) for t in texts], pa.int64())
+        return {**{n: pa.array(c, pa.int64()) for n, c in zip(names, stats)}, "log_perplexity": pa.array(scores), GIST: gists}
 
     made = {"slot", "base_failed", "kept", *(f.split()[0] for f in FEATURES.split(", "))}
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     named = docs.withColumn("slot", slot)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return with_columns(named, work, FEATURES, text_col=text_col, uses=("slot",), keep=[*kept, "slot"]).withColumn("base_failed", failed)
+    return with_columns(named, work, f"{FEATURES}, {GIST} bigint", text_col=text_col, uses=("slot",), keep=[*kept, "slot"]).withColumn("base_failed", failed)
 
 
 def bands(annotated: DataFrame, width: float = WIDTH) -> DataFrame:
-    """(slot, lower, upper) of log perplexity: one row for each language slot.
+    """(slot, lower, upper) of log perplexity: one row for each language slot; a gist's texts weigh once.
 
     Quartiles come from counts by steps of 1 / ``STEPS``, so they are the same in every run, and a language has some tens
     of thousands of steps at most however many documents it has.
     """
     step = F.round(F.col("log_perplexity") * STEPS).cast("bigint")
-    counted = annotated.filter(~F.col("base_failed")).groupBy("slot", step.alias("step")).agg(F.count("*").alias("n"))
+    passed = annotated.filter(~F.col("base_failed")).select("slot", GIST, step.alias("step"))
+    once = passed.groupBy("slot", GIST).agg(F.min_by("step", F.xxhash64("step")).alias("step"))
+    counted = once.groupBy("slot", "step").agg(F.count("*").alias("n"))
     below = F.sum("n").over(Window.partitionBy("slot").orderBy("step"))
     placed = counted.withColumn("below", below).withColumn("all", F.sum("n").over(Window.partitionBy("slot")))
     quartile = lambda q: F.min(F.when(F.col("below") >= q * F.col("all"), F.col("step"))) / STEPS
     by = placed.groupBy("slot").agg(quartile(0.25).alias("a"), quartile(0.75).alias("b"))
-    spread = width * (F.col("b") - F.col("a"))
-    # half a step on both sides, so that a language whose documents are all alike keeps them
-    return by.select("slot", (F.col("a") - spread - 0.5 / STEPS).alias("lower"), (F.col("b") + spread + 0.5 / STEPS).alias("upper"))
+    spread = F.greatest(width * (F.col("b") - F.col("a")) + 0.5 / STEPS, F.lit(LEAST))
+    return by.select("slot", (F.col("a") - spread).alias("lower"), (F.col("b") + spread).alias("upper"))
 
 
 def quality_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, width: float = WIDTH) -> DataFrame:
@@ -254,4 +272,4 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     inside = F.lit(True)
     for name, (lower, upper) in limits.items():
         inside = F.when(F.col("slot") == name, F.col("log_perplexity").between(lower, upper)).otherwise(inside)
-    return marked.withColumn("kept", ~F.col("base_failed") & inside).drop("slot")
+    return marked.withColumn("kept", ~F.col("base_failed") & inside).drop("slot", GIST)
