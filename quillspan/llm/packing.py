@@ -55,6 +55,20 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
+        self.letters: dict[str, bool] = {}
+
+    def _ends_in_letter(self, core: bytes) -> bool:
+        """Whether the tokenizer parts ``core`` from punctuation after it: its last character, normalised, ends in a letter."""
+        if core[-1] < 128:
+            return 97 <= core[-1] <= 122
+        at = len(core) - 1
+        while core[at] & 0xC0 == 0x80:
+            at -= 1
+        c = core[at:].decode("utf-8")
+        if c not in self.letters:
+            form = self.tokenizer.normalizer
+            self.letters[c] = (form.normalize_str(c) if form else c)[-1:].isalpha()
+        return self.letters[c]
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -69,7 +83,7 @@ class WordTokenizer:
         memo, cut, todo = self.memo, [], set()
         for w in new:
             core = w.rstrip(TAIL)
-            if len(core) < len(w) and core and (97 <= core[-1] <= 122 or core[-1] >= 128):
+            if len(core) < len(w) and core and self._ends_in_letter(core):
                 # a run of punctuation at the end of a word is a token run of its own
                 tail = w[len(core) :]
                 cut.append((w, core, tail))
