@@ -5,7 +5,8 @@ canonical integer of its format's domain and sent through a Feistel network with
 the cycle until the result is of the format again makes that a permutation of the format's values. Equal values become
 equal pseudonyms in every document, however they are written; different ones stay different; and a text keeps its length.
 The letters and digits of mail names and of labelled secrets are permuted in the same way. Digits that fail validation are
-left alone.
+left alone, and the search goes on inside them. An IBAN ends by its country's length, whatever words follow. Dates may be
+written with one-digit days or months, phone numbers of other countries than the US in international form (+44 ...).
 
 Defined cases: a null text stays null; empty texts and texts without findings come back unchanged; equal rows are treated alike;
 columns named like the results are replaced; an empty table gives no rows.
@@ -32,17 +33,30 @@ KEY = b"change this key"
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}(?![\w-]))"
+    r"(?P<email>(?<![\w+%-])(?=[\w.+%-]{1,256}@)[\w+%-]+(?:\.[\w+%-]+)*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}(?![\w-]))"
     r"|(?P<secret>\b(?:api[_ -]?key|secret|token|passw(?:or)?d|access[_ -]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_-]{16,})"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30})"
     r"|(?P<ip>(?<!\d)(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))"
-    r"|(?P<ymd>(?<!\d)(?<!\d[/.-])\d{4}([-/.])\d{2}\6\d{2}(?![\d/-]))"
-    r"|(?P<dmy>(?<!\d)(?<!\d[/.-])\d{2}([-/.])\d{2}\8\d{4}(?![\d/-]))"
+    r"|(?P<ymd>(?<!\d)(?<!\d[/.-])\d{4}([-/.])\d{1,2}\6\d{1,2}(?![\d/-]|\.\d))"
+    r"|(?P<dmy>(?<!\d)(?<!\d[/.-])\d{1,2}([-/.])\d{1,2}\8\d{4}(?![\d/-]|\.\d))"
     r"|(?P<ssn>(?<!\d)(?<!\d-)\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<!\d)(?<!\d[.-])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([ .-])\d{3}\11\d{4})(?!\d|-\d))"
-    r"|(?P<card>(?<!\d)(?<!\d[.-])(?:\d{4}([ -])\d{4}\13\d{4}\13\d{4}|\d{4}([ -])\d{6}\14\d{5}|\d{13,19})(?![\d-]))",
+    r"|(?P<e164>(?<![\w+])\+[2-9](?:[ ./()-]{0,2}\d){7,14}(?!\d|-\d))"
+    r"|(?P<card>(?<!\d)(?<!\d[.-])(?:\d{4}([ -])\d{4}\14\d{4}\14\d{4}|\d{4}([ -])\d{6}\15\d{5}|\d{13,19})(?![\d-]))",
     re.IGNORECASE,
 )
+#: Characters of an IBAN by country.
+IBAN_SIZE = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM TL SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG DZ", 25: "AO CV LY MZ PT ST", 26: "IR IS TR", 27: "BF BI CF CG CM EG FR GA GQ GR IT KM MC MG MR SM TD DJ",
+        28: "AL AZ BJ BY CI CY DO GT GW HN HU LB MA ML NE NI PL SN SV TG YE", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+#: Country calling codes other than 1: two digits, or three.
+CALLING = re.compile(r"7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-689]\d|3[578]\d|42\d|5[09]\d|6[7-9]\d|8[0578]\d|9[67]\d|99[2-68]")
 MAYBE = re.compile(rb"[0-9@]|(?i:key|secret|token|passw)")
 
 
@@ -123,6 +137,27 @@ def _day(y: int, m: int, d: int) -> int | None:
     return n - FIRST_DAY if FIRST_DAY <= n <= LAST_DAY else None
 
 
+def _same_date(day: int, month_first: bool = False) -> Callable[[int], bool]:
+    """Whether a date is written with as many digits as ``day`` without leading zeros; padded dates keep to it too, so both forms link."""
+
+    def wide(v: int) -> tuple[bool, bool]:
+        d = dt.date.fromordinal(FIRST_DAY + v)
+        return d.day > 9, d.month > 9
+
+    here = wide(day)
+    return lambda v: wide(v) == here and (not month_first or dt.date.fromordinal(FIRST_DAY + v).day > 12)
+
+
+def iban_end(value: str) -> int:
+    """Where the IBAN at the start of ``value`` ends, by its country's length; 0 if there is none. Groups after it don't belong to it."""
+    left = IBAN_SIZE.get(value[:2].upper(), 0)
+    for at, c in enumerate(value):
+        left -= c != " "
+        if not left:
+            return 0 if value[at + 1 : at + 2].isalnum() else at + 1
+    return 0
+
+
 def digits_like(shape: str, digits: str) -> str:
     """``shape`` with its digits replaced, from the right, by ``digits``."""
     out, left = list(shape), list(digits)
@@ -146,7 +181,7 @@ def pseudonym(p: Permuter, kind: str, value: str) -> str | None:
     if kind == "iban":
         flat = value.replace(" ", "").upper()
         country, check, account = flat[:2], flat[2:4], flat[4:]
-        if not 11 <= len(account) <= 30 or int(check) != iban_check(country, account):
+        if sum(c.isdigit() for c in account) < 8 or int(check) != iban_check(country, account):
             return None
         account = p.characters(f"iban{country}", account)
         new = iter(f"{country}{iban_check(country, account):02d}{account}")
@@ -172,22 +207,24 @@ def pseudonym(p: Permuter, kind: str, value: str) -> str | None:
         y = p.integer(f"ip{ranges}", n, x, lambda v: ip_class(spelled(v)) == here)
         return ".".join(map(str, spelled(y)))
     if kind in ("ymd", "dmy"):
-        sep = value[4] if kind == "ymd" else value[2]
+        sep = next(c for c in value if not c.isdecimal())
         a, b, c = map(int, value.split(sep))
         if kind == "ymd":
             day = _day(a, b, c)
             if day is None:
                 return None
-            new = dt.date.fromordinal(FIRST_DAY + p.integer("date", LAST_DAY - FIRST_DAY + 1, day))
-            return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}"
+            new = dt.date.fromordinal(FIRST_DAY + p.integer("date", LAST_DAY - FIRST_DAY + 1, day, _same_date(day)))
+            _, wb, wc = map(len, value.split(sep))
+            return f"{new.year:04d}{sep}{new.month:0{wb}d}{sep}{new.day:0{wc}d}"
         day, first = _day(c, b, a), True
         if day is None:  # month first, which only a day above 12 tells
             day, first = _day(c, a, b), False
         if day is None:
             return None
-        new = dt.date.fromordinal(FIRST_DAY + p.integer("date" if first else "date:m", LAST_DAY - FIRST_DAY + 1, day, None if first else lambda v: dt.date.fromordinal(FIRST_DAY + v).day > 12))
+        new = dt.date.fromordinal(FIRST_DAY + p.integer("date" if first else "date:m", LAST_DAY - FIRST_DAY + 1, day, _same_date(day, not first)))
         one, two = (new.day, new.month) if first else (new.month, new.day)
-        return f"{one:02d}{sep}{two:02d}{sep}{new.year:04d}"
+        wa, wb, _ = map(len, value.split(sep))
+        return f"{one:0{wa}d}{sep}{two:0{wb}d}{sep}{new.year:04d}"
     if kind == "ssn":
         x = int(digits)
         return digits_like(value, f"{p.integer('ssn', 10**9, x, ssn_ok):09d}") if ssn_ok(x) else None
@@ -197,6 +234,17 @@ def pseudonym(p: Permuter, kind: str, value: str) -> str | None:
         if not all(here) and value[0] not in "+(":
             return None
         return digits_like(value, f"{p.integer('phone', 10**10, x, lambda v: phone_class(v) == here):010d}")
+    if kind == "e164":
+        head, trunk, tail = value.partition("(0)")  # a trunk zero isn't part of the number
+        digits = "".join(c for c in head + tail if c.isdecimal())
+        code = CALLING.match(digits)
+        if not code or not 8 <= len(digits) <= 15 or len(digits) - code.end() < 5:
+            return None
+        n = len(digits) - code.end()
+        low = 10 ** (n - 1)
+        here = int(digits[code.end() :]) >= low  # a leading zero stays one, and no other appears
+        new = digits_like(head + tail, f"{p.integer(f'e164{code[0]}:{n}', 10**n, int(digits[code.end() :]), lambda v: (v >= low) == here):0{n}d}")
+        return new[: len(head)] + trunk + new[len(head) :]
     if len(set(digits)) == 1 or luhn_digit(digits[:-1]) != int(digits[-1]):
         return None
     n = len(digits) - 2  # the first digit tells the network and stays
@@ -212,18 +260,27 @@ def pseudonymise_text(text: str, key: bytes = KEY) -> tuple[str, list[dict]]:
     p = _PERMUTERS.setdefault(key, Permuter(key))
     found: list[dict] = []
 
-    def swap(m: re.Match) -> str:
-        kind, value = m.lastgroup, m[0]
+    def swap(kind: str, value: str, start: int) -> str | None:
         if (new := p.memo.get((kind, value))) is None:
             if len(p.memo) > 200_000:
                 p.memo.clear()
             new = p.memo[kind, value] = pseudonym(p, kind, value) or ""
-        if not new:
-            return value
-        found.append({"kind": kind, "start": m.start(), "length": len(value)})
-        return new
-
-    return PATTERN.sub(swap, text), found
+        if new:
+            found.append({"kind": "phone" if kind == "e164" else kind, "start": start, "length": len(value)})
+        return new or None
+
+    out, done, at = [], 0, 0
+    while m := PATTERN.search(text, at):
+        value = m[0]
+        if m.lastgroup == "iban":
+            value = value[: iban_end(text[m.start() : m.end() + 1])]
+        new = swap(m.lastgroup, value, m.start()) if value else None
+        if new is None:
+            at = m.start() + 1  # what isn't valid doesn't hide what stands inside or after it
+        else:
+            out += [text[done : m.start()], new]
+            done = at = m.start() + len(value)
+    return "".join([*out, text[done:]]), found
 
 
 def pseudonymise(docs: DataFrame, *, key: bytes = KEY, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
