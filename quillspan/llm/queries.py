@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bradley_terry, deleted_interpolation, media, packing, pii, quality_rules, sentencepiece_sampling, sharding, simhash, url_filters
-from .common import documents, id_crc
+from .common import documents, id_crc, shared_dir
 
 
 def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +25,14 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(docs, path)
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    back = spark.read.schema(docs.select(*names).withColumns({"slot": F.lit(0).cast("bigint"), "shard": F.lit(0)}).schema).parquet(path)
     text = F.coalesce("text", F.lit(""))
-    rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"))
-    return sharding.external_shuffle(rows).withColumn("grown_shard", F.lit(None).cast("int"))
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+    return back.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
