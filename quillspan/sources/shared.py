@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder where that is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    A temporary folder only where neither is set and everything runs in this process, as in tests.
+    """
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
-        where = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quillspan-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="quillspan-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(where)
     return where.rstrip("/")
 
 
