@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,13 +21,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (``spark.checkpoint.dir``); a temporary one where it is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    A temporary folder only where neither is set and everything runs in this process, as in tests.
+    """
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
-        where = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quillspan-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="quillspan-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(where)
     return where.rstrip("/")
 
 
@@ -38,20 +44,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, **uses: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with the columns that an operator ``uses`` under the names it knows (``text="body"``) and all others under
+    names that no operator makes, and a function that gives a result the names and the order of ``docs`` back."""
+    known = {c: n for n, c in uses.items()}
+    names = {c: known.get(c, f"aside_{i}") for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), lambda found: found.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+def broadcast_if_few(table: DataFrame, most: int) -> DataFrame:
+    """``table``, with a hint to broadcast it where it has ``most`` rows or fewer."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def id_crc(id_col: Column | str) -> Column:
     """crc32 of the id as text; 0 for a null id."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.coalesce(F.crc32(c.cast("string").cast("binary")), F.lit(0))
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about ``limit`` bytes of text, or one row."""
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of ``rows`` at most, with about ``limit`` bytes of text, or one row."""
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
-        if i > start and total + n > limit:
+        if i > start and (total + n > limit or i - start == rows):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n

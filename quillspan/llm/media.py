@@ -1,12 +1,12 @@
 """ISO media containers (ISO/IEC 14496-12) as a binary column.
 
 ``mux`` stores a payload as 8-bit PCM samples of one audio track: ``ftyp``, ``moov`` with its nested boxes, and ``mdat``.
-``probe`` walks the nested boxes and decodes the sample tables (``stsd``, ``stts``, ``stsc``, ``stsz``, ``stco``/``co64``,
-``stss``) to codec, duration and the byte ranges of the keyframes, never touching the payload. ``read_samples`` follows the
-same tables to the sample bytes.
+``probe`` walks the nested boxes and decodes each track's own sample tables (``stsd``, ``stts``, ``stsc``, ``stsz``,
+``stco``/``co64``, ``stss``) to codec, duration and the byte ranges of the keyframes, never touching the payload.
+``sample_bytes`` follows the same tables to the sample bytes.
 
 Defined cases: a null or empty payload is stored as 192 spaces; a column that is no container, is cut short or is
-fragmented gets ``error`` and nulls elsewhere; box sizes may be 32-bit, 64-bit or "to the end"; unknown boxes are
+fragmented, or whose tables disagree, gets ``error`` and nulls elsewhere; box sizes may be 32-bit, 64-bit or "to the end"; unknown boxes are
 skipped; a track without ``stss`` has only keyframes.
 """
 
@@ -31,6 +31,12 @@ NESTED = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"udta"
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
+def described(t: dict) -> dict:
+    """A track as ``probe`` returns it."""
+    keyframes = [{"offset": a, "size": b} for a, b in zip(t["offsets"][t["keys"]].tolist(), t["sizes"][t["keys"]].tolist())]
+    return {**{c: t[c] for c in ("number", "handler", "codec")}, "duration_s": t["ticks"] / t["timescale"] if t["timescale"] else None, "samples": len(t["sizes"]), "keyframes": keyframes}
+
+
 def padded(payload: bytes) -> bytes:
     """Spaces up to a positive multiple of the unit."""
     return payload + b" " * ((-len(payload)) % UNIT if payload else UNIT)
@@ -107,54 +113,79 @@ def boxes(data: memoryview, start: int, end: int, depth: int = 0) -> Iterator[tu
         start += size
 
 
-def track(media: bytes) -> dict:
-    """Codec, clock and sample table of the first track: ``offsets`` and ``sizes`` of all samples, ``keys`` their indices."""
+def tracks(media: bytes) -> list[dict]:
+    """Of each track: number, handler, codec, clock and sample table (``offsets`` and ``sizes`` of all samples, ``keys`` their indices)."""
     data = memoryview(media)
-    found: dict[bytes, tuple[int, int]] = {}
+    found: list[dict[bytes, tuple[int, int]]] = []
     kinds = set()
     for path, a, b in boxes(data, 0, len(data)):
         kinds.add(path[0])
-        if path[:2] == (b"moov", b"trak") and path[-1] not in found:
-            found[path[-1]] = (a, b)
+        if path == (b"moov", b"trak"):
+            found.append({})
+        elif path[:2] == (b"moov", b"trak"):
+            found[-1].setdefault(path[-1], (a, b))
     if b"moof" in kinds:
         raise ValueError("fragmented")
-    if b"moov" not in kinds or b"stsd" not in found:
+    if not found:
         raise ValueError("no track")
+    return [_track(data, x) for x in found]
+
 
-    def ints(at: int, n: int, kind: str = ">u4", end: int = 0) -> np.ndarray:
-        if at + n * int(kind[-1]) > end:
+def _track(data: memoryview, found: dict[bytes, tuple[int, int]]) -> dict:
+    """One track from its own boxes. Counts are held against the boxes' sizes before anything is made of them."""
+
+    def body(kind: bytes, least: int = 8) -> tuple[int, int]:
+        if kind not in found:
+            raise ValueError(f"no {kind.decode('latin-1')} in a track")
+        a, b = found[kind]
+        if b - a < least:
             raise ValueError("table cut short")
-        return np.frombuffer(data, kind, n, at).astype(np.int64)
+        return a, b
 
-    a, b = found[b"mdhd"]
-    scale, ticks = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
-    a, b = found[b"stsd"]
+    def ints(kind: bytes, each: int = 1, skip: int = 4, form: str = ">u4") -> np.ndarray:
+        a, b = body(kind, skip + 4)
+        n = struct.unpack_from(">I", data, a + skip)[0] * each
+        if skip + 4 + n * int(form[-1]) > b - a:
+            raise ValueError("table cut short")
+        return np.frombuffer(data, form, n, a + skip + 4).astype(np.int64)
+
+    a, _ = body(b"mdhd", 20)
+    scale, ticks = struct.unpack_from(">IQ", data, body(b"mdhd", 32)[0] + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
+    a, _ = body(b"stsd", 16)
     codec = bytes(data[a + 12 : a + 16]).decode("latin-1").strip()
-    a, b = found[b"stsz"]
+    number = handler = None
+    if b"tkhd" in found:
+        a, _ = body(b"tkhd", 24)
+        number = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
+    if b"hdlr" in found:
+        a, _ = body(b"hdlr", 12)
+        handler = bytes(data[a + 8 : a + 12]).decode("latin-1").strip()
+    a, _ = body(b"stsz", 12)
     uniform, n = struct.unpack_from(">II", data, a + 4)
-    sizes = np.full(n, uniform, np.int64) if uniform else ints(a + 12, n, end=b)
-    wide = b"co64" in found
-    a, b = found[b"co64" if wide else b"stco"]
-    chunks = ints(a + 8, struct.unpack_from(">I", data, a + 4)[0], ">u8" if wide else ">u4", b)
-    a, b = found[b"stsc"]
-    runs = ints(a + 8, 3 * struct.unpack_from(">I", data, a + 4)[0], end=b).reshape(-1, 3)
-    per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-    if per.sum() != n:
+    if uniform and n * uniform > len(data):
+        raise ValueError("samples beyond the end")
+    sizes = np.full(n, uniform, np.int64) if uniform else ints(b"stsz", skip=8)
+    chunks = ints(b"co64", form=">u8") if b"co64" in found else ints(b"stco")
+    runs = ints(b"stsc", 3).reshape(-1, 3)
+    first = runs[:, 0]
+    if len(runs) and (first[0] != 1 or first[-1] > len(chunks) or (np.diff(first) <= 0).any()) or (len(chunks) and not len(runs)):
         raise ValueError("sample tables disagree")
-    first = np.repeat(np.cumsum(per) - per, per)
+    times = np.diff(np.append(first, len(chunks) + 1))
+    if int((times * runs[:, 1]).sum()) != n:
+        raise ValueError("sample tables disagree")
+    per = np.repeat(runs[:, 1], times)
+    start = np.repeat(np.cumsum(per) - per, per)
     before = np.cumsum(sizes) - sizes
-    offsets = np.repeat(chunks, per) + before - (before[first] if n else before)
-    if n and (offsets + sizes).max() > len(data):
+    offsets = np.repeat(chunks, per) + before - (before[start] if n else before)
+    if n and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
         raise ValueError("samples beyond the end")
-    a, b = found[b"stts"]
-    stts = ints(a + 8, 2 * struct.unpack_from(">I", data, a + 4)[0], end=b).reshape(-1, 2)
-    keys = ints(found[b"stss"][0] + 8, struct.unpack_from(">I", data, found[b"stss"][0] + 4)[0], end=found[b"stss"][1]) - 1 if b"stss" in found else np.arange(n)
-    return {"codec": codec, "timescale": scale, "ticks": ticks, "table_ticks": int((stts[:, 0] * stts[:, 1]).sum()), "offsets": offsets, "sizes": sizes, "keys": keys[(keys >= 0) & (keys < n)]}
+    stts = ints(b"stts", 2).reshape(-1, 2)
+    keys = ints(b"stss") - 1 if b"stss" in found else np.arange(n)
+    return {"number": number, "handler": handler, "codec": codec, "timescale": scale, "ticks": ticks, "table_ticks": int((stts[:, 0] * stts[:, 1]).sum()), "offsets": offsets, "sizes": sizes, "keys": keys[(keys >= 0) & (keys < n)]}
 
 
-def sample_bytes(media: bytes, t: dict | None = None) -> bytes:
-    """All samples in decoding order; samples that follow one another are read as one range."""
-    t = t or track(media)
+def sample_bytes(media: bytes, t: dict) -> bytes:
+    """All samples of a track in decoding order; samples that follow one another are read as one range."""
     if not len(t["offsets"]):
         return b""
     cut = np.flatnonzero(t["offsets"][1:] != (t["offsets"] + t["sizes"])[:-1]) + 1
@@ -172,28 +203,34 @@ def mux(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> D
     return map_texts(docs, work, f"id {kind}, n_bytes bigint, media binary", text_col=text_col, keep={"id": id_col}).withColumnRenamed("id", id_col)
 
 
-PROBED = "codec string, duration_s double, samples bigint, keyframes array<struct<offset:bigint,size:bigint>>, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, error string"
+KEYFRAMES = "array<struct<offset:bigint,size:bigint>>"
+TRACKS = f"array<struct<number:bigint,handler:string,codec:string,duration_s:double,samples:bigint,keyframes:{KEYFRAMES}>>"
+PROBED = f"tracks {TRACKS}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, error string"
 
 
 def probe(media: DataFrame, *, keep: list[str], media_col: str = "media", read: bool = False) -> DataFrame:
-    """``keep`` columns with codec, duration and keyframe ranges; with ``read`` also digests of the samples, read back."""
+    """``keep`` columns with ``tracks``: number, handler, codec, duration, number of samples and keyframe ranges of each.
+
+    With ``read`` also digests of the first track's samples, read back by its tables.
+    """
 
     def one(m: bytes | None) -> dict:
         try:
             if m is None:
                 raise ValueError("null")
-            t = track(m)
-        except (ValueError, KeyError, IndexError, struct.error) as wrong:
+            found = tracks(m)
+        except (ValueError, IndexError, struct.error) as wrong:
             return {"error": str(wrong) or type(wrong).__name__}
-        out = {"codec": t["codec"], "duration_s": t["ticks"] / t["timescale"] if t["timescale"] else None, "samples": len(t["sizes"])}
-        out["keyframes"] = [{"offset": a, "size": b} for a, b in zip(t["offsets"][t["keys"]].tolist(), t["sizes"][t["keys"]].tolist())]
+        out = {"tracks": [described(t) for t in found]}
         if read:
-            payload = sample_bytes(m, t)
+            payload = sample_bytes(m, found[0])
             out |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(m), "media_sha256": hashlib.sha256(m).hexdigest()}
         return out
 
-    fields = ["codec", "duration_s", "samples", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "error"]
-    kinds = {"duration_s": pa.float64(), "samples": pa.int64(), "keyframes": pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())])), "payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64()}
+    fields = ["tracks", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "error"]
+    keyframes = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
+    track = pa.struct([("number", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("samples", pa.int64()), ("keyframes", keyframes)])
+    kinds = {"tracks": pa.list_(track), "payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64()}
     base = media.select(*keep, F.col(media_col).alias("__media"))
 
     def run(batches):

@@ -1,11 +1,11 @@
 """Format-preserving pseudonyms: validated numbers and dates are permuted by a keyed Feistel network within their format.
 
-A value is found by its pattern, validated (Luhn digit, calendar, octets, number plan, IBAN remainder), reduced to a
+A value is found by its pattern, validated (Luhn digit, calendar, octets, address groups, number plan, IBAN remainder), reduced to a
 canonical integer of its format's domain and sent through a Feistel network with a keyed hash as round function; walking
 the cycle until the result is of the format again makes that a permutation of the format's values. Equal values become
 equal pseudonyms in every document, however they are written; different ones stay different; and a text keeps its length.
 The letters and digits of mail names and of labelled secrets are permuted in the same way. Digits that fail validation are
-left alone, and the search goes on inside them. An IBAN ends by its country's length, whatever words follow. Dates may be
+left alone, and so are digits of other scripts than ASCII; the search goes on inside them. An IBAN ends by its country's length, whatever words follow. Dates may be
 written with one-digit days or months, phone numbers of other countries than the US in international form (+44 ...).
 
 Defined cases: a null text stays null; empty texts and texts without findings come back unchanged; equal rows are treated alike;
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable
 from math import isqrt
@@ -30,19 +31,22 @@ ROUNDS = 8
 SMALL = 1000
 #: A stand-in; a user passes a key of their own.
 KEY = b"change this key"
+#: Digits of other scripts are no digits here: numbers written in them are left alone.
+DIGITS = "0123456789"
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 PATTERN = re.compile(
     r"(?P<email>(?<![\w+%-])(?=[\w.+%-]{1,256}@)[\w+%-]+(?:\.[\w+%-]+)*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}(?![\w-]))"
     r"|(?P<secret>\b(?:api[_ -]?key|secret|token|passw(?:or)?d|access[_ -]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_-]{16,})"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30})"
-    r"|(?P<ip>(?<!\d)(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))"
-    r"|(?P<ymd>(?<!\d)(?<!\d[/.-])\d{4}([-/.])\d{1,2}\6\d{1,2}(?![\d/-]|\.\d))"
-    r"|(?P<dmy>(?<!\d)(?<!\d[/.-])\d{1,2}([-/.])\d{1,2}\8\d{4}(?![\d/-]|\.\d))"
-    r"|(?P<ssn>(?<!\d)(?<!\d-)\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<!\d)(?<!\d[.-])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([ .-])\d{3}\11\d{4})(?!\d|-\d))"
-    r"|(?P<e164>(?<![\w+])\+[2-9](?:[ ./()-]{0,2}\d){7,14}(?!\d|-\d))"
-    r"|(?P<card>(?<!\d)(?<!\d[.-])(?:\d{4}([ -])\d{4}\14\d{4}\14\d{4}|\d{4}([ -])\d{6}\15\d{5}|\d{13,19})(?![\d-]))",
+    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})"
+    r"|(?P<ip6>(?<![\w:.])(?=[0-9a-f:]{2,39}(?![\w:]))(?=[0-9a-f:]*[0-9])(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4})"
+    r"|(?P<ip>(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
+    r"|(?P<ymd>(?<![0-9])(?<![0-9][/.-])[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}(?![0-9/-]|\.[0-9]))"
+    r"|(?P<dmy>(?<![0-9])(?<![0-9][/.-])[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4}(?![0-9/-]|\.[0-9]))"
+    r"|(?P<ssn>(?<![0-9])(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
+    r"|(?P<phone>(?<![0-9])(?<![0-9][.-])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}(?P<s3>[ .-])[0-9]{3}(?P=s3)[0-9]{4})(?![0-9]|-[0-9]))"
+    r"|(?P<e164>(?<![\w+])\+[2-9](?:[ ./()-]{0,2}[0-9]){7,14}(?![0-9]|-[0-9]))"
+    r"|(?P<card>(?<![0-9])(?<![0-9][.-])(?:[0-9]{4}(?P<s4>[ -])[0-9]{4}(?P=s4)[0-9]{4}(?P=s4)[0-9]{4}|[0-9]{4}(?P<s5>[ -])[0-9]{6}(?P=s5)[0-9]{5}|[0-9]{13,19})(?![0-9-]))",
     re.IGNORECASE,
 )
 #: Characters of an IBAN by country.
@@ -56,8 +60,8 @@ IBAN_SIZE = {
     for country in countries.split()
 }
 #: Country calling codes other than 1: two digits, or three.
-CALLING = re.compile(r"7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-689]\d|3[578]\d|42\d|5[09]\d|6[7-9]\d|8[0578]\d|9[67]\d|99[2-68]")
-MAYBE = re.compile(rb"[0-9@]|(?i:key|secret|token|passw)")
+CALLING = re.compile(r"7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|5[09]|6[7-9]|8[0578]|9[67])[0-9]|99[2-68]")
+MAYBE = re.compile(rb"[0-9@:]|(?i:key|secret|token|passw)")
 
 
 class Permuter:
@@ -88,8 +92,7 @@ class Permuter:
     def characters(self, kind: str, text: str) -> str:
         """Letters and digits permuted together, each within its own alphabet; other characters stay."""
         sets = [next((s for s in ALPHABETS if c in s), c) for c in text]
-        n = x = 1
-        x = 0
+        n, x = 1, 0
         for c, s in zip(text, sets):
             n, x = n * len(s), x * len(s) + s.index(c)
         x, out = self.integer(f"{kind}:{'.'.join(str(len(s)) for s in sets)}", n, x), []
@@ -137,15 +140,35 @@ def _day(y: int, m: int, d: int) -> int | None:
     return n - FIRST_DAY if FIRST_DAY <= n <= LAST_DAY else None
 
 
-def _same_date(day: int, month_first: bool = False) -> Callable[[int], bool]:
-    """Whether a date is written with as many digits as ``day`` without leading zeros; padded dates keep to it too, so both forms link."""
+def _same_date(day: int) -> Callable[[int], bool]:
+    """Whether a date has as many digits as ``day`` without leading zeros, and a day above 12 or not as it has.
+
+    All ways to write a date keep to that, so the day's pseudonym is one date whether its zeros are written or left out,
+    and whether the day or the month comes first, which only a day above 12 tells.
+    """
 
-    def wide(v: int) -> tuple[bool, bool]:
+    def kind(v: int) -> tuple[bool, bool, bool]:
         d = dt.date.fromordinal(FIRST_DAY + v)
-        return d.day > 9, d.month > 9
+        return d.day > 9, d.day > 12, d.month > 9
+
+    here = kind(day)
+    return lambda v: kind(v) == here
 
-    here = wide(day)
-    return lambda v: wide(v) == here and (not month_first or dt.date.fromordinal(FIRST_DAY + v).day > 12)
+
+def _ip6_groups(value: str) -> list[int]:
+    """Places in ``value`` of the groups that its pseudonym replaces: those with a number, from the second on; none if it isn't valid.
+
+    The first group tells the kind of network and stays. Loopback, multicast and local addresses say nothing of anybody.
+    """
+    try:
+        at = ipaddress.IPv6Address(value)
+    except ValueError:
+        return []
+    groups = value.split(":")
+    if at.is_loopback or at.is_unspecified or at.is_multicast or at.is_link_local:
+        return []
+    first = next(i for i, g in enumerate(groups) if g)
+    return [i for i, g in enumerate(groups) if i > first and g and int(g, 16)]
 
 
 def iban_end(value: str) -> int:
@@ -162,7 +185,7 @@ def digits_like(shape: str, digits: str) -> str:
     """``shape`` with its digits replaced, from the right, by ``digits``."""
     out, left = list(shape), list(digits)
     for i in range(len(out) - 1, -1, -1):
-        if out[i].isdecimal() and left:
+        if out[i] in DIGITS and left:
             out[i] = left.pop()
     return "".join(out)
 
@@ -177,7 +200,9 @@ def pseudonym(p: Permuter, kind: str, value: str) -> str | None:
         label, body = re.match(r"(.*[:=]\s*[\"']?)(.*)", value, re.S).groups()
         if re.fullmatch(r"[0-9a-f]+", body):
             return label + f"{p.integer(f'hex{len(body)}', 16 ** len(body), int(body, 16)):0{len(body)}x}"
-        return label + p.characters("secret", body) if re.search(r"\d", body) else None
+        # letters of one case alone, or capitalised, are a word
+        mixed = re.search(r"[0-9]", body) or body[1:] != body[1:].lower() != body[1:].upper()
+        return label + p.characters("secret", body) if mixed else None
     if kind == "iban":
         flat = value.replace(" ", "").upper()
         country, check, account = flat[:2], flat[2:4], flat[4:]
@@ -186,6 +211,22 @@ def pseudonym(p: Permuter, kind: str, value: str) -> str | None:
         account = p.characters(f"iban{country}", account)
         new = iter(f"{country}{iban_check(country, account):02d}{account}")
         return "".join(c if c == " " else next(new) for c in value)
+    if kind == "ip6":
+        parts = value.split(":")
+        places = _ip6_groups(value)
+        if not places:
+            return None
+        # a group keeps its number of digits, so that zeros may be left out or written as before
+        ranges = [(16 ** (n - 1) if n > 1 else 1, 16**n - (16 ** (n - 1) if n > 1 else 1)) for n in (len(parts[i].lstrip("0")) for i in places)]
+        n, x = 1, 0
+        for i, (low, size) in zip(places, ranges):
+            n, x = n * size, x * size + int(parts[i], 16) - low
+        x = p.integer(f"ip6{ranges}", n, x)
+        for i, (low, size) in zip(reversed(places), reversed(ranges)):
+            x, r = divmod(x, size)
+            new = f"{low + r:0{len(parts[i])}x}"
+            parts[i] = new.upper() if value != value.lower() else new
+        return ":".join(parts)
     if kind == "ip":
         octets = [int(c) for c in value.split(".")]
         if max(octets) > 255 or any(len(c) > 1 and c[0] == "0" for c in value.split(".")):
@@ -207,7 +248,7 @@ def pseudonym(p: Permuter, kind: str, value: str) -> str | None:
         y = p.integer(f"ip{ranges}", n, x, lambda v: ip_class(spelled(v)) == here)
         return ".".join(map(str, spelled(y)))
     if kind in ("ymd", "dmy"):
-        sep = next(c for c in value if not c.isdecimal())
+        sep = next(c for c in value if c not in DIGITS)
         a, b, c = map(int, value.split(sep))
         if kind == "ymd":
             day = _day(a, b, c)
@@ -221,7 +262,7 @@ def pseudonym(p: Permuter, kind: str, value: str) -> str | None:
             day, first = _day(c, a, b), False
         if day is None:
             return None
-        new = dt.date.fromordinal(FIRST_DAY + p.integer("date" if first else "date:m", LAST_DAY - FIRST_DAY + 1, day, _same_date(day, not first)))
+        new = dt.date.fromordinal(FIRST_DAY + p.integer("date", LAST_DAY - FIRST_DAY + 1, day, _same_date(day)))
         one, two = (new.day, new.month) if first else (new.month, new.day)
         wa, wb, _ = map(len, value.split(sep))
         return f"{one:0{wa}d}{sep}{two:0{wb}d}{sep}{new.year:04d}"
@@ -236,7 +277,7 @@ def pseudonym(p: Permuter, kind: str, value: str) -> str | None:
         return digits_like(value, f"{p.integer('phone', 10**10, x, lambda v: phone_class(v) == here):010d}")
     if kind == "e164":
         head, trunk, tail = value.partition("(0)")  # a trunk zero isn't part of the number
-        digits = "".join(c for c in head + tail if c.isdecimal())
+        digits = "".join(c for c in head + tail if c in DIGITS)
         code = CALLING.match(digits)
         if not code or not 8 <= len(digits) <= 15 or len(digits) - code.end() < 5:
             return None
@@ -266,7 +307,7 @@ def pseudonymise_text(text: str, key: bytes = KEY) -> tuple[str, list[dict]]:
                 p.memo.clear()
             new = p.memo[kind, value] = pseudonym(p, kind, value) or ""
         if new:
-            found.append({"kind": "phone" if kind == "e164" else kind, "start": start, "length": len(value)})
+            found.append({"kind": {"e164": "phone", "ip6": "ip"}.get(kind, kind), "start": start, "length": len(value)})
         return new or None
 
     out, done, at = [], 0, 0

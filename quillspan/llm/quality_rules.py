@@ -1,9 +1,14 @@
 """Quality rules: plain text statistics, then bands of n-gram perplexity by language.
 
-The model is an interpolated modified Kneser-Ney 4-gram model (Chen and Goodman, 1999) over the symbols of the text, one
-for each language: bytes fall into 32 classes, so a language has 32**4 n-grams at most, whatever the size of the corpus, and
-its model is small enough to broadcast. Spark counts the n-grams of all distinct texts (each task adds up its own first). The
-model is kept as sorted arrays of n-gram hashes with their probabilities and back-off weights.
+The model of a language is an interpolated modified Kneser-Ney model (Chen and Goodman, 1999) of 4-grams of characters:
+code points in lower case, white space and digits being one symbol each, so every script is modelled. Spark counts the
+n-grams and derives discounts, back-off weights and probabilities as joins and windows over tables of n-grams, by language; the
+model grows with the corpus and is never gathered in one place.
+
+How it runs. The documents become blocks of a few megabytes (``blocks``). A block adds up its own n-grams first and sends each
+different one once (``asked``). The model answers every block with the n-grams that it holds as a sorted hash array (the
+64-bit code of four symbols is its hash) beside the array of their log probabilities, in which the block's documents look up
+each of their symbols (``scored``). What is sent grows with the blocks, in proportion to the data.
 
 A document's perplexity must lie in its language's band: the middle half of its language's texts, in log10 per
 symbol, widened on both sides by ``WIDTH`` times its own width, and by ``LEAST`` at least. Below it lie texts that repeat
@@ -19,56 +24,53 @@ columns named like the results are replaced.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import as_bytes, map_texts, slices, with_columns, written
+from .common import as_bytes, broadcast_if_few, slices, written
 
-ORDER, BITS = 4, 5
-CLASSES = 1 << BITS
-FULL = 1 << (ORDER * BITS)
+#: Symbols of an n-gram, and bits of a symbol.
+ORDER, BITS = 4, 16
 MIN_WORDS, MOST_REPEATED = 50, 50
-WIDTH = 3.0
+WIDTH = 2.5
 #: A band reaches so far, at least, beyond its quartiles, however little its texts differ.
 LEAST = 0.025
 #: Steps in one unit of log perplexity, for its quartiles.
 STEPS = 10_000
-#: So many languages, the ones with most documents, have models of their own; all others share one.
-LANGUAGES = 64
 SYMBOLS = b"#*$%&|<>"
-FEATURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_perplexity double"
-#: Names texts for the bands: the least hash of a five-word shingle.
-GIST = "__gist"
-
-
-def _classes() -> np.ndarray:
-    """Class of each byte: 0 white space, 1-26 letters in either case, 27 digits, 28 sentence marks, 29 other ASCII, 30 and 31 lead and other bytes of non-ASCII characters."""
-    out = np.full(256, 29, np.uint32)
-    out[[9, 10, 11, 12, 13, 32]] = 0
-    for a in (65, 97):
-        out[a : a + 26] = np.arange(1, 27)
-    out[48:58] = 27
-    out[[ord(c) for c in ".,;:!?'\"()-"]] = 28
-    out[128:192], out[192:] = 31, 30
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Text of a block, which is worked on at once, in bytes; and rows of one, the bits of a bitmap of Spark's.
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 15
+#: Rows of tables by language up to this many are looked up by broadcast.
+FEW = 200_000
+
+
+@cache
+def symbol_table() -> np.ndarray:
+    """Symbol of each code point, 16 bits. Code points beyond 16 bits share the 2,048 values that no character has."""
+    out = 0xD800 + (np.arange(0x110000, dtype=np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(2048)
+    for i in range(1 << BITS):
+        c = chr(i)
+        out[i] = 32 if c.isspace() else 48 if c.isdecimal() else min(ord(c.lower()[0]), 0xFFFF)
     return out
 
 
-CLASS_OF = _classes()
-
-
 def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram that ends at each byte, all texts in a row, and where each text ends. Texts start after white space."""
-    gap = b" " * (ORDER - 1)
-    flat = CLASS_OF[np.frombuffer(b"".join(x for t in texts for x in (gap, t)), np.uint8)]
+    """The 4-gram that ends at each character, all texts in a row, first symbol highest, and where each text ends. Texts start after white space."""
+    gap = " " * (ORDER - 1)
+    words = [t.decode("utf-8", "replace") for t in texts]
+    flat = symbol_table()[np.frombuffer("".join(x for t in words for x in (gap, t)).encode("utf-32-le", "replace"), "<u4")]
     code = flat.copy()
     for k in range(1, ORDER):
-        code[k:] |= flat[:-k] << np.uint32(BITS * k)
-    sizes = np.array([len(t) for t in texts])
+        code[k:] |= flat[:-k] << np.uint64(BITS * k)
+    sizes = np.array([len(t) for t in words], np.int64)
     ends = np.cumsum(sizes + len(gap))
     inside = np.ones(len(flat), bool)
     for k in range(len(gap)):
@@ -76,200 +78,224 @@ def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside], np.cumsum(sizes)
 
 
-def language(docs: DataFrame, lang_col: str) -> Column:
-    """The language's slot: itself, or one for all beyond the ``LANGUAGES`` largest."""
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("\0null"))
-    top = docs.select(lang.alias("l")).groupBy("l").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "l").limit(LANGUAGES).collect()
-    return F.when(lang.isin([r.l for r in top]), lang).otherwise(F.lit("\0other")) if top else lang
-
-
-def once_each(docs: DataFrame, slot: Column, text_col: str) -> DataFrame:
-    """(slot, text): one text of each slot and gist. Each task keeps its own least one first, so copies don't meet in one task."""
-    work = lambda columns, texts: {"slot": columns["slot"], GIST: pa.array([near_copies.least_hash(t) for t in texts], pa.int64()), "text": pa.array(texts, pa.binary()).cast(pa.string())}
-    named = map_texts(docs, work, f"slot string, {GIST} bigint, text string", text_col=text_col, keep={"slot": slot})
-    return named.groupBy("slot", GIST).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("slot", "text")
+def repeated_words(words: list[bytes]) -> int:
+    """Words in 3-word windows found twice or more, first ones included."""
+    windows = list(zip(words, words[1:], words[2:]))
+    if len(set(windows)) == len(windows):
+        return 0
+    often = {w for w, n in Counter(windows).items() if n > 1}
+    total = reached = 0
+    for i, w in enumerate(windows):
+        if w in often:
+            total += i + 3 - max(i, reached)
+            reached = i + 3
+    return total
 
 
-def count_ngrams(docs: DataFrame, slot: Column, text_col: str) -> DataFrame:
-    """(slot, code, c) over all texts."""
+def statistics(text: bytes) -> tuple[int, int, int, int, int]:
+    words = text.split()  # bytes: at x20 and x09-x0D only
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    letters = b"".join(words)
+    points = len(letters) if letters.isascii() else len(letters.decode("utf-8", "replace"))
+    return len(words), points, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
-    def run(batches):
-        sums: dict[str, np.ndarray] = {}
 
-        def flush():
-            for name, c in sums.items():
-                at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_pydict({"slot": pa.array([name] * len(at), pa.string()), "code": pa.array(at), "c": pa.array(c[at])})
-            sums.clear()
+def stored_as(kept: list[tuple[str, str]], text_col: str) -> list[str]:
+    """Names of the ``kept`` columns inside a block: own ones, and ``text`` for the text."""
+    return ["text" if (c, kind) == (text_col, "string") else f"kept_{i}" for i, (c, kind) in enumerate(kept)]
 
-        for batch in batches:
-            for part in slices(batch):
-                by: dict[str, list[bytes]] = {}
-                for name, t in zip(part.column(0).to_pylist(), as_bytes(part.column(1))):
-                    by.setdefault(name, []).append(t)
-                for name, texts in by.items():
-                    if name not in sums and len(sums) >= 8:
-                        yield from flush()
-                    seen = np.bincount(codes(texts)[0], minlength=FULL)
-                    sums[name] = sums[name] + seen if name in sums else seen
-        yield from flush()
-
-    each = docs.select(slot.alias("slot"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "slot string, code bigint, c bigint")
-    return each.groupBy("slot", "code").agg(F.sum("c").alias("c"))
-
-
-def kneser_ney(code: np.ndarray, count: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Order -> (n-gram, interpolated probability, context, back-off weight) from the highest order's counts."""
-    grams = {ORDER: (code, count)}
-    for k in range(ORDER - 1, 0, -1):  # lower orders count the different symbols that stand before
-        grams[k] = np.unique(grams[k + 1][0] & ((1 << BITS * k) - 1), return_counts=True)
-    out, below = {}, np.full(1, 1 / CLASSES)
-    for k in range(1, ORDER + 1):
-        g, c = grams[k]
-        n = [int((c == i).sum()) for i in (1, 2, 3, 4)]
-        if all(n):
-            y = n[0] / (n[0] + 2 * n[1])
-            d = [i - (i + 1) * y * n[i] / n[i - 1] for i in (1, 2, 3)]
-        if not all(n) or not all(0 < d[i - 1] < i for i in (1, 2, 3)):
-            d = [0.5, 1.0, 1.5]  # too few counts to estimate discounts from
-        kind = np.minimum(c, 3) - 1
-        context, at = np.unique(g >> BITS, return_inverse=True)
-        total = np.bincount(at, weights=c)
-        weight = sum(d[i] * np.bincount(at, weights=kind == i) for i in range(3)) / total
-        lower = below[np.searchsorted(grams[k - 1][0], g & ((1 << BITS * (k - 1)) - 1))] if k > 1 else below[0]
-        below = (c - np.array(d)[kind]) / total[at] + weight[at] * lower
-        out[k] = (g, below, context, weight)
-    return out
 
+def blocks(docs: DataFrame, kept: list[tuple[str, str]], text_col: str, lang_col: str) -> DataFrame:
+    """(block, docs, langs, gists): runs of documents with their ``kept`` columns, texts and statistics as compressed Arrow data.
 
-def hashed(order: int, code: np.ndarray) -> np.ndarray:
-    """64-bit hash of an n-gram (a bijection of order and code, so there are no collisions)."""
-    x = code.astype(np.uint64) | np.uint64(order << 40)
-    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
-    return x ^ (x >> np.uint64(31))
+    ``langs`` are hashes of the languages, ``gists`` the least hashes of five-word shingles, one for each document.
+    """
+    lang = F.col(f"`{lang_col}`").cast("string")
+    extra = [F.col(f"`{c}`").alias(n) for (c, _), n in zip(kept, stored_as(kept, text_col)) if n != "text"]
+    base = docs.select(*extra, F.xxhash64(lang, lang.isNull()).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    text_at = len(base.columns) - 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for part in slices(batch, limit=BLOCK_BYTES, rows=BLOCK_ROWS):
+                texts = as_bytes(part.column(text_at))
+                stats = zip(*map(statistics, texts))
+                gists = pa.array([near_copies.least_hash(t) for t in texts], pa.int64())
+                whole = pa.RecordBatch.from_arrays([*part.columns, gists, *(pa.array(c, pa.int64()) for c in stats)], names=[*part.schema.names, "gist", *FEATURES])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(whole)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), x) for x in (part.column(text_at - 1), gists)]
+                yield pa.RecordBatch.from_arrays([pa.array([task << 24 | made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), *lists], names=["block", "docs", "langs", "gists"])
+                made += 1
 
-def fit(docs: DataFrame, slot: Column, text_col: str = "text") -> dict[str, dict[str, np.ndarray]]:
-    """Slot -> sorted hash arrays: ``gram`` with ``p``, and ``context`` with ``weight``.
+    return base.mapInArrow(run, "block bigint, docs binary, langs array<bigint>, gists array<bigint>")
 
-    At most (``LANGUAGES`` + 1) times 32**4 * 32 / 31 n-grams of 16 bytes, whatever the corpus; real text has a few hundredths of them.
-    """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("code")
-        orders = kneser_ney(pdf["code"].to_numpy(), pdf["c"].to_numpy())
-        arrays = []
-        for keys, values in (([hashed(k, o[0]) for k, o in orders.items()], [o[1] for o in orders.values()]), ([hashed(k - 1, o[2]) for k, o in orders.items()], [o[3] for o in orders.values()])):
-            h, v = np.concatenate(keys), np.concatenate(values)
-            at = np.argsort(h)
-            arrays += [h[at].tobytes(), v[at].tobytes()]
-        return pd.DataFrame([(pdf["slot"].iloc[0], *arrays)], columns=["slot", "gram", "p", "context", "weight"])
+def unpacked(docs: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(docs).read_next_batch()
 
-    texts = once_each(docs, slot, text_col)
-    rows = count_ngrams(texts, F.col("slot"), "text").groupBy("slot").applyInPandas(one, "slot string, gram binary, p binary, context binary, weight binary").collect()
-    kinds = {"gram": np.uint64, "p": np.float64, "context": np.uint64, "weight": np.float64}
-    return {r.slot: {name: np.frombuffer(r[name], kind) for name, kind in kinds.items()} for r in rows}
 
+def by_language(docs: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """(language, rows, texts) of a block's documents."""
+    names = docs.schema.names
+    langs, texts = docs.column(names.index("lang")).to_numpy(), as_bytes(docs.column(names.index("text")))
+    for lang in np.unique(langs).tolist():
+        at = np.flatnonzero(langs == lang)
+        yield lang, at, [texts[i] for i in at]
 
-def log_probability(model: dict[str, np.ndarray], code: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each 4-gram's last symbol after the others."""
 
-    def find(keys: np.ndarray, values: np.ndarray, h: np.ndarray, default: float) -> np.ndarray:
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where(keys[at] == h, values[at], default)
+def asked(table: DataFrame) -> DataFrame:
+    """(block, lang, grams, counts): each block's different n-grams, sorted, and how often they stand in texts that count.
 
-    p = np.full(len(code), 1 / CLASSES)
-    for k in range(1, ORDER + 1):
-        c = code & ((1 << BITS * k) - 1)
-        seen = find(model["gram"], model["p"], hashed(k, c), np.nan)
-        p = np.where(np.isnan(seen), find(model["context"], model["weight"], hashed(k - 1, c >> BITS), 1.0) * p, seen)
-    return np.log10(p)
+    Of the texts with one gist the first one counts; which of its documents count reaches a block as a bitmap.
+    """
+    each = table.select("block", F.posexplode(F.arrays_zip("langs", "gists")).alias("i", "d")).groupBy("d.langs", "d.gists").agg(F.min(F.struct("block", "i")).alias("first"))
+    counted = written(each.groupBy("first.block").agg(F.bitmap_construct_agg(F.col("first.i").cast("bigint")).alias("bits")), "counted")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, docs, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                first = np.unpackbits(np.frombuffer(bits or bytes(BLOCK_ROWS // 8), np.uint8), bitorder="little").astype(bool)
+                for lang, at, texts in by_language(unpacked(docs)):
+                    code, ends = codes(texts)
+                    sizes = np.diff(ends, prepend=0)
+                    grams = np.unique(code)
+                    counts = np.zeros(len(grams), np.int64)
+                    seen, n = np.unique(code[np.repeat(first[at], sizes)], return_counts=True)
+                    counts[np.searchsorted(grams, seen)] = n
+                    if len(grams):
+                        cells = [pa.array([x], kind) for x, kind in ((block, pa.int64()), (lang, pa.int64()), (grams.view(np.int64), pa.list_(pa.int64())), (counts, pa.list_(pa.int64())))]
+                        yield pa.RecordBatch.from_arrays(cells, names=["block", "lang", "grams", "counts"])
 
-def perplexities(model: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
-    """Mean negative log10 probability of a symbol, by text; 0 for an empty one."""
-    code, ends = codes(texts)
-    there = np.zeros(FULL, bool)
-    there[code] = True
-    distinct = np.flatnonzero(there)
-    table = np.zeros(FULL, np.float32)
-    table[distinct] = -log_probability(model, distinct)
-    total = np.append(0.0, np.cumsum(table[code], dtype=np.float64))
-    starts = np.append(0, ends[:-1])
-    return (total[ends] - total[starts]) / np.maximum(ends - starts, 1)
+    return table.select("block", "docs").join(counted, "block", "left").select("block", "docs", "bits").mapInArrow(run, "block bigint, lang bigint, grams array<bigint>, counts array<bigint>")
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words in 3-word windows found twice or more, first ones included."""
-    windows = list(zip(words, words[1:], words[2:]))
-    if len(set(windows)) == len(windows):
-        return 0
-    often = {w for w, n in Counter(windows).items() if n > 1}
-    total = reached = 0
-    for i, w in enumerate(windows):
-        if w in often:
-            total += i + 3 - max(i, reached)
-            reached = i + 3
-    return total
+def _low(gram: Column, symbols: int) -> Column:
+    """The last ``symbols`` of an n-gram."""
+    return gram.bitwiseAND(F.lit((1 << BITS * symbols) - 1).cast("bigint"))
 
 
-def statistics(text: bytes) -> tuple[int, int, int, int, int]:
-    words = text.split()  # bytes: at x20 and x09-x0D only
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    letters = b"".join(words)
-    points = len(letters) if letters.isascii() else len(letters.decode("utf-8"))
-    return len(words), points, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
+def discounts(levels: dict[int, DataFrame]) -> DataFrame:
+    """(lang, d1, d2, ...): of each order the three discounts, from how many n-grams occur once, twice, three and four times.
 
+    Fixed ones where there are too few counts to estimate them from.
+    """
+    every = reduce(DataFrame.union, [t.select("lang", "c", F.lit(k).alias("k")) for k, t in levels.items()])
+    found = every.groupBy("lang").agg(*[F.count_if((F.col("k") == k) & (F.col("c") == i)).cast("double").alias(f"n{k}{i}") for k in levels for i in (1, 2, 3, 4)])
 
-def annotate(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` with the statistics, ``log_perplexity``, ``base_failed``, the language's ``slot`` and the text's ``GIST``."""
-    slot = language(docs, lang_col)
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, slot, text_col))
+    def of(k: int) -> Column:
+        n = [F.col(f"n{k}{i}") for i in (1, 2, 3, 4)]
+        y = F.try_divide(n[0], n[0] + 2 * n[1])
+        d = [F.lit(i) - (i + 1) * y * F.try_divide(n[i], n[i - 1]) for i in (1, 2, 3)]
+        fits = F.least(*n) > 0
+        for i in (1, 2, 3):
+            fits = fits & (d[i - 1] > 0) & (d[i - 1] < i)
+        return F.when(fits, F.array(*d)).otherwise(F.array(F.lit(0.5), F.lit(1.0), F.lit(1.5)))
 
-    def work(columns, texts):
-        slots = columns["slot"].to_pylist()
-        scores = np.zeros(len(texts))
-        for name in set(slots):
-            at = [i for i, x in enumerate(slots) if x == name]
-            if name in model.value:
-                scores[at] = perplexities(model.value[name], [texts[i] for i in at])
-        stats = zip(*map(statistics, texts)) if texts else [()] * 5
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        gists = pa.array([near_copies.least_hash(t) for t in texts], pa.int64())
-        return {**{n: pa.array(c, pa.int64()) for n, c in zip(names, stats)}, "log_perplexity": pa.array(scores), GIST: gists}
+    return found.select("lang", *[of(k).alias(f"d{k}") for k in levels])
 
-    made = {"slot", "base_failed", "kept", *(f.split()[0] for f in FEATURES.split(", "))}
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    named = docs.withColumn("slot", slot)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return with_columns(named, work, f"{FEATURES}, {GIST} bigint", text_col=text_col, uses=("slot",), keep=[*kept, "slot"]).withColumn("base_failed", failed)
 
+def kneser_ney(grams: DataFrame) -> DataFrame:
+    """(lang, g, p): interpolated probability of each 4-gram's last symbol after the others, from grams(lang, g, c).
 
-def bands(annotated: DataFrame, width: float = WIDTH) -> DataFrame:
-    """(slot, lower, upper) of log perplexity: one row for each language slot; a gist's texts weigh once.
+    Lower orders count the different symbols that stand before. An n-gram with a count of 0 has its back-off probability. All
+    symbols of 16 bits share the rest of order one, so the probabilities of a context add up to one.
+    """
+    levels = {ORDER: written(grams, "grams")}
+    for k in range(ORDER - 1, 0, -1):
+        lower = levels[k + 1].groupBy("lang", _low(F.col("g"), k).alias("g")).agg(F.count_if(F.col("c") > 0).alias("c"))
+        levels[k] = written(lower, "grams") if k == ORDER - 1 else lower
+    d = broadcast_if_few(written(discounts(levels), "discounts"), FEW)
+    below = None
+    for k in range(1, ORDER + 1):
+        w = Window.partitionBy("lang", "h")  # as many rows as there are symbols, at most
+        kinds = [F.count_if(F.col("c") == 1).over(w), F.count_if(F.col("c") == 2).over(w), F.count_if(F.col("c") >= 3).over(w)]
+        known = levels[k].withColumn("h", F.shiftrightunsigned("g", BITS)).select("lang", "g", "c", F.sum("c").over(w).alias("total"), F.array(*kinds).alias("kinds"))
+        known = known.join(d.select("lang", F.col(f"d{k}").alias("d")), "lang")
+        if below is None:
+            known = known.withColumn("lower", F.lit(2.0**-BITS))
+        else:
+            known = known.withColumn("s", _low(F.col("g"), k - 1)).join(below.select("lang", F.col("g").alias("s"), F.col("p").alias("lower")), ["lang", "s"])
+        c, total = F.col("c"), F.col("total")
+        weight = sum((F.col("d")[i] * F.col("kinds")[i] for i in range(3)), F.lit(0.0))
+        own = F.when(c > 0, c - F.col("d")[F.least(c, F.lit(3)).cast("int") - 1]).otherwise(0.0)
+        below = known.select("lang", "g", F.when(total > 0, (own + weight * F.col("lower")) / F.nullif(total, F.lit(0))).otherwise(F.col("lower")).alias("p"))
+    return below
+
+
+def answers(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """(block, model): for each block the part of the model that it asked for, one sorted hash array for each language."""
+    rows = asked.select("block", "lang", F.explode("grams").alias("g")).join(model.select("lang", "g", F.log10("p").cast("float").alias("p")), ["lang", "g"])
+    arrays = rows.groupBy("block", "lang").agg(F.array_sort(F.collect_list(F.struct("g", "p"))).alias("m"))
+    return arrays.groupBy("block").agg(F.collect_list(F.struct("lang", F.col("m.g").alias("g"), F.col("m.p").alias("p"))).alias("model"))
+
+
+def scored(table: DataFrame, found: DataFrame, kept: list[tuple[str, str]], text_col: str) -> DataFrame:
+    """The blocks' documents: ``kept`` columns, statistics, log_perplexity (mean negative log10 probability of a symbol; 0 without any), lang, gist."""
+    stored = stored_as(kept, text_col)
+    names = [f"kept_{i}" for i in range(len(kept))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                docs = unpacked(batch.column(0)[i].as_py())
+                model = {}
+                for m in batch.column(1)[i].values or []:
+                    # as signed codes are sorted by Spark, they are turned to where unsigned ones stand
+                    g, p = m["g"].values.to_numpy().view(np.uint64), m["p"].values.to_numpy().astype(np.float64)
+                    order = np.argsort(g)
+                    model[m["lang"].as_py()] = g[order], p[order]
+                out = np.zeros(docs.num_rows)
+                for lang, at, texts in by_language(docs):
+                    code, ends = codes(texts)
+                    if not len(code):
+                        continue
+                    g, p = model[lang]
+                    total = np.append(0.0, np.cumsum(-p[np.searchsorted(g, code)]))
+                    starts = np.append(0, ends[:-1])
+                    out[at] = (total[ends] - total[starts]) / np.maximum(ends - starts, 1)
+                column = lambda n: docs.column(docs.schema.names.index(n))
+                yield pa.RecordBatch.from_arrays([*map(column, (*stored, *FEATURES)), pa.array(out), column("lang"), column("gist")], names=[*names, *FEATURES, "log_perplexity", "lang", "gist"])
+
+    kinds = ", ".join(f"{n} {kind}" for n, (_, kind) in zip(names, kept))
+    schema = (f"{kinds}, " if kept else "") + ", ".join(f"{f} bigint" for f in FEATURES) + ", log_perplexity double, lang bigint, gist bigint"
+    return table.join(found, "block", "left").select("docs", "model").mapInArrow(run, schema)
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
+def bands(marked: DataFrame, width: float = WIDTH) -> DataFrame:
+    """(lang, lower, upper) of log perplexity: one row for each language; a gist's texts weigh once.
 
     Quartiles come from counts by steps of 1 / ``STEPS``, so they are the same in every run, and a language has some tens
     of thousands of steps at most however many documents it has.
     """
     step = F.round(F.col("log_perplexity") * STEPS).cast("bigint")
-    passed = annotated.filter(~F.col("base_failed")).select("slot", GIST, step.alias("step"))
-    once = passed.groupBy("slot", GIST).agg(F.min_by("step", F.xxhash64("step")).alias("step"))
-    counted = once.groupBy("slot", "step").agg(F.count("*").alias("n"))
-    below = F.sum("n").over(Window.partitionBy("slot").orderBy("step"))
-    placed = counted.withColumn("below", below).withColumn("all", F.sum("n").over(Window.partitionBy("slot")))
+    passed = marked.filter(~base_failed()).select("lang", "gist", step.alias("step"))
+    once = passed.groupBy("lang", "gist").agg(F.min_by("step", F.xxhash64("step")).alias("step"))
+    counted = once.groupBy("lang", "step").agg(F.count("*").alias("n"))
+    below = F.sum("n").over(Window.partitionBy("lang").orderBy("step"))
+    placed = counted.withColumn("below", below).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
     quartile = lambda q: F.min(F.when(F.col("below") >= q * F.col("all"), F.col("step"))) / STEPS
-    by = placed.groupBy("slot").agg(quartile(0.25).alias("a"), quartile(0.75).alias("b"))
+    by = placed.groupBy("lang").agg(quartile(0.25).alias("a"), quartile(0.75).alias("b"))
     spread = F.greatest(width * (F.col("b") - F.col("a")) + 0.5 / STEPS, F.lit(LEAST))
-    return by.select("slot", (F.col("a") - spread).alias("lower"), (F.col("b") + spread).alias("upper"))
+    return by.select("lang", (F.col("a") - spread).alias("lower"), (F.col("b") + spread).alias("upper"))
 
 
 def quality_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, width: float = WIDTH) -> DataFrame:
     """``keep`` columns (all, if None) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity, base_failed, kept."""
-    marked = written(annotate(docs, text_col=text_col, lang_col=lang_col, keep=keep), "rules")
-    # LANGUAGES + 1 rows at most, so the limits travel with the plan
-    limits = {r.slot: (r.lower, r.upper) for r in bands(marked, width).collect()}
-    inside = F.lit(True)
-    for name, (lower, upper) in limits.items():
-        inside = F.when(F.col("slot") == name, F.col("log_perplexity").between(lower, upper)).otherwise(inside)
-    return marked.withColumn("kept", ~F.col("base_failed") & inside).drop("slot", GIST)
+    made = {*FEATURES, "log_perplexity", "base_failed", "kept"}
+    kept = [(c, kind) for c, kind in docs.dtypes if c not in made and (keep is None or c in keep)]
+    table = written(blocks(docs, kept, text_col, lang_col), "blocks")
+    wanted = written(asked(table), "asked")
+    counts = wanted.select("lang", F.explode(F.arrays_zip("grams", "counts")).alias("x")).groupBy("lang", F.col("x.grams").alias("g")).agg(F.sum("x.counts").alias("c"))
+    marked = written(scored(table, answers(wanted, kneser_ney(counts)), kept, text_col), "rules")
+    limits = broadcast_if_few(written(bands(marked, width), "bands"), FEW)
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
+    judged = marked.join(limits, "lang", "left").withColumn("base_failed", base_failed())
+    names = [F.col(f"kept_{i}").alias(c) for i, (c, _) in enumerate(kept)]
+    return judged.select(*names, *FEATURES, "log_perplexity", "base_failed", (~F.col("base_failed") & inside).alias("kept"))

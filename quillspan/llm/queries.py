@@ -20,8 +20,8 @@ def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.mux(documents(spark, sf_dir))
     found = media.probe(stored, keep=["doc_id", "n_bytes"], read=True)
-    keys = F.expr("concat(codec, ':', cast(duration_s as string), ':', samples, ':', size(keyframes), ':', keyframes[0].offset, '+', keyframes[0].size, ':', element_at(keyframes, -1).offset)")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("media_bytes").cast("long"), "media_sha256", keys.alias("feature"))
+    keys = F.expr("concat(t.codec, ':', cast(t.duration_s as string), ':', t.samples, ':', size(t.keyframes), ':', t.keyframes[0].offset, '+', t.keyframes[0].size, ':', element_at(t.keyframes, -1).offset)")
+    return found.withColumn("t", F.col("tracks")[0]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("media_bytes").cast("long"), "media_sha256", keys.alias("feature"))
 
 
 def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,14 +12,17 @@ Decoding is lossless: spaces become the word mark and back, a character that is
 is a word mark that stands in the text itself.
 
 Defined cases: a null or empty text has no pieces; a null key draws as key 0; equal rows are sampled alike; runs of spaces,
-very long words and any Unicode text are kept; an empty table gives no rows.
+very long words (text without spaces, walked in windows) and any Unicode text are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from itertools import chain
+from array import array
+from bisect import bisect_right
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,8 @@ CELLS = 1 << 18
 DENSE = 192
 #: Places whose smallest weights multiply without underflow.
 UNSCALED = 24
+#: Bytes of a word beyond which it is walked place by place, in windows of so many characters, on its own.
+LONG_BYTES, WINDOW = 1024, 1 << 15
 
 
 def default_model() -> str:
@@ -205,6 +210,73 @@ def backward(f: dict, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate(who), np.concatenate(got)
 
 
+class LongWord:
+    """The lattice of one very long word (text without spaces), of which a window's pieces are held at a time.
+
+    The forward sums, as logarithms, are carried from window to window, 8 bytes for a character; the backward pass takes the
+    windows in reverse and finds their pieces again. Draws are those of ``backward``: from the word's key and the step.
+    """
+
+    def __init__(self, lat: Lattice, word: bytes):
+        code = np.frombuffer(word.decode("utf-8").encode("utf-32-le"), "<u4").astype(np.int64)
+        self.lat, self.code = lat, np.where(code == ord(MARK), LITERAL, np.where(code == 32, ord(MARK), code))
+        self.symbol, self.n = lat.symbol[self.code], len(code)
+
+    def pieces(self, start: int, end: int) -> tuple[list[int], list[int], list[int], list[float]]:
+        """Pieces that end at the places from ``start`` + 1 to ``end``: where each place's begin in the lists, and length, id and log weight."""
+        lat, low = self.lat, max(0, start + 1 - self.lat.longest)
+        at = np.arange(low, end)
+        node = np.zeros(len(at), np.int32)
+        ends, sizes, ids = [], [], []
+        for length in range(1, lat.longest + 1):
+            ok = at + length <= end
+            at, node = at[ok], node[ok]
+            node = lat.step(node, self.symbol[at + length - 1])
+            at, node = at[node > 0], node[node > 0]
+            if not len(at):
+                break
+            piece = lat.piece[node]
+            hit = (piece >= 0) & (at + length > start)
+            ends.append(at[hit] + length)
+            sizes.append(np.full(int(hit.sum()), length))
+            ids.append(piece[hit])
+        one = ends[0][sizes[0] == 1] if ends else np.empty(0, np.int64)
+        lone = np.setdiff1d(np.arange(start + 1, end + 1), one)  # characters that are no piece are spelled in bytes
+        end_, size, id_ = (np.concatenate([*x, y]) for x, y in ((ends, lone), (sizes, np.ones(len(lone), np.int64)), (ids, SPELLED + self.code[lone - 1])))
+        order = np.lexsort((size, end_))
+        end_, size, id_ = end_[order], size[order], id_[order]
+        weight = np.log(np.where(id_ >= SPELLED, lat.byte_weight, lat.weight[np.minimum(id_, len(lat.weight) - 1)]))
+        return np.searchsorted(end_, np.arange(start + 1, end + 2)).tolist(), size.tolist(), id_.tolist(), weight.tolist()
+
+    def sample(self, key: int) -> np.ndarray:
+        """Ids of one sampled segmentation, in order."""
+        exp, log, alpha = math.exp, math.log, array("d", [0.0])
+        for start in range(0, self.n, WINDOW):
+            end = min(self.n, start + WINDOW)
+            first, size, _, weight = self.pieces(start, end)
+            for k in range(end - start):
+                a, b, place = first[k], first[k + 1], start + k + 1
+                parts = [alpha[place - size[i]] + weight[i] for i in range(a, b)]
+                top = max(parts)
+                alpha.append(top + log(sum([exp(x - top) for x in parts])))
+        out, place, step, draws = array("q"), self.n, 0, []
+        for start in reversed(range(0, self.n, WINDOW)):
+            if place <= start:
+                continue
+            first, size, ids, weight = self.pieces(start, place)
+            while place > start:
+                if step % WINDOW == 0:
+                    steps = np.arange(step, step + WINDOW, dtype=np.uint64)
+                    draws = ((mix(np.uint64(key) + steps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+                a, b, now = first[place - start - 1], first[place - start], alpha[place]
+                share = list(accumulate([exp(alpha[place - size[i]] + weight[i] - now) for i in range(a, b)]))
+                i = a + min(bisect_right(share, draws[step % WINDOW] * share[-1]), b - a - 1)
+                out.append(ids[i])
+                place -= size[i]
+                step += 1
+        return np.frombuffer(out, np.int64)[::-1]
+
+
 def sample_batch(lat: Lattice, texts: list[bytes], keys: np.ndarray, seed: int = SEED) -> list[np.ndarray]:
     """Sampled piece ids of each text."""
     split = [words_of(t) if t else [] for t in texts]
@@ -226,12 +298,14 @@ def sample_batch(lat: Lattice, texts: list[bytes], keys: np.ndarray, seed: int =
     ranked = sizes[by_size]
     group, slot = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
     groups, start = [], 0
-    while start < len(by_size):
-        alike = int(np.searchsorted(ranked, max(4, int(ranked[start]) * 5 // 4 + 1), "right"))
+    short = int(np.searchsorted(ranked, LONG_BYTES, "right"))
+    while start < short:
+        alike = min(short, int(np.searchsorted(ranked, max(4, int(ranked[start]) * 5 // 4 + 1), "right")))
         end = min(alike, start + max(1, CELLS // int(ranked[alike - 1])))
         group[by_size[start:end]], slot[by_size[start:end]] = len(groups), np.arange(end - start)
         groups.append(by_size[start:end])
         start = end
+    group[by_size[short:]] = len(groups)
     of = group[index]
     order = np.argsort(of, kind="stable")
     bounds = np.searchsorted(of[order], np.arange(len(groups) + 1))
@@ -241,6 +315,10 @@ def sample_batch(lat: Lattice, texts: list[bytes], keys: np.ndarray, seed: int =
         a, b = backward(forward(lat, [distinct[i] for i in members]), slot[index[mine]], key[mine])
         who.append(mine[a])
         got.append(b)
+    for i in order[bounds[-1] :].tolist():
+        ids = LongWord(lat, flat[i]).sample(int(key[i]))
+        who.append(np.full(len(ids), i))
+        got.append(ids[::-1])
     occurrence, ids = np.concatenate(who), np.concatenate(got)
     # the draws of an occurrence come last piece first
     counts = np.bincount(occurrence, minlength=total)

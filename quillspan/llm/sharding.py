@@ -1,8 +1,9 @@
 """Two-pass external shuffle.
 
 Pass one scatters rows uniformly, by a seeded hash of all their columns, into buckets small enough for memory; pass two runs
-Fisher-Yates (Spark's ``shuffle``) over each bucket. The shuffled buckets, one after the other, are a random order of
-all rows, dealt out to the shards one by one, so shard sizes differ by one row at most. Only DataFrame functions.
+a Fisher-Yates shuffle over each bucket, whose draws are hashes of the seed, the bucket and the step. The shuffled buckets,
+one after the other, are a random order of all rows, dealt out to the shards one by one, so shard sizes differ by one row at
+most. The order depends on the seed, the rows and the number of buckets alone, in any partitioning. Only DataFrame functions.
 
 Rows with equal or null keys part by their other columns. Of rows equal in all columns that occur more than ``REPEATED``
 times one is kept with its count; the copies are made again, each with a number that its hash takes in. So no bucket is
@@ -59,6 +60,19 @@ def scatter(rows: DataFrame, buckets: int, *, key: str = "doc_id", seed: int = S
     return dealt(once, F.lit(0).cast("bigint")).union(dealt(copies, F.col("copy")))
 
 
+def fisher_yates(items: Column, bucket: Column, seed: int) -> Column:
+    """``items`` in a random order, by the inside-out form: place i takes a new index, and swaps it with that of a place up to i."""
+
+    def step(done: Column, i: Column) -> Column:
+        j = F.pmod(F.xxhash64(F.lit(seed), bucket, i), i + 1)
+        last = F.array(i)
+        swapped = F.concat(F.slice(done, 1, j), last, F.slice(done, j + 2, i - j - 1), F.slice(done, j + 1, 1))
+        return F.when(j == i, F.concat(done, last)).otherwise(swapped)
+
+    steps = F.sequence(F.lit(0), F.size(items) - 1)
+    return F.transform(F.aggregate(steps, F.array().cast("array<int>"), lambda done, i: step(done, i)), lambda i: items[i])
+
+
 def external_shuffle(rows: DataFrame, *, key: str = "doc_id", shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of ``rows`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard).
 
@@ -82,8 +96,7 @@ def _placed(rows: DataFrame, key: str = "doc_id", shards: int = SHARDS, seed: in
         .repartition("part")
         .groupBy("part", "b")
         .agg(F.sort_array(F.collect_list("item")).alias("items"))
-        .sortWithinPartitions("b")  # so that a task that runs again draws the same numbers for the same bucket
-        .select("part", "b", F.shuffle("items", F.lit(seed)).alias("items"))
+        .select("part", "b", fisher_yates(F.col("items"), F.col("b"), seed).alias("items"))
         .select("part", "b", F.posexplode("items").alias("i", "item"))
     )
 

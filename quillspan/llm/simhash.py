@@ -8,10 +8,13 @@ Each distinct fingerprint gets a table of its Hamming distances to many referenc
 * 16 seeded pivots discard candidates: by the triangle inequality no coordinate of a linked pair differs by more
   than two (the maximum coordinate difference). The survivors are verified bit by bit.
 
-A key with more than ``BUCKET`` fingerprints isn't paired up. Its members go by an exact other way: each names the 65
-fingerprints within one bit of itself, and those that name the same one are linked to the least of them. Two fingerprints
-name one in common just when they differ in two bits or fewer, and no more than 65 can name the same, so the work is linear
-however large the group. Equal texts share a fingerprint and are never paired at all.
+A key with more than ``BUCKET`` fingerprints isn't paired up but refined: of the coordinates that it doesn't hold yet at most
+two differ either, so in four smaller groups of them two must agree again. Keys thus grow with the number of fingerprints,
+of 16 coordinates to 24, on which two random fingerprints agree once in 2e10 pairs. What is still dense then is a
+cloud of fingerprints that are close in truth. Its members go by another exact way: each names the 65 fingerprints within
+one bit of itself, and those that name the same one are linked to the least of them. Two fingerprints name one in common
+just when they differ in two bits or fewer, and no more than 65 can name the same, so the work is linear however
+large the cloud. Equal texts share a fingerprint and are never paired at all.
 
 Defined cases: a text without words, null or empty, has fingerprint zero and is linked like any other; fewer than three
 words are one shingle; equal rows share a class; null ids don't name a class unless it has no other; an empty table
@@ -20,20 +23,21 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, map_texts, written
 
 SHINGLE, SEED, REACH = 3, 42, 2
-#: Members of a key that are paired up directly.
-BUCKET = 64
-GROUPS, GROUP_COORDINATES = 4, 8
+#: Members of a key that are paired up directly, and times that a larger key is refined.
+BUCKET, REFINE = 64, 1
+COORDINATES = 32
 
 
 def _signed(x: int) -> int:
@@ -45,7 +49,7 @@ def _pivots(n: int, seed: int) -> list[int]:
 
 
 BASE, *FAR = _pivots(17, 20_240)
-PAIRS = [_signed((BASE & (1 << 64) - 1) ^ (3 << 2 * j)) for j in range(GROUPS * GROUP_COORDINATES)]
+PAIRS = [_signed((BASE & (1 << 64) - 1) ^ (3 << 2 * j)) for j in range(COORDINATES)]
 
 
 def fingerprint_batch(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
@@ -79,32 +83,46 @@ def distance(a: Column | int, b: Column | int) -> Column:
 
 
 def pivot_table(distinct: DataFrame) -> DataFrame:
-    """(fp, keys, far): the six keys from the distances to the paired pivots, and the distances to the far ones."""
+    """(fp, turned, far): the coordinates from the distances to the paired pivots, two bits each, and the distances to the far ones."""
     fp = F.col("fp")
     near = distinct.select("fp", distance(fp, BASE).alias("d0"), F.array(*[distance(fp, p) for p in PAIRS]).alias("d"), F.array(*[distance(fp, p).cast("tinyint") for p in FAR]).alias("far"))
-    turned = [((2 - (F.col("d")[j] - F.col("d0"))) / 2).cast("bigint") for j in range(len(PAIRS))]
-    part = [sum((F.shiftleft(turned[g * GROUP_COORDINATES + i], 2 * i) for i in range(GROUP_COORDINATES)), F.lit(0).cast("bigint")) for g in range(GROUPS)]
-    parts = near.select("fp", "far", *[p.alias(f"p{g}") for g, p in enumerate(part)])
-    keys = [F.shiftleft(F.lit(k).cast("bigint"), 32) + F.shiftleft(F.col(f"p{a}"), 16) + F.col(f"p{b}") for k, (a, b) in enumerate(combinations(range(GROUPS), 2))]
-    return parts.select("fp", "far", F.array(*keys).alias("keys"))
+    turned = [F.shiftleft(((2 - (F.col("d")[j] - F.col("d0"))) / 2).cast("bigint"), 2 * j) for j in range(COORDINATES)]
+    return near.select("fp", reduce(Column.bitwiseOR, turned).alias("turned"), "far")
 
 
-def links(distinct: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
+def refined(members: DataFrame, coordinates: int) -> DataFrame:
+    """(fp, far, key, left): each of ``members(fp, far, key, left)`` with six keys more selective than its own.
+
+    ``left`` holds the coordinates that the key doesn't, ``coordinates`` of them, in four groups; a new key adds two groups.
+    """
+    width = 2 * coordinates // 4
+    part = [F.shiftrightunsigned("left", g * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")) for g in range(4)]
+    both = lambda a, b: F.shiftleft(part[a], width).bitwiseOR(part[b])
+    choices = [(k, (a, b), tuple(g for g in range(4) if g not in (a, b))) for k, (a, b) in enumerate(combinations(range(4), 2))]
+    keys = F.array(*[F.struct(F.xxhash64("key", F.lit(k), both(*held)).alias("key"), both(*rest).alias("left")) for k, held, rest in choices])
+    return members.select("fp", "far", F.explode(keys).alias("k")).select("fp", "far", "k.key", "k.left")
+
+
+def links(distinct: DataFrame, *, bucket: int = BUCKET, refine: int = REFINE) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of ``distinct`` fingerprints with two differing bits or fewer."""
-    keyed = written(pivot_table(distinct).select("fp", "far", F.explode("keys").alias("key")), "pivots")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = keyed.join(sizes, "key")
-    few = members.filter(F.col("n") <= bucket).drop("n")
-    x, y = few.select("key", F.col("fp").alias("a"), F.col("far").alias("da")), few.select("key", F.col("fp").alias("b"), F.col("far").alias("db"))
+    members = pivot_table(distinct).select("fp", "far", F.lit(0).cast("bigint").alias("key"), F.col("turned").alias("left"))
+    found = []
     apart = F.array_max(F.zip_with("da", "db", lambda p, q: F.abs(p - q)))
-    paired = x.join(y, "key").filter("a < b").filter(apart <= REACH).filter(distance(F.col("a"), F.col("b")) <= REACH).select("a", "b")
+    for level in range(refine + 1):
+        keyed = written(refined(members, COORDINATES >> level), "pivots")
+        sized = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+        few = sized.filter(F.col("n") <= bucket)
+        x, y = few.select("key", F.col("fp").alias("a"), F.col("far").alias("da")), few.select("key", F.col("fp").alias("b"), F.col("far").alias("db"))
+        found.append(x.join(y, "key").filter("a < b").filter(apart <= REACH).filter(distance(F.col("a"), F.col("b")) <= REACH).select("a", "b"))
+        members = written(sized.filter(F.col("n") > bucket).select("fp", "far", "key", "left"), "dense")
+        if members.isEmpty():
+            break
 
-    many = members.filter(F.col("n") > bucket).select("fp").distinct()
     around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i)).cast("bigint")) for i in range(64)])
-    named = many.select("fp", F.explode(around).alias("mid"))
+    named = members.select("fp").distinct().select("fp", F.explode(around).alias("mid"))
     least = named.groupBy("mid").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).filter("b < most").select("mid", "b")
     hubs = named.join(least, "mid").filter("fp <> b").select(F.col("fp").alias("a"), "b")
-    return paired.union(hubs)
+    return reduce(DataFrame.union, found, hubs)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
@@ -117,19 +135,3 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"))
     classes = rooted.join(lowest, "root", "left").select("fp", F.coalesce("lowest", "low").alias("component"))
     return prints.join(classes, "fp", "left").select(F.col("id").alias(id_col), "fp", "component")
-
-
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """``docs`` without near-duplicates: of each class the document with the smallest id stays, once.
-
-    Rows without an id can't be told apart by the links and all stay.
-    """
-    return without_copies(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, bucket=bucket), id_col, text_col)
-
-
-def without_copies(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` whose id is its own component in ``found(id, component)``, each once, and rows without an id."""
-    extra = found.filter(F.col(id_col) != F.col("component")).select(id_col).distinct()
-    left = docs.join(extra, id_col, "left_anti").select(docs.columns)
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    return left.withColumn("__nth", nth).filter((F.col("__nth") == 1) | F.col(id_col).isNull()).drop("__nth")

@@ -4,7 +4,8 @@ An entry (domain, action, listed_at) holds for the domain and all hosts below it
 ``remove`` ends what stood before. For each host the entries of all its parent domains are laid out on one time line of
 intervals, in which the most specific domain with an active entry decides. Captures then join that time line on the host and
 a time bucket, with the interval as a residual condition, so each capture meets one interval at most: nothing needs to be
-grouped by capture afterwards, and a hot host's captures spread over the buckets (and Spark may split them further).
+grouped by capture afterwards, and a hot host's captures spread over the buckets, which grow in number with them. A short
+domain's entries are repeated for each of ``SALTS`` keys, over which the hosts below it are dealt out.
 Only DataFrame functions.
 
 Defined cases: captures without a host or a fetch time, or before the first entry, are ``none``; entries without a domain
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Time buckets between the first and the last capture.
-BUCKETS = 64
+#: Time buckets between the first and the last capture: so many at least, and one for so many captures.
+BUCKETS, BUCKET_CAPTURES = 64, 2_000_000
+#: Domains of so few labels (``com``, ``co.uk``) have many hosts below them, which are dealt out over so many keys.
+SHORT, SALTS = 2, 32
 #: From weak to strong, for entries of one domain and date.
 ACTIONS = ("remove", "allow", "block")
 
@@ -53,8 +56,10 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 
 def time_lines(hosts: DataFrame, entries: DataFrame) -> DataFrame:
     """(host, valid_from, valid_to, matched_domain, listed_at, action): each host's intervals, most specific entry first."""
-    parts = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("s")).select("host", "s.level", "s.domain")
-    events = written(parts.join(dated(entries), "domain").select("host", "level", "domain", "listed_at", "action"), "events")
+    parts = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("s")).select("host", "s.level", "s.domain", F.when(F.col("s.level") <= SHORT, F.pmod(F.xxhash64("host"), F.lit(SALTS))).otherwise(0).alias("salt"))
+    short = F.size(F.split("domain", r"\.")) <= SHORT
+    listed = dated(entries).withColumn("salt", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    events = written(parts.join(listed, ["domain", "salt"]).select("host", "level", "domain", "listed_at", "action"), "events")
     turns = events.select("host", F.col("listed_at").alias("at")).distinct()
     levels = events.select("host", "level", "domain").distinct()
     seen = F.struct("listed_at", "action")
@@ -73,9 +78,9 @@ def temporal_join(captures: DataFrame, entries: DataFrame, *, url_col: str = "ur
     made = ("host", "action", "matched_domain", "listed_at", "blocked")
     names = [c for c in captures.columns if c not in made]
     keyed = captures.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in names], host_of(F.col(f"`{url_col}`")).alias("host"), F.unix_micros(F.col(f"`{time_col}`").cast("timestamp")).alias("t"))
-    first, last = keyed.agg(F.min("t"), F.max("t")).first()
+    first, last, n = keyed.agg(F.min("t"), F.max("t"), F.count("*")).first()
     first, last = first or 0, last or 0
-    width = (last - first) // BUCKETS + 1
+    width = (last - first) // max(BUCKETS, n // BUCKET_CAPTURES) + 1
     bucket = lambda t: F.floor((t - F.lit(first)) / F.lit(width))
 
     # hosts and their events are written once: three steps read them, and captures are not scanned again for each

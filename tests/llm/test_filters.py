@@ -2,17 +2,22 @@
 
 import datetime as dt
 import math
+import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillspan.llm import bradley_terry, deleted_interpolation, quality_rules, queries, url_filters
 
+from .conftest import prose
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -70,20 +75,95 @@ def test_rules_keep_clean_documents_of_the_corpus(spark):
     assert share[1] > 0.97 and share[0] < 0.6
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(1)
-    text = bytes(rng.choice(list(b"aabbbc de.x"), 5000).tolist())
-    code, _ = quality_rules.codes([text])
-    grams, counts = np.unique(code, return_counts=True)
-    model = {}
-    parts = quality_rules.kneser_ney(grams.astype(np.int64), counts)
-    h = np.concatenate([quality_rules.hashed(k, g) for k, (g, _, _, _) in parts.items()])
-    c = np.concatenate([quality_rules.hashed(k - 1, x) for k, (_, _, x, _) in parts.items()])
-    at, ct = np.argsort(h), np.argsort(c)
-    model = {"gram": h[at], "p": np.concatenate([p for _, p, _, _ in parts.values()])[at], "context": c[ct], "weight": np.concatenate([w for _, _, _, w in parts.values()])[ct]}
-    for context in [*np.unique(grams >> 5)[:40].tolist(), 12345]:  # seen contexts and an unseen one
-        p = 10 ** quality_rules.log_probability(model, (context << 5) + np.arange(32))
-        assert p.sum() == pytest.approx(1, abs=1e-9) and (p > 0).all()
+def symbols(text):
+    return [ord(" ") if c.isspace() else ord("0") if c.isdecimal() else ord(c.lower()[0]) for c in text]  # none beyond 16 bits here
+
+
+def gist(text):
+    words = lower(text).split()
+    runs = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+    return min((signed(xxhash.xxh64_intdigest(x.encode(), 43)) for x in runs), default=0)
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_kneser_ney(texts):
+    """A function from a 4-gram to its probability, learned from ``texts``."""
+    grams = lambda t: list(zip(*([*[32] * 3, *symbols(t)][k:] for k in range(4))))
+    counts = {4: Counter(g for t in texts for g in grams(t))}
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cut = {}
+    for k, c in counts.items():
+        n = [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
+        cut[k] = [0.5, 1.0, 1.5]
+        if all(n):
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [i - (i + 1) * y * n[i] / n[i - 1] for i in (1, 2, 3)]
+            cut[k] = d if all(0 < d[i - 1] < i for i in (1, 2, 3)) else cut[k]
+    after = {k: {} for k in counts}
+    for k, c in counts.items():
+        for g, v in c.items():
+            after[k].setdefault(g[:-1], []).append(v)
+
+    def p(g):
+        if not g:
+            return 2.0**-16
+        k, own = len(g), after[len(g)].get(g[:-1])
+        if not own:
+            return p(g[1:])
+        v = counts[k][g]
+        held = sum(cut[k][min(x, 3) - 1] for x in own)
+        return ((v - cut[k][min(v, 3) - 1] if v else 0) + held * p(g[1:])) / sum(own)
+
+    return p, grams
+
+
+def test_perplexities_and_bands_match_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(i, 55 + i), ("en", "fr", None)[i % 3]) for i in range(36)] + [(40 + i, prose(9, 64), "en") for i in range(30)]
+    rows += [(80, "Ein Wort 12 " * 40, "de"), (81, None, "en"), (82, "", "fr"), (83, "Слово и дело " * 3 + prose(7, 60), "ru"), (84, "zq#x " * 60 + prose(3, 50), "en"), (85, "".join(rng.choice("qxzvkyw#") + " " * (rng.random() < 0.3) for _ in range(400)), "fr")]
+    table = spark.createDataFrame(rows, "doc_id int, text string, lang string").coalesce(1)  # so the first of a gist is the first row
+    got = {r.doc_id: r for r in quality_rules.quality_rules(table).collect()}
+    perplexity = {}
+    for lang in {r[2] for r in rows}:
+        mine = [(i, t or "") for i, t, g in rows if g == lang]
+        first: dict = {}
+        for i, t in mine:
+            first.setdefault(gist(t), t)
+        p, grams = brute_kneser_ney(first.values())
+        seen: dict = {}
+        for i, t in mine:
+            perplexity[i] = -sum(math.log10(p(g)) for g in grams(t)) / len(t) if t else 0.0
+            assert got[i].log_perplexity == pytest.approx(perplexity[i], abs=2e-6)
+            if not got[i].base_failed:
+                seen.setdefault(gist(t), set()).add(round(got[i].log_perplexity * 10_000))
+        hashed = lambda s: signed(xxhash.xxh64_intdigest(struct.pack("<q", s), 42))
+        steps = sorted(min(s, key=hashed) for s in seen.values())
+        if steps:
+            a, b = (steps[math.ceil(q * len(steps)) - 1] / 10_000 for q in (0.25, 0.75))
+            spread = max(2.5 * (b - a) + 0.00005, 0.025)
+        for i, t in mine:
+            assert got[i].kept == (not got[i].base_failed and a - spread <= got[i].log_perplexity <= b + spread), i
+    assert not got[85].kept and not got[85].base_failed and got[83].kept  # noise goes, a lone language stays
+    assert sum(r.kept for r in got.values()) > 50
+
+
+def test_probabilities_of_a_context_add_up(spark):
+    text = [symbols(prose(1, 400))]
+    grams = Counter(zip(*(text[0][k:] for k in range(4))))
+    code = lambda g: sum(s << 16 * (3 - k) for k, s in enumerate(g))
+    alphabet = sorted({s for g in grams for s in g})
+    contexts = list({g[:3] for g in grams})[:5] + [(1, 2, 3)]
+    asked = {(*h, s) for h in contexts for s in alphabet}
+    table = spark.createDataFrame([(1, code(g), grams[g]) for g in {*grams, *asked}], "lang bigint, g bigint, c bigint")
+    p = {r.g: r.p for r in quality_rules.kneser_ney(table).collect()}
+    low = 0.1 * 2.0**-16  # what symbols that never occur share
+    for h in contexts:
+        total = sum(p[code((*h, s))] for s in alphabet)
+        assert 1 - 65536 * low < total <= 1 + 1e-9
 
 
 def test_language_model_matches_brute_force(docs, rows):
