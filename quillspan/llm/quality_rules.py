@@ -3,14 +3,15 @@
 The model of a language is an interpolated modified Kneser-Ney model (Chen and Goodman, 1999) of 4-grams of characters:
 code points in lower case, white space and digits being one symbol each, so every script is modelled. Spark counts the
 n-grams and derives discounts, back-off weights and probabilities as joins and windows over tables of n-grams, by language; the
-model grows with the corpus and is never gathered in one place.
+model grows with the corpus.
 
-How it runs. The documents become blocks of a few megabytes (``blocks``). A block adds up its own n-grams first and sends each
-different one once (``asked``). The model answers every block with the n-grams that it holds as a sorted hash array (the
-64-bit code of four symbols is its hash) beside the array of their log probabilities, in which the block's documents look up
-each of their symbols (``scored``). What is sent grows with the blocks, in proportion to the data.
+How it runs. The documents become blocks of some megabytes (``blocks``). A block adds up its own n-grams first and sends each
+different one once (``asked``). What the model tells of an n-gram is kept in sorted hash arrays (the 64-bit code of four
+symbols is its hash) beside the arrays of log probabilities, in which a document looks up each of its symbols (``scored``).
+A model of up to ``MODEL_FEW`` n-grams, which that of a few alphabets never passes, is broadcast. A larger one is joined with what
+the blocks asked for, and each block gets its own part (``answers``): the same values, and rows in proportion to the data.
 
-A document's perplexity must lie in its language's band: the middle half of its language's texts, in log10 per
+Each symbol is judged with one occurrence of its n-gram left out. A document's perplexity must lie in its language's band: the middle half of its language's texts, in log10 per
 symbol, widened on both sides by ``WIDTH`` times its own width, and by ``LEAST`` at least. Below it lie texts that repeat
 themselves, above it noise. Texts with the same least hash of a five-word shingle weigh once: copies always share it, and
 near copies with a probability of their Jaccard similarity, so a large group of either can't narrow the band. The
@@ -49,8 +50,8 @@ SYMBOLS = b"#*$%&|<>"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Text of a block, in bytes, and rows of one, the bits of a bitmap of Spark's. N-grams are made of so much text at once.
 BLOCK_BYTES, BLOCK_ROWS, RUN_BYTES = 16 << 20, 1 << 15, 2 << 20
-#: Rows of tables by language up to this many are looked up by broadcast.
-FEW = 200_000
+#: Rows of tables by language up to this many are looked up by broadcast; and n-grams of a model, of 20 bytes each.
+FEW, MODEL_FEW = 200_000, 3_000_000
 
 
 @cache
@@ -212,11 +213,21 @@ def discounts(levels: dict[int, DataFrame]) -> DataFrame:
     return found.select("lang", *[of(k).alias(f"d{k}") for k in levels])
 
 
+def _estimate(c: Column, total: Column, kinds: list[Column], lower: Column) -> Column:
+    """Interpolated probability from a count, its context's total and numbers of n-grams seen once, twice and more, and the discounts ``d``."""
+    weight = sum((F.col("d")[i] * kinds[i] for i in range(3)), F.lit(0.0))
+    own = F.when(c > 0, c - F.col("d")[F.least(c, F.lit(3)).cast("int") - 1]).otherwise(0.0)
+    return F.when(total > 0, (own + weight * lower) / F.nullif(total, F.lit(0))).otherwise(lower)
+
+
 def kneser_ney(grams: DataFrame) -> DataFrame:
-    """(lang, g, p): interpolated probability of each 4-gram's last symbol after the others, from grams(lang, g, c).
+    """(lang, g, p, q): interpolated probability of each 4-gram's last symbol after the others, from grams(lang, g, c).
 
     Lower orders count the different symbols that stand before. An n-gram with a count of 0 has its back-off probability. All
     symbols of 16 bits share the rest of order one, so the probabilities of a context add up to one.
+
+    ``q`` is the probability with one occurrence of the n-gram left out of the counts, of lower orders too where it was the
+    only one: texts are judged by it, for a text of rare n-grams would know itself by heart.
     """
     levels = {ORDER: written(grams, "grams")}
     for k in range(ORDER - 1, 0, -1):
@@ -230,13 +241,15 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
         known = levels[k].withColumn("h", F.shiftrightunsigned("g", BITS)).select("lang", "g", "c", F.sum("c").over(w).alias("total"), F.array(*kinds).alias("kinds"))
         known = known.join(d.select("lang", F.col(f"d{k}").alias("d")), "lang")
         if below is None:
-            known = known.withColumn("lower", F.lit(2.0**-BITS))
+            known = known.withColumns({"lp": F.lit(2.0**-BITS), "lq": F.lit(2.0**-BITS)})
         else:
-            known = known.withColumn("s", _low(F.col("g"), k - 1)).join(below.select("lang", F.col("g").alias("s"), F.col("p").alias("lower")), ["lang", "s"])
-        c, total = F.col("c"), F.col("total")
-        weight = sum((F.col("d")[i] * F.col("kinds")[i] for i in range(3)), F.lit(0.0))
-        own = F.when(c > 0, c - F.col("d")[F.least(c, F.lit(3)).cast("int") - 1]).otherwise(0.0)
-        below = known.select("lang", "g", F.when(total > 0, (own + weight * F.col("lower")) / F.nullif(total, F.lit(0))).otherwise(F.col("lower")).alias("p"))
+            known = known.withColumn("s", _low(F.col("g"), k - 1)).join(below.select("lang", F.col("g").alias("s"), F.col("p").alias("lp"), F.col("q").alias("lq")), ["lang", "s"])
+        c, n = F.col("c"), [F.col("kinds")[i] for i in range(3)]
+        one, two, three = ((c == i).cast("long") for i in (1, 2, 3))
+        left = [n[0] - one + two, n[1] - two + three, n[2] - three]
+        p = _estimate(c, F.col("total"), n, F.col("lp"))
+        q = F.when(c > 0, _estimate(c - 1, F.col("total") - 1, left, F.when(c == 1, F.col("lq")).otherwise(F.col("lp")))).otherwise(p)
+        below = known.select("lang", "g", p.alias("p"), q.alias("q"))
     return below
 
 
@@ -245,32 +258,50 @@ def answers(asked: DataFrame, model: DataFrame) -> DataFrame:
 
     N-grams and values are gathered side by side, which takes a third of what structs would; a block sorts its arrays.
     """
-    rows = asked.select("block", "lang", F.explode("grams").alias("g")).join(model.select("lang", "g", F.log10("p").cast("float").alias("p")), ["lang", "g"])
+    rows = asked.select("block", "lang", F.explode("grams").alias("g")).join(model.select("lang", "g", F.log10("q").cast("float").alias("p")), ["lang", "g"])
     arrays = rows.groupBy("block", "lang").agg(F.collect_list("g").alias("g"), F.collect_list("p").alias("p"))
     return arrays.groupBy("block").agg(F.collect_list(F.struct("lang", "g", "p")).alias("model"))
 
 
-def scored(table: DataFrame, found: DataFrame, kept: list[tuple[str, str]], text_col: str) -> DataFrame:
-    """The blocks' documents: ``kept`` columns, statistics, log_perplexity (mean negative log10 probability of a symbol; 0 without any), lang, gist."""
+def hash_arrays(model: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Language -> sorted n-grams and log10 probabilities, of a model that has been found small."""
+    rows = model.select("lang", "g", F.log10("q").cast("float").alias("p")).toArrow().combine_chunks()
+    lang, g, p = (rows.column(c).to_numpy() for c in ("lang", "g", "p"))
+    g = g.view(np.uint64)
+    order = np.lexsort((g, lang))
+    cut = np.flatnonzero(np.diff(lang[order])) + 1
+    return {int(lang[at[0]]): (g[at], p[at]) for at in np.split(order, cut) if len(at)}
+
+
+def scored(table: DataFrame, found: DataFrame | dict, kept: list[tuple[str, str]], text_col: str) -> DataFrame:
+    """The blocks' documents: ``kept`` columns, statistics, log_perplexity (mean negative log10 probability of a symbol; 0 without any), lang, gist.
+
+    ``found`` is the whole model as hash arrays, or a table(block, model) of each block's part.
+    """
     stored = stored_as(kept, text_col)
     names = [f"kept_{i}" for i in range(len(kept))]
+    shared = table.sparkSession.sparkContext.broadcast(found) if isinstance(found, dict) else None
+
+    def part(model: pa.ListScalar) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        out = {}
+        for m in model.values or []:
+            g, p = m["g"].values.to_numpy().view(np.uint64), m["p"].values.to_numpy()
+            order = np.argsort(g)
+            out[m["lang"].as_py()] = g[order], p[order]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 docs = unpacked(batch.column(0)[i].as_py())
-                model = {}
-                for m in batch.column(1)[i].values or []:
-                    g, p = m["g"].values.to_numpy().view(np.uint64), m["p"].values.to_numpy().astype(np.float64)
-                    order = np.argsort(g)
-                    model[m["lang"].as_py()] = g[order], p[order]
+                model = shared.value if shared else part(batch.column(1)[i])
                 out = np.zeros(docs.num_rows)
                 for lang, runs in by_language(docs):
                     for at, texts in runs:
                         code, ends = codes(texts)
                         if len(code):
                             g, p = model[lang]
-                            total = np.append(0.0, np.cumsum(-p[np.searchsorted(g, code)]))
+                            total = np.append(0.0, np.cumsum(-p[np.searchsorted(g, code)], dtype=np.float64))
                             starts = np.append(0, ends[:-1])
                             out[at] = (total[ends] - total[starts]) / np.maximum(ends - starts, 1)
                 column = lambda n: docs.column(docs.schema.names.index(n))
@@ -278,7 +309,8 @@ def scored(table: DataFrame, found: DataFrame, kept: list[tuple[str, str]], text
 
     kinds = ", ".join(f"{n} {kind}" for n, (_, kind) in zip(names, kept))
     schema = (f"{kinds}, " if kept else "") + ", ".join(f"{f} bigint" for f in FEATURES) + ", log_perplexity double, lang bigint, gist bigint"
-    return table.join(found, "block", "left").select("docs", "model").mapInArrow(run, schema)
+    each = table.select("docs") if shared else table.join(found, "block", "left").select("docs", "model")
+    return each.mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
@@ -303,14 +335,16 @@ def bands(marked: DataFrame, width: float = WIDTH) -> DataFrame:
     return by.select("lang", (F.col("a") - spread).alias("lower"), (F.col("b") + spread).alias("upper"))
 
 
-def quality_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, width: float = WIDTH) -> DataFrame:
+def quality_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, width: float = WIDTH, model_few: int = MODEL_FEW) -> DataFrame:
     """``keep`` columns (all, if None) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity, base_failed, kept."""
     made = {*FEATURES, "log_perplexity", "base_failed", "kept"}
     kept = [(c, kind) for c, kind in docs.dtypes if c not in made and (keep is None or c in keep)]
     table = written(blocks(docs, kept, text_col, lang_col), "blocks")
     wanted = written(asked(table), "asked")
     counts = wanted.select("lang", F.explode(F.arrays_zip("grams", "counts")).alias("x")).groupBy("lang", F.col("x.grams").alias("g")).agg(F.sum("x.counts").alias("c"))
-    marked = written(scored(table, answers(wanted, kneser_ney(counts)), kept, text_col), "rules")
+    model = written(kneser_ney(counts), "model")
+    found = hash_arrays(model) if model.limit(model_few + 1).count() <= model_few else answers(wanted, model)
+    marked = written(scored(table, found, kept, text_col), "rules")
     limits = broadcast_if_few(written(bands(marked, width), "bands"), FEW)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
     judged = marked.join(limits, "lang", "left").withColumn("base_failed", base_failed())

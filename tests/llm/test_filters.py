@@ -106,17 +106,34 @@ def brute_kneser_ney(texts):
     after = {k: {} for k in counts}
     for k, c in counts.items():
         for g, v in c.items():
-            after[k].setdefault(g[:-1], []).append(v)
+            after[k].setdefault(g[:-1], {})[g] = v
 
-    def p(g):
+    def plain(g):
         if not g:
             return 2.0**-16
         k, own = len(g), after[len(g)].get(g[:-1])
         if not own:
-            return p(g[1:])
-        v = counts[k][g]
-        held = sum(cut[k][min(x, 3) - 1] for x in own)
-        return ((v - cut[k][min(v, 3) - 1] if v else 0) + held * p(g[1:])) / sum(own)
+            return plain(g[1:])
+        v = own.get(g, 0)
+        held = sum(cut[k][min(x, 3) - 1] for x in own.values())
+        return ((v - cut[k][min(v, 3) - 1] if v else 0) + held * plain(g[1:])) / sum(own.values())
+
+    def p(g):
+        """With one occurrence taken out of all counts."""
+        gone = []
+        for k in (4, 3, 2, 1):
+            own = after[k].get(g[4 - k : 3], {})
+            if g[4 - k :] not in own:
+                break
+            gone.append((own, g[4 - k :]))
+            own[g[4 - k :]] -= 1
+            if own[g[4 - k :]]:
+                break
+            del own[g[4 - k :]]
+        found = plain(g)
+        for own, x in gone:
+            own[x] = own.get(x, 0) + 1
+        return found
 
     return p, grams
 
@@ -127,6 +144,8 @@ def test_perplexities_and_bands_match_brute_force(spark):
     rows += [(80, "Ein Wort 12 " * 40, "de"), (81, None, "en"), (82, "", "fr"), (83, "Слово и дело " * 3 + prose(7, 60), "ru"), (84, "zq#x " * 60 + prose(3, 50), "en"), (85, "".join(rng.choice("qxzvkyw#") + " " * (rng.random() < 0.3) for _ in range(400)), "fr")]
     table = spark.createDataFrame(rows, "doc_id int, text string, lang string").coalesce(1)  # so the first of a gist is the first row
     got = {r.doc_id: r for r in quality_rules.quality_rules(table).collect()}
+    joined = {r.doc_id: r for r in quality_rules.quality_rules(table, model_few=0).collect()}
+    assert all((r.kept, r.log_perplexity) == (joined[i].kept, pytest.approx(joined[i].log_perplexity, abs=1e-6)) for i, r in got.items())
     perplexity = {}
     for lang in {r[2] for r in rows}:
         mine = [(i, t or "") for i, t, g in rows if g == lang]
@@ -157,13 +176,11 @@ def test_probabilities_of_a_context_add_up(spark):
     code = lambda g: sum(s << 16 * (3 - k) for k, s in enumerate(g))
     alphabet = sorted({s for g in grams for s in g})
     contexts = list({g[:3] for g in grams})[:5] + [(1, 2, 3)]
-    asked = {(*h, s) for h in contexts for s in alphabet}
+    asked = {(*h, s) for h in contexts for s in (*alphabet, 60_000)}
     table = spark.createDataFrame([(1, code(g), grams[g]) for g in {*grams, *asked}], "lang bigint, g bigint, c bigint")
     p = {r.g: r.p for r in quality_rules.kneser_ney(table).collect()}
-    low = 0.1 * 2.0**-16  # what symbols that never occur share
-    for h in contexts:
-        total = sum(p[code((*h, s))] for s in alphabet)
-        assert 1 - 65536 * low < total <= 1 + 1e-9
+    for h in contexts:  # all symbols that never occur have one probability
+        assert sum(p[code((*h, s))] for s in alphabet) + (2**16 - len(alphabet)) * p[code((*h, 60_000))] == pytest.approx(1, abs=1e-9)
 
 
 def test_language_model_matches_brute_force(docs, rows):
