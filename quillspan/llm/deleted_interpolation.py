@@ -41,8 +41,8 @@ COUNTED, DELETED_KIND, UNSEEN = 0, 1, 2
 BLOCK_TOKENS = 1_500_000
 RANGE_KEYS = 1_000_000
 ROUNDS = 60
-#: Steps of the logarithms (base 2) by which deleted events are gathered for the weights.
-STEPS, LAST_STEP = 4, 127
+#: Steps of the logarithms (base 2) by which deleted events are gathered for the weights, in so many bits: down to 2 ** -63.
+STEPS, STEP_BITS = 4, 8
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -232,7 +232,7 @@ def estimates(e: Events, word: np.ndarray, pair: np.ndarray, n: int) -> tuple[np
 
 
 def gathered(table: DataFrame, answers: DataFrame, n: int) -> list[tuple[int, int]]:
-    """Deleted events by bucket and steps of their two estimates: at most 64 * 128 * 128 cells, whatever the corpus."""
+    """Deleted events by bucket and steps of their two estimates: at most 64 * 256 * 256 cells, whatever the corpus; a few thousand in practice."""
 
     def cells(blocks_: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if blocks_.empty:
@@ -242,8 +242,8 @@ def gathered(table: DataFrame, answers: DataFrame, n: int) -> list[tuple[int, in
         word = e.by_word(joined(got, 1, "all") - joined(got, 1, "deleted"))
         pair = e.by_event(joined(got, 2, "all") - joined(got, 2, "deleted"))
         b, p2, p1 = estimates(e, word, pair, n)
-        step = lambda p: np.where(p > 0, 1 + np.clip(np.rint(-STEPS * np.log2(np.where(p > 0, p, 1))), 0, LAST_STEP - 1), 0).astype(np.int64)
-        cell, times = np.unique((b.astype(np.int64) << 14) | (step(p2) << 7) | step(p1), return_counts=True)
+        step = lambda p: np.where(p > 0, 1 + np.clip(np.rint(-STEPS * np.log2(np.where(p > 0, p, 1))), 0, (1 << STEP_BITS) - 2), 0).astype(np.int64)
+        cell, times = np.unique((b.astype(np.int64) << 2 * STEP_BITS) | (step(p2) << STEP_BITS) | step(p1), return_counts=True)
         return pd.DataFrame({"cell": cell, "n": times})
 
     mine = table.filter(F.col("kind") == DELETED_KIND).select("block", "sizes", "tokens", "hashes")
@@ -258,10 +258,11 @@ def learn_weights(cells: list[tuple[int, int]], v: int, rounds: int = ROUNDS) ->
     out[0] = [0, 0.5, 0.5]
     code, times = (np.array(x, np.int64) for x in zip(*cells)) if cells else (np.empty(0, np.int64),) * 2
     estimate = lambda s: np.where(s > 0, 2.0 ** (-(s - 1) / STEPS), 0.0)
-    p = np.stack([estimate(code >> 7 & 127), estimate(code & 127), np.full(len(code), 1 / (v + 1))], axis=1)
+    low = (1 << STEP_BITS) - 1
+    p = np.stack([estimate(code >> STEP_BITS & low), estimate(code & low), np.full(len(code), 1 / (v + 1))], axis=1)
     seen = False
     for b in range(64):
-        mine = (code >> 14) == b
+        mine = (code >> 2 * STEP_BITS) == b
         if mine.any():
             a, seen = out[b].copy(), seen or b > 0
             for _ in range(rounds):

@@ -39,7 +39,7 @@ PATTERN = re.compile(
     r"(?P<email>(?<![\w+%-])(?=[\w.+%-]{1,256}@)[\w+%-]+(?:\.[\w+%-]+)*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}(?![\w-]))"
     r"|(?P<secret>\b(?:api[_ -]?key|secret|token|passw(?:or)?d|access[_ -]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_-]{16,})"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})"
-    r"|(?P<ip6>(?<![\w:.])(?=[0-9a-f:]{2,39}(?![\w:]))(?=[0-9a-f:]*[0-9])(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4})"
+    r"|(?P<ip6>(?<![\w:.])(?=[0-9a-f:]{2,39}(?![\w:]))(?=[0-9a-f:]*[0-9])(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}(?![\w:]))"
     r"|(?P<ip>(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
     r"|(?P<ymd>(?<![0-9])(?<![0-9][/.-])[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}(?![0-9/-]|\.[0-9]))"
     r"|(?P<dmy>(?<![0-9])(?<![0-9][/.-])[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4}(?![0-9/-]|\.[0-9]))"

@@ -192,12 +192,97 @@ def test_language_model_matches_brute_force(docs, rows):
     want = sorted((i, part(i) == 2, len(t), sum(w in count for w in t), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), 6)) for i, t in texts if i is not None)
     assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got if r.doc_id is not None) == want
     assert len(got) == len(rows) and all(r.score < 0 for r in got)
+    score = brute_mixture([(part(i), t) for i, t in texts])
+    want = sorted((i, score(t)) for i, t in texts if i is not None)
+    found = sorted((r.doc_id, r.score) for r in got if r.doc_id is not None)
+    assert [i for i, _ in found] == [i for i, _ in want] and [s for _, s in found] == pytest.approx([s for _, s in want], rel=1e-9)
+
+
+def brute_mixture(texts):
+    """A function from tokens to their log10 probability: pairs, words and a floor, mixed by the digits of the context's count."""
+    START = object()  # a context of its own, as frequent as the end
+    events = lambda t: list(zip([START, *t[:-1]], t))
+
+    def counted(parts):
+        word, pair = Counter(), Counter()
+        for k, t in texts:
+            if k in parts:
+                word.update(t)
+                pair.update(events(t))
+        return word, pair, sum(word.values())
+
+    def estimates(word, pair, n, v, w):
+        c = word[None] if v is START else word[v]
+        return c.bit_length(), pair[v, w] / c if c else 0.0, word[w] / n if n else 0.0
+
+    full, rest = counted({0, 1, 3, 4, 5, 6}), counted({0, 1, 4, 5, 6})
+    floor = 1 / (len(full[0]) + 1)
+    rounded = lambda x: 2.0 ** (-round(-4 * math.log2(x)) / 4) if x else 0.0
+    seen: dict = {}
+    for k, t in texts:
+        if k == 3:
+            for v, w in events(t):
+                b, p2, p1 = estimates(*rest, v, w)
+                seen.setdefault(b, []).append((rounded(p2), rounded(p1), floor))
+    weights, last = {0: [0, 0.5, 0.5]}, None
+    for b in range(64):
+        if b in seen:
+            a = weights.get(b, [1 / 3] * 3)
+            for _ in range(deleted_interpolation.ROUNDS):
+                total = [0.0] * 3
+                for p in seen[b]:
+                    whole = sum(x * y for x, y in zip(a, p))
+                    total = [s + x * y / whole for s, x, y in zip(total, a, p)]
+                a = [x / sum(total) for x in total]
+            least = [1e-6 * (b > 0), 1e-6, 1e-6]
+            weights[b] = [(x + y) / (1 + sum(least)) for x, y in zip(a, least)]
+            last = weights[b] if b else last
+        elif b:
+            weights[b] = last or [1 / 3] * 3
+
+    def score(t):
+        out = 0.0
+        for v, w in events(t):
+            b, p2, p1 = estimates(*full, v, w)
+            out += math.log10(sum(x * y for x, y in zip(weights[b], (p2, p1, floor))))
+        return out
+
+    return score
+
+
+def test_pairwise_fit_matches_brute_force(spark):
+    """Weights by Newton's method on the same pairs, threshold by trying all levels, against the operator's."""
+    rng = random.Random(12)
+    rows = [(i, prose(i, rng.randint(20, 120)) + " !! 12" * rng.randint(0, 9)) for i in range(80)]
+    quality = {i: int(len(t.split("!!")) < 4 + i % 4) for i, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame(sorted(quality.items()), "doc_id bigint, quality int")
+    got = {r.doc_id: r.score for r in bradley_terry.classify(docs, labels, keep=["doc_id"], learn=bradley_terry.learnable()).collect()}
+    x = {i: np.array(bradley_terry.features(t.encode())) for i, t in rows}
+    used = sorted((i for i in x if zlib.crc32(str(i).encode()) % 5), key=lambda i: signed(xxhash.xxh64_intdigest(struct.pack("<q", i), 42)))
+    good, bad = ([i for i in used if quality[i] == q] for q in (1, 0))
+    d = np.array([x[w] - x[bad[(k * 8 + m) % len(bad)]] for k, w in enumerate(good) for m in range(8)])
+    sign = np.array([2 * ((k + m) % 2) - 1 for k in range(len(good)) for m in range(8)])
+    spread = (d * sign[:, None]).std(axis=0, ddof=1)
+    w = np.zeros(d.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-d @ w))
+        slope = d.T @ (p - 1) / len(d) + 1e-4 * spread**2 * w
+        w -= np.linalg.pinv((d * (p * (1 - p))[:, None]).T @ d / len(d) + np.diag(1e-4 * spread**2)) @ slope
+    strength = {i: float(v @ w) for i, v in x.items()}
+    levels = np.quantile([strength[i] for i in used], np.linspace(0.005, 0.6, 120))
+    balance = [np.mean([strength[i] >= t for i in good]) + np.mean([strength[i] < t for i in bad]) for t in levels]
+    threshold = levels[int(np.argmax(balance))]
+    want = {i: 1 / (1 + math.exp(-(s - threshold + math.log(0.3 / 0.7)))) for i, s in strength.items()}
+    order = lambda m: np.argsort(np.argsort([m[i] for i in sorted(m)]))
+    assert np.corrcoef(order(got), order(want))[0, 1] > 0.999
+    assert np.mean([abs(got[i] - want[i]) for i in want]) < 0.02
 
 
 def test_language_model_weights_and_probabilities():
     assert deleted_interpolation.learn_weights([], 10)[5] == pytest.approx([1 / 3] * 3)
     # 90 events that pairs explain well and 10 that only the floor explains
-    cells = [((4 << 14) | (2 << 7) | 40, 90), (4 << 14, 10)]
+    cells = [((4 << 16) | (2 << 8) | 40, 90), (4 << 16, 10)]
     a = deleted_interpolation.learn_weights(cells, 1000)
     assert a[4].sum() == pytest.approx(1) and a[4][0] > 0.85 and 0.05 < a[4][2] < 0.15 and (a[9] == a[4]).all()
     keys = np.sort(np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64))
