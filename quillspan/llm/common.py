@@ -41,7 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made, once no result reads them."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def set_aside(docs: DataFrame, **uses: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -118,7 +127,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.selectExpr("v as u", "m as v").filter("u <> v").union(low.selectExpr("u", "m as v")).distinct()
-        state = written(small, "edges")
+        last, state = state, written(small, "edges")
+        drop(last)
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

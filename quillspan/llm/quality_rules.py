@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import as_bytes, broadcast_if_few, slices, written
+from .common import as_bytes, broadcast_if_few, drop, slices, written
 
 #: Symbols of an n-gram, and bits of a symbol.
 ORDER, BITS = 4, 16
@@ -345,6 +345,7 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     model = written(kneser_ney(counts), "model")
     found = hash_arrays(model) if model.limit(model_few + 1).count() <= model_few else answers(wanted, model)
     marked = written(scored(table, found, kept, text_col), "rules")
+    drop(table, wanted, model)
     limits = broadcast_if_few(written(bands(marked, width), "bands"), FEW)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
     judged = marked.join(limits, "lang", "left").withColumn("base_failed", base_failed())
