@@ -120,7 +120,11 @@ def count_words(text: str) -> int:
 COUNTERS: dict[str, Callable[[str], int]] = {"words": count_words, "graphemes": lambda text: len(split_graphemes(text))}
 
 
+#: A word for the native counter.
+WORD_RUN = rf"(?s)(?:(?!{SPACE}).)+"
+
+
 def token_count(text: ColumnOrName, counter: str = "words") -> Column:
     if counter == "words":
-        return F.size(F.regexp_extract_all(_col(text), F.lit(rf"(?:(?!{SPACE}).)+".replace("(?:(?!", "(?s)(?:(?!")), F.lit(0)))
+        return F.size(F.regexp_extract_all(_col(text), F.lit(WORD_RUN), F.lit(0)))
     return F.size(graphemes(text))

@@ -89,20 +89,27 @@ def failure_kind(message: Column | str, error_class: Column | str | None = None)
     return F.when(m.isNull(), None).when(tells, "memory").otherwise("other")
 
 
-def embed_safely(chunks: DataFrame, encode: Callable[[list[str]], np.ndarray], *, text_col: str = "text") -> DataFrame:
-    """``chunks`` with embedding, or with the error and its kind where the model failed; no row is lost."""
+def embed_safely(chunks: DataFrame, encode: Callable[[list[str]], np.ndarray], *, text_col: str = "text", batch_size: int = 256) -> DataFrame:
+    """``chunks`` with embedding, or with the error and its kind where the model failed; no row is lost.
+
+    Texts go to the model in batches; one that fails is halved until the texts that it fails on stand alone.
+    """
+
+    def tried(texts: list[str]) -> list[tuple]:
+        try:
+            return [(np.asarray(v, float).tolist(), None, None) for v in encode(texts)]
+        except Exception as wrong:  # kept as a row
+            if len(texts) == 1:
+                return [(None, str(wrong), type(wrong).__name__)]
+            half = len(texts) // 2
+            return tried(texts[:half]) + tried(texts[half:])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            vectors, errors = [], []
-            for text in frame[text_col]:
-                try:
-                    vectors.append(np.asarray(encode([text or ""])[0], float).tolist())
-                    errors.append((None, None))
-                except Exception as wrong:  # kept as a row
-                    vectors.append(None)
-                    errors.append((str(wrong), type(wrong).__name__))
-            yield frame.assign(embedding=vectors, error=[e[0] for e in errors], error_class=[e[1] for e in errors])
+            texts = [t or "" for t in frame[text_col]]
+            done = [x for at in range(0, len(texts), batch_size) for x in tried(texts[at : at + batch_size])]
+            vectors, errors, kinds = zip(*done) if done else ((), (), ())
+            yield frame.assign(embedding=list(vectors), error=list(errors), error_class=list(kinds))
 
     old = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
     done = chunks.mapInPandas(run, f"{old}, embedding array<double>, error string, error_class string")

@@ -51,6 +51,10 @@ def triple_discriminability(triples: DataFrame, *, least_gap: float = 0.1) -> Da
     return found.withColumn("passed", (F.col("n") > 0) & (F.col("n_pass") == F.col("n")) & (F.col("mean_gap") >= least_gap))
 
 
+#: Evidence of languages that are claimed and have no verdict of their own.
+CLAIMED = "claimed by the model"
+
+
 def coverage(claims: DataFrame, verdicts: DataFrame, *, verified: str = "en") -> DataFrame:
     """(bcp47, name, special, status, evidence, note) of claims(bcp47, name, note, special) left-joined with verdicts(bcp47, passed, evidence, note).
 
@@ -58,7 +62,8 @@ def coverage(claims: DataFrame, verdicts: DataFrame, *, verified: str = "en") ->
     """
     v = verdicts.select("bcp47", "passed", "evidence", F.col("note").alias("__note"))
     status = F.when(~F.col("special"), F.when(F.col("bcp47") == verified, "verified").otherwise("unverified")).when(F.col("passed").isNull(), "unverified").when(F.col("passed"), "verified").otherwise("not-supported")
-    return claims.join(v, "bcp47", "left").select("bcp47", "name", "special", status.alias("status"), "evidence", F.coalesce("__note", "note").alias("note"))
+    evidence = F.coalesce("evidence", F.when(~F.col("special"), F.lit(CLAIMED)))
+    return claims.join(v, "bcp47", "left").select("bcp47", "name", "special", status.alias("status"), evidence.alias("evidence"), F.coalesce("__note", "note").alias("note"))
 
 
 def tested_languages(covered: DataFrame) -> DataFrame:
@@ -218,7 +223,8 @@ def percent(x: Column) -> Column:
 
 
 def fixed(x: Column, digits: int = 3) -> Column:
-    return F.format_number(x, digits)
+    """With so many decimals and no marks between thousands."""
+    return F.regexp_replace(F.format_number(x, digits), ",", "")
 
 
 def request_counts(*sources: DataFrame, by: str = "session") -> DataFrame:

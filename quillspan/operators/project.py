@@ -37,8 +37,8 @@ def seed_direction(d: int) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, *, vector: str = "embedding") -> Basis | None:
-    """The basis of all vectors: covariance summed up over the executors, a small eigenproblem on the driver. None without rows."""
-    rows = vectors.select(array_to_vector(vec.as_double(vector)).alias("v"))
+    """The basis of all vectors: covariance summed up over the executors, a small eigenproblem on the driver. None without any; null and empty vectors don't count."""
+    rows = vectors.filter(F.size(vector) > 0).select(array_to_vector(vec.as_double(vector)).alias("v"))
     if rows.isEmpty():
         return None
     found = rows.agg(F.count("*").alias("n"), Summarizer.mean(F.col("v")).alias("m"), Summarizer.variance(F.col("v")).alias("s")).first()
@@ -58,8 +58,14 @@ def _array(values: list[float]) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def project_onto(items: DataFrame, basis: Basis, *, vector: str = "embedding") -> DataFrame:
-    """``items`` with x and y: centred, then along the two components. A narrow map; nothing is fitted."""
+def project_onto(items: DataFrame, basis: Basis | None, *, vector: str = "embedding") -> DataFrame:
+    """``items`` with x and y: centred, then along the two components. A narrow map; nothing is fitted.
+
+    Null and empty vectors, and all of them without a basis, have null coordinates.
+    """
+    if basis is None:
+        return items.withColumn("x", F.lit(None).cast("double")).withColumn("y", F.lit(None).cast("double"))
+    items = items.withColumn(vector, F.when(F.size(vector) > 0, F.col(vector)))
     centred = F.zip_with(vec.as_double(vector), _array(basis.mean), lambda a, m: a - m)
     return items.withColumn("x", vec.dot(centred, _array(basis.pc1))).withColumn("y", vec.dot(centred, _array(basis.pc2)))
 
@@ -70,14 +76,12 @@ def total_variance(items: DataFrame, *, vector: str = "embedding") -> DataFrame:
     return at.groupBy("i").agg(F.var_pop("x").alias("v"), F.count("*").alias("n")).agg(F.sum(F.col("v") * F.col("n")).alias("total_variance"))
 
 
-def map_points(chunks: DataFrame, centroids: DataFrame, *, vector: str = "embedding") -> tuple[DataFrame, Basis] | None:
-    """Chunks and note centroids on the axes fitted to all chunks; None without chunks."""
+def map_points(chunks: DataFrame, centroids: DataFrame, *, vector: str = "embedding") -> tuple[DataFrame, Basis]:
+    """Chunks and note centroids on the axes fitted to all chunks; an empty basis without chunks."""
     basis = fit(chunks, vector=vector)
-    if basis is None:
-        return None
     c = project_onto(chunks, basis, vector=vector).select(F.lit("chunk").alias("kind"), "note_id", "chunk_id", "x", "y", "truncated")
     n = project_onto(centroids, basis, vector=vector).select(F.lit("note").alias("kind"), "note_id", F.lit(None).cast("string").alias("chunk_id"), "x", "y", F.lit(None).cast("boolean").alias("truncated"))
-    return c.unionByName(n), basis
+    return c.unionByName(n), basis or Basis()
 
 
 def viewport_fit(points: DataFrame, *, by: str | None = None, size: int = 600, padding: int = 40) -> DataFrame:

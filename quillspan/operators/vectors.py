@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import vec
 from quillspan.operators.admit import at_least
+from quillspan.sources.shared import written
 
 #: Queries that one pass scores (they travel to every task); more take more passes.
 QUERY_BLOCK = 4096
@@ -38,7 +39,8 @@ def rank(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "quer
     Queries go out in blocks of bounded size; each task keeps the best ``k`` of its own items, so what is shuffled is
     ``k`` rows for each query and task.
     """
-    wanted = queries.select(query_id, vec.as_double(vector).alias("v")).orderBy(query_id)
+    # an order in which no two different queries tie, so that blocks neither repeat nor lose any; vectors may be null or empty: no ranks
+    wanted = queries.filter(F.size(vector) > 0).select(query_id, vec.as_double(vector).alias("v")).orderBy(query_id, "v")
     total = wanted.count()
     out = None
     for start in range(0, max(total, 1), QUERY_BLOCK):
@@ -60,7 +62,7 @@ def rank(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "quer
                 item, asked = item[top], asked[top]
                 yield pd.DataFrame({"q": [names[j] for j in asked], "id": ids[item], "s": scores[item, asked]})
 
-        items = corpus.select(F.col(item_id).alias("id"), vec.as_double(vector).alias("v"))
+        items = corpus.filter(F.size(vector) > 0).select(F.col(item_id).alias("id"), vec.as_double(vector).alias("v"))
         kind = dict(queries.select(F.col(query_id).alias("q")).dtypes)["q"]
         found = items.mapInPandas(best, f"q {kind}, id {dict(items.dtypes)['id']}, s double")
         out = found if out is None else out.union(found)
@@ -83,7 +85,7 @@ def all_pairs(items: DataFrame, *, corpus: str = "corpus_id", item_id: str = "id
     blocks, so its memory is bounded, a large corpus spreads over many tasks, and no row of pairs is shuffled.
     """
     kinds = dict(items.dtypes)
-    rows = items.select(F.col(corpus).alias("c"), F.col(item_id).alias("i"), F.col(order).alias("o"), vec.as_double(vector).alias("v"))
+    rows = items.filter(F.size(vector) > 0).select(F.col(corpus).alias("c"), F.col(item_id).alias("i"), F.col(order).alias("o"), vec.as_double(vector).alias("v"))
     sizes = rows.groupBy("c").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block))
     placed = rows.join(sizes, "c").withColumn("b", F.pmod(F.xxhash64("i"), F.col("blocks")))
     copies = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("c", F.least("b", "other").alias("x"), F.greatest("b", "other").alias("y"), (F.col("b") > F.col("other")).alias("right"), "i", "o", "v")
@@ -161,7 +163,7 @@ def mean_similarities(items: DataFrame, *, corpus: str = "corpus_id", item_id: s
 
     With unit vectors u and their sum S the mean is (u.S - u.u) / (n - 1): one aggregate instead of all pairs.
     """
-    unit = at_least(items, floor, corpus=corpus).select(corpus, F.col(item_id).alias("__id"), vec.unit(vec.as_double(vector)).alias("u"))
+    unit = at_least(items.filter(F.size(vector) > 0), floor, corpus=corpus).select(corpus, F.col(item_id).alias("__id"), vec.unit(vec.as_double(vector)).alias("u"))
     sums = unit.groupBy(corpus).agg(Summarizer.sum(array_to_vector("u")).alias("s"), F.count("*").alias("n")).select(corpus, vector_to_array("s").alias("s"), "n")
     mean = (vec.dot("u", "s") - vec.dot("u", "u")) / (F.col("n") - 1)
     return unit.join(sums, corpus).select(corpus, F.col("__id").alias(item_id), mean.alias("mean_similarity"))
@@ -178,7 +180,13 @@ def similar_pairs_lsh(items: DataFrame, *, item_id: str = "id", vector: str = "e
     """(a, b, similarity) by random projections: approximate, for when a user asks for it. Unit vectors' distance is 2 - 2 cos."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
 
-    unit = items.select(F.col(item_id).alias("id"), array_to_vector(vec.unit(vec.as_double(vector))).alias("u"))
+    items = items.filter(F.size(vector) > 0)
+    if items.isEmpty():
+        kind = dict(items.dtypes)[item_id]
+        return items.sparkSession.createDataFrame([], f"a {kind}, b {kind}, similarity double")
+    # written, as the optimizer may hash a vector before the filter above has dropped it
+    there = written(items.select(F.col(item_id).alias("id"), vec.unit(vec.as_double(vector)).alias("v")), "unit")
+    unit = there.select("id", array_to_vector("v").alias("u"))
     reach = float(np.sqrt(2 - 2 * min_similarity))
     model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=max(2 * reach, 0.05), numHashTables=tables, seed=seed).fit(unit)
     near = model.approxSimilarityJoin(unit, unit, reach, "d").filter("datasetA.id < datasetB.id")

@@ -41,6 +41,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("corpus_id"), F.col("doc_id").alias("note_id"), F.col("doc_id").alias("seq"), "text")
 
 
+#: Normal form C, trimmed, as SQL.
+SQL_KEY_TEXT = r"regexp_replace(nfc_normalize(text), '^[\s\p{Z}\x{FEFF}\x0B]+|[\s\p{Z}\x{FEFF}\x0B]+$', '', 'g')"
+
 COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
@@ -148,6 +151,34 @@ def viewport_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("label", "vec_id", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
 
 
+MESSAGES = rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, {SQL_KEY_TEXT} AS key, CASE WHEN turn % 4 = 3 THEN 'remove' WHEN turn % 3 = 2 THEN 'edit' ELSE 'add' END AS op FROM conversations),
+o AS (SELECT *, (CASE WHEN op = 'add' THEN turn ELSE turn - turn % 3 END)::VARCHAR AS note, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM k),
+f AS (
+  SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS turn, '' AS note, '' AS status, MAP {{}}::MAP(VARCHAR, VARCHAR) AS held FROM (SELECT DISTINCT conv_id FROM o)
+  UNION ALL
+  SELECT conv_id, i, turn, note, status, CASE status WHEN 'removed' THEN map_from_entries(list_filter(map_entries(held), lambda e: e.key <> note))
+         WHEN 'added' THEN map_concat(held, MAP {{note: key}}) WHEN 'edited' THEN map_concat(held, MAP {{note: key}}) ELSE held END
+  FROM (SELECT o.conv_id, o.i, o.turn, o.note, o.key, f.held, CASE
+          WHEN op = 'remove' THEN CASE WHEN map_contains(held, o.note) THEN 'removed' ELSE 'not-found' END
+          WHEN o.key = '' THEN 'empty'
+          WHEN op = 'edit' AND NOT map_contains(held, o.note) THEN 'not-found'
+          WHEN len(list_filter(map_entries(held), lambda e: e.value = o.key AND (op = 'add' OR e.key <> o.note))) > 0 THEN 'duplicate'
+          WHEN op = 'edit' THEN 'edited' ELSE 'added' END AS status
+        FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1))
+SELECT conv_id, turn, note, status FROM f WHERE i > 0"""
+
+
+@query(MESSAGES)
+def admission_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as additions, edits and removals of notes, one session for each conversation."""
+    op = F.when(F.col("turn") % 4 == 3, "remove").when(F.col("turn") % 3 == 2, "edit").otherwise("add")
+    note = F.when(op == "add", F.col("turn")).otherwise(F.col("turn") - F.col("turn") % 3).cast("string")
+    events = table(spark, sf_dir, "conversations").withColumn("op", op).withColumn("note_id", note)
+    found = admit.admit(events, corpus="conv_id", order="turn", op="op", max_notes=1 << 30, max_characters=1 << 40)
+    return found.select("conv_id", "turn", F.col("note_id").alias("note"), "status")
+
+
 @query()
 def cluster_upgma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters within each label."""
@@ -167,7 +198,7 @@ def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cut_sweep(_vectors(spark, sf_dir), [0.3, 0.6, 0.82, 0.85, 0.88, 0.95])
 
 
-SQL_KEY = r"regexp_replace(nfc_normalize(text), '^[\s\p{Z}\x{FEFF}\x0B]+|[\s\p{Z}\x{FEFF}\x0B]+$', '', 'g')"
+SQL_KEY = SQL_KEY_TEXT
 
 
 @query(f"""
@@ -287,7 +318,7 @@ def drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_COVERAGE = """
 WITH claims AS (SELECT DISTINCT lang AS bcp47, upper(lang) AS name, lang IN ('es', 'fr') AS special FROM documents WHERE lang IS NOT NULL),
 verdicts AS (SELECT lang AS bcp47, avg(quality) >= 0.84 AS passed, count(*)::VARCHAR || ' labels' AS evidence FROM documents JOIN labels USING (doc_id) WHERE lang <> 'es' GROUP BY lang),
-c AS (SELECT bcp47, name, special, CASE WHEN NOT special THEN CASE WHEN bcp47 = 'en' THEN 'verified' ELSE 'unverified' END WHEN passed IS NULL THEN 'unverified' WHEN passed THEN 'verified' ELSE 'not-supported' END AS status, evidence FROM claims LEFT JOIN verdicts USING (bcp47))"""
+c AS (SELECT bcp47, name, special, CASE WHEN NOT special THEN CASE WHEN bcp47 = 'en' THEN 'verified' ELSE 'unverified' END WHEN passed IS NULL THEN 'unverified' WHEN passed THEN 'verified' ELSE 'not-supported' END AS status, coalesce(evidence, CASE WHEN NOT special THEN 'claimed by the model' END) AS evidence FROM claims LEFT JOIN verdicts USING (bcp47))"""
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,10 +340,13 @@ def coverage_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.coverage_sentence(_coverage(spark, sf_dir))
 
 
-@query("SELECT conv_id, role, arg_max(text, turn) AS text, max(turn) AS turn, min(turn) AS first_seen FROM conversations GROUP BY conv_id, role")
+@query("""
+WITH e AS (SELECT *, CASE WHEN length(text) % 5 = 0 THEN 'remove' WHEN turn = 0 THEN 'add' ELSE 'edit' END AS op FROM conversations)
+SELECT conv_id, role, arg_max(text, turn) AS text, max(turn) AS turn, min(turn) AS first_seen FROM e GROUP BY conv_id, role HAVING arg_max(op, turn) <> 'remove'""")
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last message of each role in a conversation."""
-    events = table(spark, sf_dir, "conversations").withColumn("op", F.lit("edit"))
+    """The last message of each role in a conversation, where that isn't a removal (as every fifth length tells)."""
+    op = F.when(F.length("text") % 5 == 0, "remove").when(F.col("turn") == 0, "add").otherwise("edit")
+    events = table(spark, sf_dir, "conversations").withColumn("op", op)
     return admit.latest_state(events, keys=["conv_id", "role"], order="turn").drop("op")
 
 
@@ -356,12 +390,13 @@ def count_since_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM g)
-SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n, max(ts) = arg_max(ts, ts) AS settled FROM b GROUP BY user_id, burst""")
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS settled, count(*) AS n, round(arg_max(value, ts), 6) AS value FROM b GROUP BY user_id, burst""")
 def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bursts of each user's events, parted by half an hour of quiet."""
+    """Bursts of each user's events, parted by half an hour of quiet, with the last value of each."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     found = notes.debounce(events, by="user_id", time="ts", value="value", gap="30 minutes")
-    return found.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "n", (F.col("settled") > F.col("started")).alias("settled"))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return found.select("user_id", at("started"), at("settled"), "n", F.round("value", 6).alias("value"))
 
 
 @query("SELECT user_id, count(*) AS n FROM (SELECT user_id FROM events WHERE event_type = 'click' UNION ALL SELECT user_id FROM events WHERE event_type <> 'click') GROUP BY user_id")

@@ -27,10 +27,8 @@ class _Admission(StatefulProcessor):
         self.state = handle.getValueState("session", "keys string, sizes string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        session = Session(*self.limits)
-        if self.state.exists():
-            keys, sizes = self.state.get()
-            session.keys, session.sizes = json.loads(keys), json.loads(sizes)
+        keys, sizes = map(json.loads, self.state.get() if self.state.exists() else ("{}", "{}"))
+        session = Session(*self.limits, keys, sizes)
         events = pd.concat(list(rows)).sort_values("seq")
         done = [session.apply(op, note, text, int(size)) for op, note, text, size in zip(events["op"], events["note_id"], events["key"], events["size"])]
         self.state.update((json.dumps(session.keys), json.dumps(session.sizes)))

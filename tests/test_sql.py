@@ -1,12 +1,16 @@
 from quillspan import sql
-from quillspan.operators import admit, vectors
+from quillspan.operators import admit, chunk, vectors
 
 
 def test_table_function_and_views(spark):
     notes = spark.createDataFrame([(1, "One two. Three four. Five six. Seven."), (2, ""), (3, None)], "id int, text string")
     sql.register(spark, notes=notes)
-    got = spark.sql("SELECT id, c.* FROM notes, LATERAL chunk_note(text, 80, 3, 128) c ORDER BY id, ord").collect()
+    got = spark.sql("SELECT id, c.* FROM (SELECT id, note_sentences(text) AS s FROM notes), LATERAL chunk_note(s, 80, 3, 128) c ORDER BY id, ord").collect()
     assert [(r.id, r.ord, r.text, r.token_count) for r in got] == [(1, 0, "One two. Three four. Five six. ", 6), (1, 1, "Seven.", 1)]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sql.register(spark, docs=docs)
+    same = spark.sql("SELECT doc_id, c.ord, c.text FROM (SELECT doc_id, note_sentences(text) AS s FROM docs), LATERAL chunk_note(s, 80, 3, 128) c").exceptAll(chunk.chunk_notes(docs, note_id="doc_id").select("note_id", "ord", "text"))
+    assert same.count() == 0
     assert spark.sql("SELECT count_tokens(' a b ') AS n").first().n == 2
     assert spark.table("models").first().dim == 64
 

@@ -64,38 +64,44 @@ def cut(spark, text, counter="words", **options):
     return chunk.chunk_notes(table, counter=counter, **options).orderBy("ord").collect()
 
 
-SMALL = {"max_tokens": 5, "max_sentences": 3, "hard_ceiling": 8}
+TIGHT = {"max_tokens": 6, "max_sentences": 2, "hard_ceiling": 9}
+NUMBERS = "eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn".split()
+
+
+def said(n: int, mark: str = ".") -> str:
+    """A sentence of n words."""
+    return f"{' '.join(NUMBERS[:n]).capitalize()}{mark}"
 
 
 def test_chunk_rules(spark):
     assert cut(spark, "") == [] and cut(spark, None) == []
-    [one] = cut(spark, "One short sentence.", **SMALL)
-    assert (one.text, one.token_count, one.truncated, one.chunk_id, one.span.start, one.span.end) == ("One short sentence.", 3, False, "n-c0", 0, 19)
-    [merged] = cut(spark, "One two. Three four. Five six.", max_tokens=20)
-    assert merged.token_count == 6
-    assert [c.text.strip() for c in cut(spark, "Aa bb. Cc dd. Ee ff.", **SMALL)] == ["Aa bb. Cc dd.", "Ee ff."]
-    assert [c.text.strip() for c in cut(spark, "A. B. C. D.", max_tokens=1000, max_sentences=3)] == ["A. B. C.", "D."]
-    assert [c.ord for c in cut(spark, "A. B. C. D. E. F.", max_tokens=2, max_sentences=1)] == [0, 1, 2, 3, 4, 5]
+    lone = said(4, "!")
+    [only] = cut(spark, lone, **TIGHT)
+    assert (only.text, only.token_count, only.truncated, only.chunk_id) == (lone, 4, False, "n-c0") and (only.span.start, only.span.end) == (0, len(lone))
+    # two sentences reach the sentence budget, four and three words pass the token budget
+    assert [c.token_count for c in cut(spark, " ".join([said(1), said(2), said(3)]), **TIGHT)] == [3, 3]
+    assert [c.token_count for c in cut(spark, " ".join([said(4), said(3), said(2)]), **TIGHT)] == [4, 5]
+    assert [c.token_count for c in cut(spark, " ".join([said(2)] * 7), max_tokens=50, max_sentences=4)] == [8, 6]
+    assert [c.ord for c in cut(spark, " ".join([said(3)] * 5), max_tokens=3, max_sentences=9)] == list(range(5))
 
 
 def test_long_sentence_among_others_is_cut_at_the_ceiling(spark):
-    got = cut(spark, "Short one. This sentence has way more than eight words in it so it must be truncated for sure. Short two.", **SMALL)
-    assert [(c.truncated, c.token_count) for c in got] == [(False, 2), (True, 8), (False, 2)]
+    got = cut(spark, f"{said(3)} {said(13)} {said(2)}", **TIGHT)
+    assert [(c.token_count, c.truncated) for c in got] == [(3, False), (9, True), (2, False)]
     assert got[2].span.start > got[1].span.end  # the tail is gone, and spans tell
 
 
 def test_lone_long_run_is_split_and_kept_whole(spark):
-    text = " ".join(f"word{i}" for i in range(20))
-    got = cut(spark, text, **SMALL)
-    assert "".join(c.text for c in got) == text and not any(c.truncated for c in got) and max(c.token_count for c in got) <= 5
-    thai = "ก็" * 300
-    got = cut(spark, thai, counter="graphemes")
-    assert [c.token_count for c in got] == [80, 80, 80, 60] and "".join(c.text for c in got) == thai
+    text = " ".join(NUMBERS)
+    got = cut(spark, text, **TIGHT)
+    assert "".join(c.text for c in got) == text and not any(c.truncated for c in got) and max(c.token_count for c in got) <= 6
+    lao = "ກໍ" * 250
+    got = cut(spark, lao, counter="graphemes", max_tokens=70, hard_ceiling=90)
+    assert "".join(c.text for c in got) == lao and [c.token_count for c in got[:-1]] == [70] * (len(got) - 1)
 
 
 def test_first_sentence_may_pass_the_budget(spark):
-    got = cut(spark, "One two three four five six seven. Eight.", **SMALL)
-    assert [c.token_count for c in got] == [7, 1]
+    assert [c.token_count for c in cut(spark, f"{said(8)} {said(2)}", **TIGHT)] == [8, 2]
 
 
 def test_combined_count_decides_not_the_sum(spark):
@@ -105,7 +111,7 @@ def test_combined_count_decides_not_the_sum(spark):
 
 
 def test_graphemes_stay_whole(spark):
-    text = " ".join(f"word{i}" for i in range(20)) + f" {FAMILY} end."
+    text = " ".join(NUMBERS) + f" {FAMILY} aus."
     for c in cut(spark, text, counter="graphemes", max_tokens=7, max_sentences=3, hard_ceiling=10):
         assert "\U0001f468" not in c.text or FAMILY in c.text
 
@@ -130,7 +136,7 @@ def test_chunks_partition_the_text(spark, sf_dir):
 def test_owner_of_grapheme(spark):
     notes = spark.createDataFrame([("n", "Aa bb. Cc dd. Ee ff.")], "note_id string, text string")
     points = spark.createDataFrame([("n", i) for i in (0, 13, 14, 19, 20)], "note_id string, i int")
-    got = chunk.owner_of_grapheme(points, chunk.chunk_notes(notes, **SMALL)).orderBy("i").collect()
+    got = chunk.owner_of_grapheme(points, chunk.chunk_notes(notes, **TIGHT)).orderBy("i").collect()
     assert [(r.i, r.chunk_id) for r in got] == [(0, "n-c0"), (13, "n-c0"), (14, "n-c1"), (19, "n-c1")]
 
 
