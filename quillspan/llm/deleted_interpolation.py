@@ -11,7 +11,10 @@ How it runs. Documents become blocks of a few million tokens (``blocks``); a blo
 pairs first, so a pair is sent once a block however frequent it is. The n-grams' 64-bit hashes are dealt out by range
 (``dealt``); each range adds up its counts (``totals``) and answers every block in the block's own order, so an answer is an
 array of counts without keys. Blocks and answers meet by block for the weights (deleted part only) and again for the
-scores. Blocks and ranges are of fixed size: more data makes more of them.
+scores. Blocks and ranges are of fixed size: more data makes more of them. A block sends a row to each range, so with more
+than ``FANOUT`` ranges, where a row would hold a few n-grams only, that goes by two levels: blocks send to the square root of
+so many wide ranges, in each of which teams of blocks add up theirs (``merged``), send that on to the ranges, and hand the
+answers back to their blocks (``handed_back``). Results are the same either way.
 
 Defined cases: a null or empty text is the end token alone; a null id counts as remainder 0; equal rows are scored each;
 without deleted documents the weights are even; without learning documents all is unknown; an empty table gives no rows;
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -33,13 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, id_crc, slices, written
+from .common import as_bytes, drop, id_crc, slices, written
 
 #: A document's part is crc32(id as text) mod 7: 2 is never learned from, 3 is the deleted part, the rest is always counted.
 PARTS, HELD_OUT, DELETED = 7, 2, 3
 COUNTED, DELETED_KIND, UNSEEN = 0, 1, 2
 BLOCK_TOKENS = 1_500_000
 RANGE_KEYS = 1_000_000
+#: Ranges that a block sends rows to directly.
+FANOUT = 8192
 ROUNDS = 60
 #: Steps of the logarithms (base 2) by which deleted events are gathered for the weights, in so many bits: down to 2 ** -63.
 STEPS, STEP_BITS = 4, 8
@@ -53,13 +58,22 @@ def unpacked(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
+def packed_numbers(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits, their bytes by significance."""
+    return packed(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpacked_numbers(x: bytes, kind: str = "<i8") -> np.ndarray:
+    return np.ascontiguousarray(unpacked(x, "u1").reshape(8, -1).T).view(kind).ravel()
+
+
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, their bytes by significance."""
-    return packed(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+    """Sorted keys as differences."""
+    return packed_numbers(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpacked_keys(x: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(unpacked(x, "u1").reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(unpacked_numbers(x, "<u8"), dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -163,6 +177,19 @@ class Events:
         return out[self.pair_of]
 
 
+SENT = "range int, block bigint, kind int, grams int, keys binary, counts binary"
+ANSWERS = "block bigint, kind int, range int, grams int, all binary, deleted binary, n bigint, v bigint, n_deleted bigint"
+
+
+def by_range(keys: np.ndarray, counts: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Sorted keys and their counts, cut where one of ``ranges`` equal ranges of keys ends."""
+    of = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    cut = np.flatnonzero(np.diff(of)) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(of)]):
+        if b > a:
+            yield int(of[a]), packed_keys(keys[a:b]), packed_numbers(counts[a:b].astype("<i8"))
+
+
 def dealt(table: DataFrame, ranges: int) -> DataFrame:
     """(range, block, kind, grams, keys, counts): each block's n-grams of one and two words, by range of their keys."""
 
@@ -170,16 +197,32 @@ def dealt(table: DataFrame, ranges: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 e = Events(r["sizes"], r["tokens"], r["hashes"])
-                rows = []
-                for grams, keys, counts in ((1, e.word_keys, e.word_counts), (2, e.pair_keys, e.pair_counts)):
-                    of = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-                    cut = np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64))
-                    rows += [(k, r["block"], r["kind"], grams, packed_keys(keys[a:b]), packed(counts[a:b].astype("<i4"))) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
+                both = ((1, e.word_keys, e.word_counts), (2, e.pair_keys, e.pair_counts))
+                rows = ((k, r["block"], r["kind"], grams, x, c) for grams, keys, counts in both for k, x, c in by_range(keys, counts, ranges))
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                for at in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 64]), kinds)], names=["range", "block", "kind", "grams", "keys", "counts"])
+                while some := list(islice(rows, 64)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names=["range", "block", "kind", "grams", "keys", "counts"])
+
+    return table.select("block", "kind", "sizes", "tokens", "hashes").mapInArrow(run, SENT)
+
+
+class Added:
+    """Rows of ``dealt`` for n-grams of one order, added up: their distinct keys in order, and where those of each row are among them."""
+
+    def __init__(self, rows: pd.DataFrame):
+        keys = [unpacked_keys(x) for x in rows["keys"]]
+        ends = np.cumsum([len(k) for k in keys])
+        self.counts = np.concatenate([unpacked_numbers(x) for x in rows["counts"]])
+        self.kinds = np.repeat(rows["kind"].to_numpy(), np.diff(ends, prepend=0))
+        self.distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        self.at = at
+        self.places = list(zip(rows["block"], rows["kind"], np.split(at, ends[:-1])))
 
-    return table.select("block", "kind", "sizes", "tokens", "hashes").mapInArrow(run, "range int, block bigint, kind int, grams int, keys binary, counts binary")
+    def total(self, of: np.ndarray) -> np.ndarray:
+        """The sum of those counts that ``of`` marks, for each key."""
+        out = np.zeros(len(self.distinct), np.int64)
+        np.add.at(out, self.at[of], self.counts[of])
+        return out
 
 
 def totals(sent: DataFrame) -> DataFrame:
@@ -191,29 +234,66 @@ def totals(sent: DataFrame) -> DataFrame:
     names = ["block", "kind", "range", "grams", "all", "deleted", "n", "v", "n_deleted"]
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["grams", "block"])
-        out = []
+        out, where = [], pdf["range"].iloc[0]
         for grams, part in pdf.groupby("grams"):
-            keys = [unpacked_keys(x) for x in part["keys"]]
-            ends = np.cumsum([len(k) for k in keys])
-            counts = np.concatenate([unpacked(x, "<i4") for x in part["counts"]]).astype(np.int64)
-            kinds = np.repeat(part["kind"].to_numpy(), np.diff(ends, prepend=0))
-            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(at, weights=counts * (kinds != UNSEEN), minlength=len(distinct)).astype(np.int64)
-            gone = np.bincount(at, weights=counts * (kinds == DELETED_KIND), minlength=len(distinct)).astype(np.int64)
-            for block, kind, a, b in zip(part["block"], part["kind"], np.append(0, ends[:-1]).tolist(), ends.tolist()):
-                mine = at[a:b]
-                out.append((block, kind, part["range"].iloc[0], grams, packed(total[mine]), packed(gone[mine]) if kind == DELETED_KIND else None, None, None, None))
+            found = Added(part)
+            total, gone = found.total(found.kinds != UNSEEN), found.total(found.kinds == DELETED_KIND)
+            for block, kind, mine in found.places:
+                out.append((block, kind, where, grams, packed_numbers(total[mine]), packed_numbers(gone[mine]) if kind == DELETED_KIND else None, None, None, None))
             if grams == 1:
-                out.append((-1, -1, part["range"].iloc[0], grams, None, None, int(total.sum()), int((total > 0).sum()), int(gone.sum())))
+                out.append((-1, -1, where, grams, None, None, int(total.sum()), int((total > 0).sum()), int(gone.sum())))
         return pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names[6:]})
 
-    return sent.groupBy("range").applyInPandas(add_up, "block bigint, kind int, range int, grams int, all binary, deleted binary, n bigint, v bigint, n_deleted bigint")
+    return sent.groupBy("range").applyInPandas(add_up, ANSWERS)
+
+
+def merged(sent: DataFrame, ranges: int) -> DataFrame:
+    """Rows as those of ``dealt``, by the ``ranges``, of each team of ``sent(team, ...)`` as one block."""
+
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, team, kind = [], pdf["team"].iloc[0], pdf["kind"].iloc[0]
+        for grams, part in pdf.groupby("grams"):
+            found = Added(part)
+            out += [(k, team, kind, grams, x, c) for k, x, c in by_range(found.distinct, found.total(found.kinds == kind), ranges)]
+        return pd.DataFrame(out, columns=["range", "block", "kind", "grams", "keys", "counts"])
+
+    return sent.groupBy("team").applyInPandas(add_up, SENT)
+
+
+def handed_back(sent: DataFrame, answers: DataFrame) -> DataFrame:
+    """The ``answers`` to teams, as answers to their blocks."""
+    names = ["block", "kind", "range", "grams", "all", "deleted"]
+
+    def split(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for grams, part in rows.groupby("grams"):
+            found, where, gone = Added(part), part["range"].iloc[0], part["kind"].iloc[0] == DELETED_KIND
+            total, deleted = joined(got, grams, "all"), joined(got, grams, "deleted") if gone else None
+            out += [(block, kind, where, grams, packed_numbers(total[mine]), packed_numbers(deleted[mine]) if gone else None) for block, kind, mine in found.places]
+        return pd.DataFrame(out, columns=names)
+
+    pairs = sent.groupBy("team").cogroup(answers.filter("block >= 0").withColumnRenamed("block", "team").groupBy("team"))
+    back = pairs.applyInPandas(split, ANSWERS.split(", n ")[0])
+    return back.unionByName(answers.filter("block < 0"), allowMissingColumns=True)
+
+
+def answered(table: DataFrame, ranges: int, fanout: int) -> DataFrame:
+    """The answers to all blocks of ``table``, written; at one level or at two."""
+    if ranges <= fanout:
+        return written(totals(dealt(table, ranges)), "answers")
+    wide = math.ceil(math.sqrt(ranges))
+    teams = {r.kind: math.ceil(r.n / wide) for r in table.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    team = F.coalesce(*[F.when(F.col("kind") == k, F.pmod(F.xxhash64("block"), F.lit(n))) for k, n in teams.items()])
+    sent = written(dealt(table, wide).withColumn("team", (team * 3 + F.col("kind")) * wide + F.col("range")), "sent")
+    found = written(totals(merged(sent, wide * math.ceil(ranges / wide))), "answers")
+    back = written(handed_back(sent, found), "answers")
+    drop(sent, found)
+    return back
 
 
 def joined(answers: pd.DataFrame, grams: int, column: str) -> np.ndarray:
     part = answers[answers["grams"] == grams].sort_values("range")
-    return np.concatenate([unpacked(x, "<i8") for x in part[column]])
+    return np.concatenate([unpacked_numbers(x) for x in part[column]])
 
 
 def bucket(context_count: np.ndarray) -> np.ndarray:
@@ -277,11 +357,11 @@ def learn_weights(cells: list[tuple[int, int]], v: int, rounds: int = ROUNDS) ->
     return out
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, range_keys: int = RANGE_KEYS) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, range_keys: int = RANGE_KEYS, fanout: int = FANOUT) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text."""
     table = written(blocks(docs, id_col=id_col, text_col=text_col, block_tokens=block_tokens), "blocks")
     events = table.agg(F.sum("events")).first()[0] or 0
-    answers = written(totals(dealt(table, max(1, math.ceil(events / range_keys)))), "answers")
+    answers = answered(table, max(1, math.ceil(events / range_keys)), fanout)
     n, v, n_deleted = (x or 0 for x in answers.filter("block = -1").agg(F.sum("n"), F.sum("v"), F.sum("n_deleted")).first())
     weights = learn_weights(gathered(table, answers, n - n_deleted), v)
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

@@ -295,6 +295,9 @@ def test_language_model_beats_its_base_and_adds_up(spark, small, no_docs):
     again = {r.doc_id: r.score for r in deleted_interpolation.score(small.repartition(5)).collect()}
     once = {r.doc_id: r.score for r in deleted_interpolation.score(small, block_tokens=20_000, range_keys=9_000).collect()}
     assert once == pytest.approx(again)
+    # ranges by two levels, of teams of several blocks
+    twice = {r.doc_id: r.score for r in deleted_interpolation.score(small, block_tokens=2_000, range_keys=5_000, fanout=3).collect()}
+    assert twice == pytest.approx(once)
     assert deleted_interpolation.score(no_docs).count() == 0
 
 
