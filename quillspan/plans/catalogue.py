@@ -5,13 +5,16 @@ Vectors of ``embeddings`` form a corpus for each label, documents one for each s
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.functions import vec
 from quillspan.operators import admit, chunk, cluster, embed, evaluate, project, vectors
-from quillspan.sources.shared import written
+from quillspan.sources.shared import shared_dir, written
 from quillspan.streaming import notes
 
 QUERIES: dict = {}
@@ -32,6 +35,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of its files."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def _run(stream: DataFrame, mode: str = "append", sink: Callable[[str], Callable[[DataFrame, int], None]] | None = None) -> str:
+    """Run the stream over all there is and end; the folder of its rows, or that given to ``sink``."""
+    spark, provider = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    root, before = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", spark.conf.get(provider)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    spark.conf.set(provider, notes.ROCKSDB)
+    try:
+        (writer.foreachBatch(sink(f"{root}/rows")).start() if sink else writer.start(f"{root}/rows", format="parquet")).awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return f"{root}/rows"
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(corpus_id, id, seq, embedding): a corpus for each label."""
     return table(spark, sf_dir, "embeddings").select(F.col("label").alias("corpus_id"), F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), "embedding")
@@ -169,16 +190,29 @@ f AS (
 SELECT conv_id, turn, note, status FROM f WHERE i > 0"""
 
 
+def _changes(messages: DataFrame) -> DataFrame:
+    op = F.when(F.col("turn") % 4 == 3, "remove").when(F.col("turn") % 3 == 2, "edit").otherwise("add")
+    note = F.when(op == "add", F.col("turn")).otherwise(F.col("turn") - F.col("turn") % 3).cast("string")
+    return messages.withColumn("op", op).withColumn("note_id", note)
+
+
 @query(MESSAGES)
 def admission_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages as additions, edits and removals of notes, one session for each conversation."""
-    op = F.when(F.col("turn") % 4 == 3, "remove").when(F.col("turn") % 3 == 2, "edit").otherwise("add")
-    note = F.when(op == "add", F.col("turn")).otherwise(F.col("turn") - F.col("turn") % 3).cast("string")
-    events = table(spark, sf_dir, "conversations").withColumn("op", op).withColumn("note_id", note)
+    events = _changes(table(spark, sf_dir, "conversations"))
     found = admit.admit(events, corpus="conv_id", order="turn", op="op", max_notes=1 << 30, max_characters=1 << 40)
     return found.select("conv_id", "turn", F.col("note_id").alias("note"), "status")
 
 
+@query(MESSAGES)
+def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream with each conversation's session as its state."""
+    events = _changes(_stream(spark, sf_dir, "conversations")).withColumn("seq", F.col("turn").cast("bigint")).withColumnRenamed("conv_id", "corpus_id")
+    found = notes.admit_stream(events, max_notes=1 << 30, max_characters=1 << 40)
+    back = spark.read.schema(found.schema).parquet(_run(found))
+    return back.select(F.col("corpus_id").alias("conv_id"), F.col("seq").alias("turn"), F.col("note_id").alias("note"), "status")
+
+
 @query()
 def cluster_upgma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters within each label."""
@@ -230,6 +264,35 @@ def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("corpus_id").alias("source"), F.col("seq").alias("doc_id"), "status", "reason")
 
 
+#: Sentences of texts whose only marks are ``.``, ``!`` and line feeds: marks that end no sentence are hidden, then every other one ends one.
+SQL_SENTENCES = r"""
+a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[.](\p{N})', chr(1) || '\1', 'g'), '(\p{L})[.](\p{Lu})', '\1' || chr(1) || '\2', 'g'), '(\p{L})[.](\p{Lu})', '\1' || chr(1) || '\2', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[.]([\p{Pe}\p{Pf}"'']*[ \t]*)\n(\s*[^\p{L}\n.!]*\p{Ll})', chr(1) || '\1' || chr(2) || '\2', 'g'), '[.]([\p{Pe}\p{Pf}"'']*\s*[^\p{L}\n.!]*\p{Ll})', chr(1) || '\1', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[.]([\p{Pe}\p{Pf}"'']*[ \t]*[,:;-])', chr(1) || '\1', 'g'), '!([\p{Pe}\p{Pf}"'']*[ \t]*[,:;-])', chr(3) || '\1', 'g') AS t FROM b),
+d AS (SELECT doc_id, list_transform(regexp_extract_all(t, '[^\n.!]*(?:\n|[.!]+[\p{Pe}\p{Pf}"'']*[ \t\x{A0}\x{3000}]*\n?)|[^\n.!]+'), lambda x: translate(x, chr(1) || chr(2) || chr(3), '.' || chr(10) || '!')) AS s FROM c)"""
+
+
+def _chunks_sql(count: str, max_tokens: int, ceiling: int, max_sentences: int = 3) -> str:
+    """``chunks(doc_id, k, n, cut, width)`` as SQL: tokens, flag and graphemes of each chunk, by one sentence at a time; ``count`` measures ``{}``."""
+    return rf"""WITH RECURSIVE {SQL_SENTENCES},
+f AS (
+  SELECT doc_id, 0::BIGINT AS i, '' AS held, 0 AS n, false AS fresh, false AS cut, '' AS x FROM d WHERE len(s) > 0
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN cut THEN '' WHEN fresh THEN x ELSE held || x END, CASE WHEN cut THEN 0 WHEN fresh THEN 1 ELSE n + 1 END, fresh, cut, x
+  FROM (SELECT *, cut OR n = 0 OR n = {max_sentences} OR {count.format("held || x")} > {max_tokens} AS fresh
+        FROM (SELECT d.doc_id, f.i + 1 AS i, f.held, f.n, d.s[f.i + 1] AS x, {count.format("d.s[f.i + 1]")} > {ceiling} AND len(d.s) > 1 AS cut
+              FROM f JOIN d ON d.doc_id = f.doc_id AND len(d.s) > f.i))),
+chunks AS (
+  SELECT doc_id, k, CASE WHEN bool_or(cut) THEN {ceiling} ELSE {count.format("string_agg(x, '' ORDER BY i)")} END AS n, bool_or(cut) AS cut, sum(length_grapheme(x))::BIGINT AS width
+  FROM (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM f WHERE i > 0) GROUP BY doc_id, k)"""
+
+
+SQL_WORDS = r"len(regexp_extract_all({}, '[^\s\p{{Z}}\x{{FEFF}}\x0B]+'))"
+SQL_GRAPHEMES = "length_grapheme({})"
+#: A note's only sentence over the ceiling is split into runs of whole budgets.
+SQL_RUNS = "CASE WHEN count(*) = 1 AND NOT bool_or(cut) AND max(n) > {ceiling} THEN ceil(max(n) / {most})::BIGINT ELSE count(*) END"
+
+
 @query("SELECT doc_id, md5(text) AS digest FROM documents WHERE text <> ''")
 def chunk_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without a ceiling chunks are a partition of the text."""
@@ -237,17 +300,19 @@ def chunk_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.reconstructed(chunks).select(F.col("note_id").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"{_chunks_sql(SQL_WORDS, 80, 128)} SELECT doc_id AS note_id, {SQL_RUNS.format(ceiling=128, most=80)} AS n_chunks, sum(n)::BIGINT AS n_tokens, bool_or(cut) AS any_truncated FROM chunks GROUP BY doc_id")
 def chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.note_summary(chunk.chunk_notes(_documents(spark, sf_dir)))
 
 
-@query()
+@query(f"""{_chunks_sql(SQL_GRAPHEMES, 400, 800)}, g AS (SELECT doc_id, {SQL_RUNS.format(ceiling=800, most=400)} AS chunks, sum(n)::BIGINT AS tokens FROM chunks GROUP BY doc_id)
+SELECT doc_id AS note_id, len(s)::INTEGER AS sentences, coalesce(chunks, 0) AS chunks, coalesce(tokens, 0) AS tokens FROM d LEFT JOIN g USING (doc_id)""")
 def segmentation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.segmentation_counts(_documents(spark, sf_dir).select("note_id", "text"), counter="graphemes", max_tokens=400, hard_ceiling=800)
 
 
-@query()
+@query(f"""{_chunks_sql(SQL_WORDS, 80, 1 << 30)}, w AS (SELECT *, sum(width) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM chunks)
+SELECT doc_id AS note_id, i::INTEGER AS i, doc_id || '-c' || k AS chunk_id FROM (SELECT *, unnest(range(((stop - width + 499) // 500 * 500)::BIGINT, stop::BIGINT, 500)) AS i FROM w)""")
 def grapheme_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which chunk holds every five-hundredth grapheme of each document."""
     docs = _documents(spark, sf_dir)
@@ -350,6 +415,16 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admit.latest_state(events, keys=["conv_id", "role"], order="turn").drop("op")
 
 
+@query("""
+SELECT conv_id, role, arg_max(text, turn) AS text, max(turn) AS turn FROM conversations GROUP BY conv_id, role HAVING arg_max(length(text), turn) % 5 <> 0""")
+def latest_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last messages as a stream whose batches are versions of a table."""
+    op = F.when(F.length("text") % 5 == 0, "remove").when(F.col("turn") == 0, "add").otherwise("edit")
+    keys = ["conv_id", "role"]
+    store = _run(_stream(spark, sf_dir, "conversations").withColumn("op", op), sink=lambda path: notes.keep_latest(path, keys=keys, order="turn"))
+    return notes.current_state(spark, store, keys=keys, order="turn").select(*keys, "text", "turn")
+
+
 @query(rf"""
 WITH k AS (SELECT conv_id, turn, {SQL_KEY} AS key FROM conversations)
 SELECT conv_id, turn, CASE WHEN key = '' THEN 'empty' WHEN row_number() OVER (PARTITION BY conv_id, key ORDER BY turn) > 1 THEN 'duplicate' ELSE 'added' END AS status FROM k""")
@@ -387,14 +462,36 @@ def count_since_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.since_baseline(table(spark, sf_dir, "events"), by="user_id", time="ts", kind="event_type", ready="click")
 
 
-@query("""
+@query("SELECT user_id, count(*) FILTER (ts >= t) AS n FROM events JOIN (SELECT user_id, min(ts) AS t FROM events WHERE event_type = 'click' GROUP BY user_id) USING (user_id) GROUP BY user_id")
+def count_since_baseline_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of users with a baseline as a stream: a running count never falls, so the greatest is the last."""
+    counts = notes.since_baseline_stream(_stream(spark, sf_dir, "events"), by="user_id", time="ts", kind="event_type", ready="click")
+    store = _run(counts, "update", lambda path: lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"))
+    return spark.read.schema(counts.schema).parquet(store).groupBy("user_id").agg(F.max("n").alias("n")).filter("n > 0")
+
+
+BURSTS = """
 WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM g)
-SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS settled, count(*) AS n, round(arg_max(value, ts), 6) AS value FROM b GROUP BY user_id, burst""")
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS settled, count(*) AS n, round(arg_max(value, ts), 6) AS value FROM b GROUP BY user_id, burst"""
+
+
+def _bursts(events: DataFrame) -> DataFrame:
+    return notes.debounce(events.withColumn("ts", F.col("ts").cast("timestamp")), by="user_id", time="ts", value="value", gap="30 minutes")
+
+
+@query(f"{BURSTS} HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bursts that have settled once the stream's watermark, ten minutes behind the last event, has passed them."""
+    found = _bursts(_stream(spark, sf_dir, "events"))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return spark.read.schema(found.schema).parquet(_run(found)).select("user_id", at("started"), at("settled"), "n", F.round("value", 6).alias("value"))
+
+
+@query(BURSTS)
 def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of each user's events, parted by half an hour of quiet, with the last value of each."""
-    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    found = notes.debounce(events, by="user_id", time="ts", value="value", gap="30 minutes")
+    found = _bursts(table(spark, sf_dir, "events"))
     at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return found.select("user_id", at("started"), at("settled"), "n", F.round("value", 6).alias("value"))
 
