@@ -4,9 +4,11 @@ import random
 import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from quillspan.operators import admit, cluster, embed, evaluate, project, vectors
+from quillspan.plans import catalogue
 
 EMPTY = "corpus_id int, id int, seq int, embedding array<float>"
 
@@ -88,3 +90,10 @@ def test_long_sessions_take_linear_time():
 
 def test_decimals_have_no_thousands_marks(spark):
     assert spark.range(1).select(evaluate.fixed(cluster.F.lit(1234567.0625), 3).alias("x")).first().x == "1234567.062"
+
+
+def test_streams_over_empty_tables_end_without_rows(spark, sf_dir, tmp_path):
+    for name in ("conversations", "events"):
+        pq.write_table(pq.read_table(f"{sf_dir}/{name}.parquet").slice(0, 0), tmp_path / f"{name}.parquet")
+    for name in ("admission_stream", "latest_state_stream", "count_since_baseline_stream", "debounce_stream"):
+        assert catalogue.QUERIES[name](spark, str(tmp_path)).collect() == [], name
