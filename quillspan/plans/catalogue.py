@@ -502,10 +502,11 @@ def request_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.request_counts(events.filter("event_type = 'click'"), events.filter("event_type <> 'click'"), by="user_id")
 
 
-@query()
+@query("SELECT doc_id::VARCHAR AS note_id, variant, true AS same_chunks, 1.0::DOUBLE AS cosine, true AS ok FROM documents, (VALUES ('crlf'), ('bom'), ('nfd')) v(variant) WHERE text <> ''")
 def encoding_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in three other encodings against itself."""
-    return evaluate.encoding_invariance(_documents(spark, sf_dir).select("note_id", "text"))
+    """Every document in three other encodings against itself; the SQL states that each of them has to agree."""
+    found = evaluate.encoding_invariance(_documents(spark, sf_dir).select("note_id", "text"))
+    return found.withColumn("cosine", F.round("cosine", 6))
 
 
 @query()
