@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bradley_terry, deleted_interpolation, media, packing, pii, quality_rules, sentencepiece_sampling, sharding, simhash, url_filters
+from . import bradley_terry, deleted_interpolation, media, packing, periodic_runs, phrases, pii, quality_rules, sentencepiece_sampling, sharding, simhash, url_filters, warc
 from .common import documents, id_crc, shared_dir
 
 
@@ -110,6 +110,84 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_sampling.encode(documents(spark, sf_dir), with_ids=False, check=True)
 
 
+def op11_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+n AS (
+  SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang),
+f AS (
+  SELECT lang, phrase, k, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(string_split(phrase, ' ')[:c], ' ') AS head, array_to_string(string_split(phrase, ' ')[c + 1:], ' ') AS tail
+  FROM f, (SELECT unnest([1, 2]) AS c) WHERE c < k),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, c, x.a AS l, y.a AS r,
+         CAST((1000000::HUGEINT * cuts.a * cuts.a) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail),
+lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+longer AS (
+  SELECT lang, part, max(a) AS a
+  FROM (SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[:2], ' '), array_to_string(string_split(phrase, ' ')[2:], ' ')]) AS part FROM f WHERE k = 3)
+  GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, s.l, s.r, n.n, s.score
+FROM lowest s JOIN n ON n.lang = s.lang LEFT JOIN longer o ON o.lang = s.lang AND o.part = s.phrase
+WHERE o.a IS NULL OR 100 * o.a < 50 * s.a
+QUALIFY rank <= 2000
+"""
+
+
+def op12_block_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    planted = documents(spark, sf_dir).select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"))
+    a, p = "((h div 10) % size(w))", "(1 + (size(w) - (h div 10) % size(w)) div (3 + (h div 10) % 8))"
+    tail = F.expr(f"array_join(transform(sequence(0, size(w) - 1), i -> w[cast(if(i < {a}, i, {a} + (i - {a}) % {p}) as int)]), ' ')")
+    found = periodic_runs.periodic_runs(planted.select("doc_id", F.when(F.size("w") > 0, tail).otherwise(F.col("text")).alias("text")))
+    best = F.expr("element_at(array_sort(runs, (x, y) -> case when x.length <> y.length then if(x.length > y.length, -1, 1) when x.start <> y.start then if(x.start < y.start, -1, 1) else cast(x.period - y.period as int) end), 1)")
+    listed = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div greatest(best.period, 1)").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(pages, path, key="page_id", url="url", payload="html")
+    back = warc.read(spark, path)
+    return back.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP13_SQL = r"""
+WITH digests AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((list_reduce(list_transform(range(5), lambda d: (strpos('0123456789abcdef', substr(hex, (i // 4) * 5 + d + 1, 1)) - 1)), lambda x, y: x * 16 + y)
+               >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM digests
+"""
+
+
 QUERIES = {
     "op1_bradley_terry": op1_bradley_terry,
     "op2_media_columns": op2_media_columns,
@@ -121,6 +199,9 @@ QUERIES = {
     "op8_simhash_pivots": op8_simhash_pivots,
     "op9_perplexity_rules": op9_perplexity_rules,
     "op10_sampled_pieces": op10_sampled_pieces,
+    "op11_toivonen_phrases": op11_toivonen_phrases,
+    "op12_block_convolution": op12_block_convolution,
+    "op13_warc_shards": op13_warc_shards,
 }
 
-ORACLES: dict[str, str] = {"op7_temporal_lists": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_temporal_lists": OP7_SQL, "op11_toivonen_phrases": OP11_SQL, "op13_warc_shards": OP13_SQL}
