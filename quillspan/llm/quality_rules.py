@@ -31,6 +31,7 @@ from functools import cache, reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ WIDTH = 2.5
 LEAST = 0.025
 #: Steps in one unit of log perplexity, for its quartiles.
 STEPS = 10_000
+#: Steps in one unit of a symbol's log probability, for sums.
+FIXED = float(1 << 32)
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Text of a block, in bytes, and rows of one, the bits of a bitmap of Spark's. N-grams are made of so much text at once.
@@ -108,9 +111,10 @@ def stored_as(kept: list[tuple[str, str]], text_col: str) -> list[str]:
 
 
 def blocks(docs: DataFrame, kept: list[tuple[str, str]], text_col: str, lang_col: str) -> DataFrame:
-    """(block, docs, langs, gists): runs of documents with their ``kept`` columns, texts and statistics as compressed Arrow data.
+    """(block, docs, langs, gists, sizes, hashes): runs of documents with their ``kept`` columns, texts and statistics as compressed Arrow data.
 
-    ``langs`` are hashes of the languages, ``gists`` the least hashes of five-word shingles, one for each document.
+    ``langs`` are hashes of the languages, ``gists`` the least hashes of five-word shingles, ``sizes`` and
+    ``hashes`` those of the texts, one for each document.
     """
     lang = F.col(f"`{lang_col}`").cast("string")
     extra = [F.col(f"`{c}`").alias(n) for (c, _), n in zip(kept, stored_as(kept, text_col)) if n != "text"]
@@ -122,8 +126,8 @@ def blocks(docs: DataFrame, kept: list[tuple[str, str]], text_col: str, lang_col
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(whole)
-        lists = [pa.ListArray.from_arrays(pa.array([0, whole.num_rows], pa.int32()), whole.column(c)) for c in ("lang", "gist")]
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), *lists], names=["block", "docs", "langs", "gists"])
+        lists = [pa.ListArray.from_arrays(pa.array([0, whole.num_rows], pa.int32()), whole.column(c)) for c in ("lang", "gist", "size", "hash")]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), *lists], names=["block", "docs", "langs", "gists", "sizes", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
@@ -133,16 +137,18 @@ def blocks(docs: DataFrame, kept: list[tuple[str, str]], text_col: str, lang_col
                 texts = as_bytes(part.column(text_at))
                 stats = zip(*map(statistics, texts))
                 gists = pa.array([near_copies.least_hash(t) for t in texts], pa.int64())
+                hashes = pa.array(np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64))
+                sizes = pa.array(map(len, texts), pa.int64())
                 n = sum(map(len, texts))
                 if parts and (size + n > BLOCK_BYTES or rows + len(texts) > BLOCK_ROWS):
                     yield packed(task << 24 | made, parts)
                     parts, size, rows, made = [], 0, 0, made + 1
-                parts.append(pa.RecordBatch.from_arrays([*part.columns, gists, *(pa.array(c, pa.int64()) for c in stats)], names=[*part.schema.names, "gist", *FEATURES]))
+                parts.append(pa.RecordBatch.from_arrays([*part.columns, gists, sizes, hashes, *(pa.array(c, pa.int64()) for c in stats)], names=[*part.schema.names, "gist", "size", "hash", *FEATURES]))
                 size, rows = size + n, rows + len(texts)
         if parts:
             yield packed(task << 24 | made, parts)
 
-    return base.mapInArrow(run, "block bigint, docs binary, langs array<bigint>, gists array<bigint>")
+    return base.mapInArrow(run, "block bigint, docs binary, langs array<bigint>, gists array<bigint>, sizes array<bigint>, hashes array<bigint>")
 
 
 def unpacked(docs: bytes) -> pa.RecordBatch:
@@ -163,9 +169,10 @@ def by_language(docs: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[np.ndarr
 def asked(table: DataFrame) -> DataFrame:
     """(block, lang, grams, counts): each block's different n-grams, sorted, and how often they stand in texts that count.
 
-    Of the texts with one gist the first one counts; which of its documents count reaches a block as a bitmap.
+    Of the texts with one gist the longest counts, of equally long ones that of the least hash, however the documents are dealt to blocks; which of its
+    documents count reaches a block as a bitmap.
     """
-    each = table.select("block", F.posexplode(F.arrays_zip("langs", "gists")).alias("i", "d")).groupBy("d.langs", "d.gists").agg(F.min(F.struct("block", "i")).alias("first"))
+    each = table.select("block", F.posexplode(F.arrays_zip("langs", "gists", "sizes", "hashes")).alias("i", "d")).groupBy("d.langs", "d.gists").agg(F.min(F.struct(-F.col("d.sizes"), "d.hashes", "block", "i")).alias("first"))
     counted = written(each.groupBy("first.block").agg(F.bitmap_construct_agg(F.col("first.i").cast("bigint")).alias("bits")), "counted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,9 +308,10 @@ def scored(table: DataFrame, found: DataFrame | dict, kept: list[tuple[str, str]
                         code, ends = codes(texts)
                         if len(code):
                             g, p = model[lang]
-                            total = np.append(0.0, np.cumsum(-p[np.searchsorted(g, code)], dtype=np.float64))
+                            # whole numbers, so that a sum doesn't depend on what stands before
+                            total = np.append(0, np.cumsum(np.rint(p[np.searchsorted(g, code)].astype(np.float64) * -FIXED).astype(np.int64)))
                             starts = np.append(0, ends[:-1])
-                            out[at] = (total[ends] - total[starts]) / np.maximum(ends - starts, 1)
+                            out[at] = (total[ends] - total[starts]) / (FIXED * np.maximum(ends - starts, 1))
                 column = lambda n: docs.column(docs.schema.names.index(n))
                 yield pa.RecordBatch.from_arrays([*map(column, (*stored, *FEATURES)), pa.array(out), column("lang"), column("gist")], names=[*names, *FEATURES, "log_perplexity", "lang", "gist"])
 
