@@ -4,7 +4,8 @@ A value is found by its pattern, validated (Luhn digit, calendar, octets, addres
 canonical integer of its format's domain and sent through a Feistel network with a keyed hash as round function; walking
 the cycle until the result is of the format again makes that a permutation of the format's values. Equal values become
 equal pseudonyms in every document, however they are written; different ones stay different; and a text keeps its length.
-The letters and digits of mail names and of labelled secrets are permuted in the same way. Digits that fail validation are
+The letters and digits of mail names and of labelled secrets are permuted in the same way, in any script: a letter becomes one of its
+kind among the 128 code points around it. Digits that fail validation are
 left alone, and so are digits of other scripts than ASCII; the search goes on inside them. An IBAN ends by its country's length, whatever words follow. Dates may be
 written with one-digit days or months, phone numbers of other countries than the US in international form (+44 ...).
 
@@ -18,7 +19,9 @@ import datetime as dt
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 from math import isqrt
 
 import pyarrow as pa
@@ -27,6 +30,8 @@ from pyspark.sql import DataFrame
 from .common import with_columns
 
 ROUNDS = 8
+#: Characters of a value that are permuted as one number; and of values whose pseudonyms a worker remembers.
+PIECE = 256
 #: Domains smaller than this are shifted by a keyed amount that isn't 0, so that no value stays itself.
 SMALL = 1000
 #: A stand-in; a user passes a key of their own.
@@ -37,8 +42,9 @@ FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).too
 
 PATTERN = re.compile(
     r"(?P<email>(?<![\w+%-])(?=[\w.+%-]{1,256}@)[\w+%-]+(?:\.[\w+%-]+)*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}(?![\w-]))"
-    r"|(?P<secret>\b(?:api[_ -]?key|secret|token|passw(?:or)?d|access[_ -]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_-]{16,})"
-    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})"
+    r"|(?P<secret>\b(?:api[_ -]?key|secret|token|passw(?:or)?d|access[_ -]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?a:[A-Za-z0-9+/_-]{16,}))"
+    r"|(?P<key>(?-i:\b(?:AKIA|ASIA)[A-Z2-7]{16}\b))"
+    r"|(?P<iban>\b(?a:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))"
     r"|(?P<ip6>(?<![\w:.])(?=[0-9a-f:]{2,39}(?![\w:]))(?=[0-9a-f:]*[0-9])(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}(?![\w:]))"
     r"|(?P<ip>(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
     r"|(?P<ymd>(?<![0-9])(?<![0-9][/.-])[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}(?![0-9/-]|\.[0-9]))"
@@ -61,7 +67,7 @@ IBAN_SIZE = {
 }
 #: Country calling codes other than 1: two digits, or three.
 CALLING = re.compile(r"7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|5[09]|6[7-9]|8[0578]|9[67])[0-9]|99[2-68]")
-MAYBE = re.compile(rb"[0-9@:]|(?i:key|secret|token|passw)")
+MAYBE = re.compile(rb"[0-9@:]|AKIA|ASIA|(?i:key|secret|token|passw)")
 
 
 class Permuter:
@@ -90,8 +96,18 @@ class Permuter:
                 return x
 
     def characters(self, kind: str, text: str) -> str:
-        """Letters and digits permuted together, each within its own alphabet; other characters stay."""
-        sets = [next((s for s in ALPHABETS if c in s), c) for c in text]
+        """Letters and digits permuted together, each within its own alphabet; other characters stay.
+
+        Long texts go by pieces, each under a key that takes in what the pieces before it became.
+        """
+        if len(text) > PIECE:
+            out: list[str] = []
+            seen = hashlib.blake2b(key=self.key, digest_size=16)
+            for at in range(0, len(text), PIECE):
+                out.append(self.characters(f"{kind}:{len(text)}:{seen.hexdigest()}", text[at : at + PIECE]))
+                seen.update(out[-1].encode())
+            return "".join(out)
+        sets = [alphabet(c) for c in text]
         n, x = 1, 0
         for c, s in zip(text, sets):
             n, x = n * len(s), x * len(s) + s.index(c)
@@ -106,6 +122,18 @@ class Permuter:
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7), "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7))
 
 
+@cache
+def alphabet(c: str) -> str:
+    """The characters that ``c`` may become: of its own alphabet, or else the letters or digits of its kind among the 128 code points around it."""
+    known = next((s for s in ALPHABETS if c in s), None)
+    kind = unicodedata.category(c)
+    if known or kind[0] != "L" and kind != "Nd":
+        return known or c
+    low = ord(c) & ~127
+    # those in a listed alphabet belong to that one
+    return "".join(x for x in map(chr, range(low, low + 128)) if unicodedata.category(x) == kind and not any(x in s for s in ALPHABETS))
+
+
 def luhn_digit(digits: str) -> int:
     """The digit that makes ``digits`` and itself pass the Luhn test."""
     total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(digits)))
@@ -198,11 +226,13 @@ def pseudonym(p: Permuter, kind: str, value: str) -> str | None:
         return f"{p.characters('email', name)}@{host}"
     if kind == "secret":
         label, body = re.match(r"(.*[:=]\s*[\"']?)(.*)", value, re.S).groups()
-        if re.fullmatch(r"[0-9a-f]+", body):
+        if len(body) <= PIECE and re.fullmatch(r"[0-9a-f]+", body):
             return label + f"{p.integer(f'hex{len(body)}', 16 ** len(body), int(body, 16)):0{len(body)}x}"
         # letters of one case alone, or capitalised, are a word
         mixed = re.search(r"[0-9]", body) or body[1:] != body[1:].lower() != body[1:].upper()
         return label + p.characters("secret", body) if mixed else None
+    if kind == "key":
+        return value[:4] + p.characters("key", value[4:])
     if kind == "iban":
         flat = value.replace(" ", "").upper()
         country, check, account = flat[:2], flat[2:4], flat[4:]
@@ -305,9 +335,11 @@ def pseudonymise_text(text: str, key: bytes = KEY) -> tuple[str, list[dict]]:
         if (new := p.memo.get((kind, value))) is None:
             if len(p.memo) > 200_000:
                 p.memo.clear()
-            new = p.memo[kind, value] = pseudonym(p, kind, value) or ""
+            new = pseudonym(p, kind, value) or ""
+            if len(value) <= PIECE:
+                p.memo[kind, value] = new
         if new:
-            found.append({"kind": {"e164": "phone", "ip6": "ip"}.get(kind, kind), "start": start, "length": len(value)})
+            found.append({"kind": {"e164": "phone", "ip6": "ip", "key": "secret"}.get(kind, kind), "start": start, "length": len(value)})
         return new or None
 
     out, done, at = [], 0, 0
