@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.functions import vec
-from quillspan.operators import admit, chunk, cluster, embed, evaluate, project, vectors
+from quillspan.operators import admit, chunk, cluster, embed, evaluate, maps, project, vectors
 from quillspan.sources.shared import shared_dir, written
 from quillspan.streaming import notes
 
@@ -145,21 +145,97 @@ def total_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.total_variance(table(spark, sf_dir, "embeddings")).select(F.round("total_variance", 4).alias("total_variance"))
 
 
-@query()
+#: Squarings of a covariance matrix until its largest eigenvalue stands alone.
+SQUARINGS = 14
+
+
+def _axes_sql(rows: str, tag: str) -> str:
+    """CTEs ``{tag}b(g, m, p, q, share)``: mean, axes and share of variance of each group of ``rows`` (g, id, v).
+
+    The axes are columns of high powers of the covariance matrix, which is squared again and again, and of what is left without the first.
+    """
+    t = tag
+    square = lambda x, y: f"{y} AS MATERIALIZED (SELECT a.g, a.i, b.j, sum(a.x * b.x) / any_value(a.t * b.t) AS x, sqrt(sum(sum(a.x * b.x) ^ 2) OVER (PARTITION BY a.g)) / any_value(a.t * b.t) AS t FROM {x} a JOIN {x} b ON a.g = b.g AND a.j = b.i GROUP BY a.g, a.i, b.j)"
+
+    def axis(c: str, k: int) -> str:
+        powers = [f"{t}s{k}_0 AS MATERIALIZED (SELECT g, i, j, x, sqrt(sum(x ^ 2) OVER (PARTITION BY g)) AS t FROM {c})"]
+        powers += [square(f"{t}s{k}_{n}", f"{t}s{k}_{n + 1}") for n in range(SQUARINGS)]
+        top = f"{t}s{k}_{SQUARINGS}"
+        return ", ".join(powers) + f""",
+{t}j{k} AS (SELECT g, arg_max(i, x) AS j FROM {top} WHERE i = j GROUP BY g),
+{t}u{k} AS (SELECT c.g, c.i, c.x / sqrt(sum(c.x ^ 2) OVER (PARTITION BY c.g)) AS x FROM {top} c JOIN {t}j{k} b ON b.g = c.g AND b.j = c.j),
+{t}w{k} AS MATERIALIZED (SELECT g, i, x * CASE WHEN sum(x * ((i * 2654435761 % 100000) / 100000.0 - 0.5)) OVER (PARTITION BY g) >= 0 THEN 1 ELSE -1 END AS x FROM {t}u{k}),
+{t}l{k} AS MATERIALIZED (SELECT c.g, sum(a.x * c.x * b.x) AS l FROM {c} c JOIN {t}w{k} a ON a.g = c.g AND a.i = c.i JOIN {t}w{k} b ON b.g = c.g AND b.i = c.j GROUP BY c.g)"""
+
+    return f"""
+{t}r AS MATERIALIZED (SELECT g, id, unnest(v)::DOUBLE AS x, generate_subscripts(v, 1)::BIGINT AS i FROM ({rows})),
+{t}m AS MATERIALIZED (SELECT g, i, avg(x) AS m FROM {t}r GROUP BY g, i),
+{t}d AS MATERIALIZED (SELECT r.g, r.id, r.i, r.x - m.m AS x FROM {t}r r JOIN {t}m m USING (g, i)),
+{t}c1 AS MATERIALIZED (SELECT a.g, a.i, b.i AS j, sum(a.x * b.x) AS x FROM {t}d a JOIN {t}d b ON a.g = b.g AND a.id = b.id GROUP BY a.g, a.i, b.i),
+{axis(f"{t}c1", 1)},
+{t}c2 AS MATERIALIZED (SELECT c.g, c.i, c.j, c.x - l.l * a.x * b.x AS x FROM {t}c1 c JOIN {t}l1 l ON l.g = c.g JOIN {t}w1 a ON a.g = c.g AND a.i = c.i JOIN {t}w1 b ON b.g = c.g AND b.i = c.j),
+{axis(f"{t}c2", 2)},
+{t}b AS (SELECT c.g, any_value(a.l) / sum(c.x) AS share1, any_value(b.l) / sum(c.x) AS share2 FROM {t}c1 c JOIN {t}l1 a ON a.g = c.g JOIN {t}l2 b ON b.g = c.g WHERE c.i = c.j GROUP BY c.g),
+{t}xy AS MATERIALIZED (SELECT d.g, d.id, sum(d.x * a.x) AS x, sum(d.x * b.x) AS y FROM {t}d d JOIN {t}w1 a ON a.g = d.g AND a.i = d.i JOIN {t}w2 b ON b.g = d.g AND b.i = d.i GROUP BY d.g, d.id),
+{t}f AS (SELECT g, 260 / coalesce(nullif(max(greatest(abs(x), abs(y))), 0), 1) AS s FROM {t}xy GROUP BY g),
+{t}px AS MATERIALIZED (SELECT g, id, 300 + x * s AS px, 300 - y * s AS py FROM {t}xy JOIN {t}f USING (g))"""
+
+
+# centroids are projected too; they lie within their chunks' extent
+@query(f"""
+WITH {_axes_sql("SELECT 0 AS g, vec_id AS id, embedding AS v FROM embeddings", "o_")},
+notes AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::BIGINT AS i FROM embeddings) GROUP BY label, i),
+nxy AS (SELECT n.label, sum((n.x - m.m) * a.x) AS x, sum((n.x - m.m) * b.x) AS y FROM notes n JOIN o_m m ON m.i = n.i JOIN o_w1 a ON a.i = n.i JOIN o_w2 b ON b.i = n.i GROUP BY n.label),
+every AS (SELECT 'chunk' AS kind, e.label AS note_id, e.vec_id::VARCHAR AS chunk_id, x, y FROM o_xy JOIN embeddings e ON e.vec_id = o_xy.id UNION ALL SELECT 'note', label, NULL, x, y FROM nxy),
+s AS (SELECT 260 / max(greatest(abs(x), abs(y))) AS s FROM every)
+SELECT kind, note_id, chunk_id, round(300 + x * s, 4) AS px, round(300 - y * s, 4) AS py, (SELECT floor(100 * (share1 + share2) + 0.5)::INTEGER FROM o_b) AS percent FROM every, s""")
 def pca_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors as chunks and their labels' centroids as notes on one pair of axes, in pixels."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("note_id"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding", F.lit(False).alias("truncated"))
     points, basis = project.map_points(e, vectors.centroids(e))
     drawn = project.to_pixels(points, project.viewport_fit(points))
-    return drawn.select("kind", "note_id", "chunk_id", "px", "py", F.lit(basis.percent).alias("percent"))
+    return drawn.select("kind", "note_id", "chunk_id", F.round("px", 4).alias("px"), F.round("py", 4).alias("py"), F.lit(basis.percent).alias("percent"))
 
 
-@query()
+@query(f"""
+WITH {_axes_sql("SELECT label AS g, vec_id AS id, embedding AS v FROM embeddings", "o_")}
+SELECT o.g AS label, o.id AS vec_id, round(o.px, 4) AS px, round(o.py, 4) AS py, round(b.share1, 6) AS share1, round(b.share2, 6) AS share2 FROM o_px o JOIN o_b b USING (g)""")
+def pca_map_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map for each label, all fitted in one job."""
+    e = _vectors(spark, sf_dir)
+    found = written(maps.bases(maps.states(e)), "bases")
+    points = maps.drawn(e, found).join(F.broadcast(found.select("corpus_id", "share1", "share2")) if found.count() <= maps.FEW else found.select("corpus_id", "share1", "share2"), "corpus_id")
+    return points.select(F.col("corpus_id").alias("label"), F.col("id").alias("vec_id"), *[F.round(c, k).alias(c) for c, k in (("px", 4), ("py", 4), ("share1", 6), ("share2", 6))])
+
+
+@query(f"""
+WITH {_axes_sql("SELECT 0 AS g, vec_id AS id, embedding AS v FROM embeddings WHERE label <> (SELECT max(label) FROM embeddings)", "o_")},
+{_axes_sql("SELECT 0 AS g, vec_id AS id, embedding AS v FROM embeddings", "n_")}
+SELECT round(avg(d), 4) AS mean_px, round(max(d), 4) AS max_px, count(*) AS n FROM (SELECT sqrt((o.px - n.px) ^ 2 + (o.py - n.py) ^ 2) AS d FROM o_px o JOIN n_px n USING (id))""")
 def map_instability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the points of all labels but the largest move when that one is added."""
     e = _vectors(spark, sf_dir)
     top = e.agg(F.max("corpus_id")).first()[0]
-    return project.instability(e.filter(F.col("corpus_id") != top).select("id", "embedding"), e.filter(F.col("corpus_id") == top).select("id", "embedding"))
+    found = project.instability(e.filter(F.col("corpus_id") != top).select("id", "embedding"), e.filter(F.col("corpus_id") == top).select("id", "embedding"))
+    return found.select(F.round("mean_px", 4).alias("mean_px"), F.round("max_px", 4).alias("max_px"), "n")
+
+
+@query(f"""
+WITH {_axes_sql("SELECT label AS g, vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 5 <> 0", "o_")},
+{_axes_sql("SELECT label AS g, vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 7 <> 0", "n_")}
+SELECT g AS label, round(avg(d), 4) AS mean_px, round(max(d), 4) AS max_px, count(*) AS n FROM (SELECT g, sqrt((o.px - n.px) ^ 2 + (o.py - n.py) ^ 2) AS d FROM o_px o JOIN n_px n USING (g, id)) GROUP BY g""")
+def map_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the points of each label move from the map without every fifth vector to that without every seventh: refitted
+    from the first one's state by adding and subtracting the vectors between them."""
+    e = _vectors(spark, sf_dir)
+    five, seven = F.col("id") % 5 == 0, F.col("id") % 7 == 0
+    before = written(maps.states(e.filter(~five)), "states")
+    after = maps.changed(before, added=e.filter(five & ~seven), removed=e.filter(~five & seven))
+    a = maps.drawn(e.filter(~five), maps.bases(before)).select("corpus_id", "id", F.col("px").alias("ax"), F.col("py").alias("ay"))
+    b = maps.drawn(e.filter(~seven), maps.bases(after)).select("corpus_id", "id", "px", "py")
+    moved = a.join(b, ["corpus_id", "id"]).select("corpus_id", F.hypot(F.col("px") - F.col("ax"), F.col("py") - F.col("ay")).alias("d"))
+    found = moved.groupBy("corpus_id").agg(F.avg("d").alias("mean"), F.max("d").alias("max"), F.count("d").alias("n"))
+    return found.select(F.col("corpus_id").alias("label"), F.round("mean", 4).alias("mean_px"), F.round("max", 4).alias("max_px"), "n")
 
 
 @query("""

@@ -1,0 +1,114 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillspan.operators import maps, project
+
+SCHEMA = "corpus_id string, id int, embedding array<double>, x string"
+
+
+def rows(seed=4):
+    rng = np.random.default_rng(seed)
+    out = []
+    for c, n, d in (("many", 60, 7), ("few", 3, 7), ("one", 1, 7), ("flat", 5, 7), ("line", 9, 4), (None, 12, 3), ("single", 6, 1)):
+        m = np.ones((n, d)) if c == "flat" else np.outer(rng.normal(size=n), np.ones(d)) + 5 if c == "line" else rng.normal(size=(n, d)) * np.linspace(3, 1, d)
+        out += [(c, len(out) + i, v.tolist(), "x") for i, v in enumerate(m)]
+    return out + [("many", 900, None, "x"), ("many", 901, [], "x"), ("empty", 902, [], "x")]
+
+
+def by_corpus(made):
+    found = {}
+    for c, _, v, _ in made:
+        if v:
+            found.setdefault(c, []).append(v)
+    return {c: np.array(m) for c, m in found.items()}
+
+
+def test_bases_solve_each_corpus(spark):
+    made = rows()
+    got = {r.corpus_id: r for r in maps.bases(maps.states(spark.createDataFrame(made, SCHEMA).repartition(5))).collect()}
+    want = by_corpus(made)
+    assert set(got) == set(want)
+    for c, m in want.items():
+        r, centred = got[c], m - m.mean(axis=0)
+        scatter = centred.T @ centred
+        assert r.n == len(m) and r.mean == pytest.approx(m.mean(axis=0).tolist())
+        values = np.linalg.eigvalsh(scatter)[::-1]
+        if c in ("one", "flat"):
+            assert not any(r.pc1) and not any(r.pc2) and r.share1 == r.share2 == 0
+            continue
+        p, q = np.array(r.pc1), np.array(r.pc2)
+        assert np.abs(scatter @ p - values[0] * p).max() < 1e-8 and p @ project.seed_direction(m.shape[1]) >= 0
+        assert r.share1 == pytest.approx(values[0] / values.sum())
+        if c in ("line", "single"):
+            assert not q.any()
+        else:
+            assert np.abs(scatter @ q - values[1] * q).max() < 1e-8 and abs(p @ q) < 1e-9 and q @ project.seed_direction(m.shape[1]) >= 0
+
+
+def test_one_corpus_has_the_map_of_the_single_fit(spark):
+    items = spark.createDataFrame([r for r in rows() if r[0] == "many"], SCHEMA)
+    one, many = project.fit(items), maps.bases(maps.states(items)).first()
+    assert many.pc1 == pytest.approx(one.pc1) and many.pc2 == pytest.approx(one.pc2)
+    assert (many.share1, many.share2) == pytest.approx(one.variance_explained)
+
+
+def test_states_add_and_subtract(spark):
+    made = rows()
+    items = spark.createDataFrame(made, SCHEMA)
+    keep, gone, new = items.filter("id % 3 <> 0"), items.filter("id % 3 = 0"), spark.createDataFrame(rows(9)[:40], SCHEMA)
+    moved = maps.changed(maps.states(items), added=new, removed=gone)
+    direct = {r.corpus_id: r for r in maps.states(keep.unionByName(new)).collect()}
+    found = {r.corpus_id: r for r in moved.collect()}
+    assert set(found) == set(direct) and len(direct) > 4
+    for c, r in found.items():
+        assert r.n == direct[c].n and r.total == pytest.approx(direct[c].total) and r.outer == pytest.approx(direct[c].outer)
+    # all of a corpus gone: no state, no basis
+    assert "line" not in {r.corpus_id for r in maps.changed(maps.states(items), removed=items.filter("corpus_id = 'line'")).collect()}
+
+
+def test_points_without_a_basis_have_no_place(spark, monkeypatch):
+    items = spark.createDataFrame(rows(), SCHEMA)
+    found = maps.bases(maps.states(items))
+    placed = {}
+    for few in (1000, 0):  # by broadcast, by shuffle
+        monkeypatch.setattr(maps, "FEW", few)
+        placed[few] = {(r.corpus_id, r.id): (r.x, r.y, r.px, r.py) for r in maps.drawn(items, found).collect()}
+    assert placed[0] == placed[1000] and len(placed[0]) == items.count()
+    assert placed[0]["empty", 902][:2] == (None, None) and placed[0]["many", 901][0] is None
+    assert all(40 - 1e-9 <= v <= 560 + 1e-9 for p in placed[0].values() for v in p[2:] if v is not None)
+    assert {p[2:] for (c, _), p in placed[0].items() if c == "flat"} == {(300.0, 300.0)}
+
+
+def test_instability_of_each_corpus(spark):
+    items = spark.createDataFrame(rows(), SCHEMA).filter("corpus_id in ('many', 'few')")
+    old, new = items.filter("id < 50"), items.filter("id >= 50")
+    got = {r.corpus_id: r for r in maps.instability(old, new).collect()}
+    want = project.instability(old.filter("corpus_id = 'many'"), new.filter("corpus_id = 'many'")).first()
+    assert (got["many"].mean_px, got["many"].max_px, got["many"].n) == pytest.approx((want.mean_px, want.max_px, want.n))
+
+
+def test_no_rows(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    found = maps.bases(maps.states(none))
+    assert found.count() == 0 and maps.drawn(none, found).count() == 0
+    assert maps.changed(maps.states(none), added=none, removed=none).count() == 0
+
+
+def test_one_plan_reads_the_items_once(spark, tmp_path):
+    spark.createDataFrame(rows(), SCHEMA).write.parquet(f"{tmp_path}/items")
+    plan = maps.bases(maps.states(spark.read.parquet(f"{tmp_path}/items")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+
+
+def test_a_hot_corpus_sends_its_sums_only(spark):
+    hot = spark.range(0, 20_000, 1, 4).select(F.lit("hot").alias("corpus_id"), F.array(F.rand(1), F.rand(2), F.rand(3)).alias("embedding"))
+    found = maps.states(hot).first()
+    assert found.n == 20_000 and len(found.outer) == 6
+
+
+def test_whole_numbers_and_null_as_corpora(spark):
+    items = spark.createDataFrame([(c, i, [float(i), float(i * i), 1.0]) for i in range(12) for c in (None, 2**60 + 1, 7)], "corpus_id bigint, id int, embedding array<float>")
+    found = maps.bases(maps.states(items))
+    assert {(r.corpus_id, r.n) for r in found.collect()} == {(None, 12), (2**60 + 1, 12), (7, 12)} and dict(found.dtypes)["corpus_id"] == "bigint"
+    assert maps.drawn(items, found).filter("px is null").count() == 0
