@@ -289,13 +289,40 @@ def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("corpus_id").alias("conv_id"), F.col("seq").alias("turn"), F.col("note_id").alias("note"), "status")
 
 
-@query()
+def _linkage_sql(threshold: float, group: str = "label") -> str:
+    """``steps`` (g, step, k, s, n, d): the clusters k of each group after each merge, with sums of unit vectors, and the merge's height."""
+    return f"""
+u AS MATERIALIZED (SELECT {group} AS g, vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings),
+steps AS (
+  SELECT g, 0 AS step, id AS k, u AS s, 1::BIGINT AS n, NULL::DOUBLE AS d FROM u
+  UNION ALL
+  (WITH p AS (SELECT a.g, a.k AS x, b.k AS y, 1 - list_dot_product(a.s, b.s) / (a.n * b.n) AS d FROM steps a JOIN steps b ON a.g = b.g AND a.k < b.k),
+        m AS (SELECT g, arg_min(x, d) AS x, arg_min(y, d) AS y, min(d) AS d FROM p GROUP BY g HAVING min(d) <= {threshold})
+   SELECT a.g, a.step + 1, a.k, CASE WHEN a.k = m.x THEN list_transform(range(1, len(a.s) + 1), lambda i: a.s[i] + b.s[i]) ELSE a.s END,
+          CASE WHEN a.k = m.x THEN a.n + b.n ELSE a.n END, m.d
+   FROM steps a JOIN m ON a.g = m.g JOIN steps b ON b.g = m.g AND b.k = m.y WHERE a.k <> m.y))"""
+
+
+# a vector's cluster is that of the merges' last state that is nearest in the end: members follow their smallest number
+@query(f"""
+WITH RECURSIVE {_linkage_sql(0.85)},
+merged AS (SELECT b.g, b.step, b.k AS gone, (SELECT a.k FROM steps a JOIN steps c ON c.g = a.g AND c.k = a.k AND c.step = a.step + 1 AND c.n > a.n WHERE a.g = b.g AND a.step = b.step) AS kept
+           FROM steps b WHERE EXISTS (FROM steps x WHERE x.g = b.g AND x.step = b.step + 1) AND NOT EXISTS (FROM steps c WHERE c.g = b.g AND c.k = b.k AND c.step = b.step + 1)),
+follow AS (SELECT g, id, id AS k FROM u UNION ALL SELECT f.g, f.id, m.kept FROM follow f JOIN merged m ON m.g = f.g AND m.gone = f.k)
+SELECT g AS corpus_id, min(k) AS cluster, id FROM follow WHERE (SELECT count(*) FROM u x WHERE x.g = follow.g) >= 15 GROUP BY g, id""")
 def cluster_upgma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters within each label."""
     return cluster.cluster(_vectors(spark, sf_dir))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_linkage_sql(0.6, "0")},
+merged AS (SELECT b.step, b.k AS gone, (SELECT a.k FROM steps a JOIN steps c ON c.k = a.k AND c.step = a.step + 1 AND c.n > a.n WHERE a.step = b.step) AS kept
+           FROM steps b WHERE b.step < (SELECT max(step) FROM steps) AND NOT EXISTS (FROM steps c WHERE c.k = b.k AND c.step = b.step + 1)),
+follow AS (SELECT id, id AS k FROM u UNION ALL SELECT f.id, m.kept FROM follow f JOIN merged m ON m.gone = f.k),
+last AS (SELECT id, min(k) AS k FROM follow GROUP BY id),
+each AS (SELECT k, count(DISTINCT label) = 1 AS pure FROM last JOIN embeddings e ON e.vec_id = last.id GROUP BY k)
+SELECT count(*) AS n_clusters, count(*) FILTER (pure) AS n_pure, bool_and(pure) AS all_pure FROM each""")
 def cluster_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors as one corpus, clustered in rounds and held against their labels."""
     e = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("corpus_id"), F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), "embedding", "label")
@@ -303,7 +330,11 @@ def cluster_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.purity(found, e)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_linkage_sql(10)},
+heights AS (SELECT DISTINCT g, step, d FROM steps WHERE step > 0)
+SELECT l.label AS corpus_id, t AS threshold, l.n - (SELECT count(*) FROM heights h WHERE h.g = l.label AND h.d <= t) AS n_clusters
+FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label HAVING count(*) >= 15) l, (SELECT unnest([0.3, 0.6, 0.82, 0.85, 0.88, 0.95]::DOUBLE[]) AS t)""")
 def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cut_sweep(_vectors(spark, sf_dir), [0.3, 0.6, 0.82, 0.85, 0.88, 0.95])
 

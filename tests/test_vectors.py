@@ -166,6 +166,59 @@ def test_clusters_follow_the_definition(spark, threshold):
     assert found(cluster.cluster_rounds(table(spark, m), threshold=threshold, block=7).collect(), "cluster") == want
 
 
+@pytest.mark.parametrize("keep", [1, 3])
+def test_kept_neighbour_lists_give_the_same_clusters(spark, keep):
+    m = np.random.default_rng(6).standard_normal((40, 5)).astype(np.float32).astype(float)
+    got = cluster.cluster_rounds(table(spark, m), threshold=0.5, block=9, keep=keep, local=10 * (keep - 1))
+    assert found(got.collect(), "cluster") == sequential(m, 0.5)
+
+
+def test_heights_are_those_of_the_whole_dendrogram(spark):
+    m = np.random.default_rng(6).standard_normal((40, 5)).astype(np.float32).astype(float)
+    heights = [sorted(r.height for r in rows.collect()) for rows in (cluster.cluster_rounds(table(spark, m), threshold=2, history=True), cluster.merge_history(table(spark, m)))]
+    assert heights[0] == pytest.approx(heights[1]) and len(heights[0]) == 39
+
+
+def ties():
+    """Vectors of equal mutual distance; three groups of them; and points on a circle, each as far from both neighbours."""
+    alike = np.eye(30) + 0.5
+    groups = np.zeros((30, 33))
+    for i in range(30):
+        groups[i, [i // 10, 3 + i]] = 3, 1
+    angles = np.arange(24) * np.pi / 12
+    return {"alike": (alike, 0.5), "apart": (np.eye(30), 0.5), "groups": (groups, 0.3), "circle": (np.stack([np.cos(angles), np.sin(angles)], axis=1), 0.01)}
+
+
+@pytest.mark.parametrize("name", ["alike", "apart", "groups", "circle"])
+def test_tied_distances_take_few_rounds(spark, name):
+    m, threshold = ties()[name]
+    exact = found(cluster.cluster_exact(table(spark, m), threshold=threshold).collect(), "cluster_id")
+    for more in ({}, *([{"local": 4, "block": 11, "most_rounds": 20}] if name == "alike" else [])):
+        assert found(cluster.cluster_rounds(table(spark, m), threshold=threshold, **more).collect(), "cluster") == exact
+
+
+def test_many_ties_end(monkeypatch):
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(-(2**63), 2**63, 1500)
+    rounds = []
+    monkeypatch.setattr(cluster, "_closest", lambda *a, f=cluster._closest: rounds.append(len(a[0])) or f(*a))
+    merged = cluster.finish(hashes, np.eye(1500), np.ones(1500), 2.0)
+    assert len(merged) == 1499 and len(rounds) < 60
+
+
+def test_later_rounds_compare_what_merged_alone(spark, monkeypatch):
+    m = np.random.default_rng(8).standard_normal((60, 6))
+    asked = []
+
+    def counted(state, block, keep, f=cluster._search):
+        asked.append((state.filter("fresh").count(), state.count()))
+        return f(state, block, keep)
+
+    monkeypatch.setattr(cluster, "_search", counted)
+    cluster.cluster_rounds(table(spark, m), threshold=2, local=30).collect()
+    assert asked[0] == (60, 60) and len(asked) > 1 and all(fresh < total for fresh, total in asked[1:])
+
+
 def test_cluster_floor_names_and_topics(spark):
     m = blobs()
     assert cluster.cluster_exact(table(spark, m[:14])).count() == 0
