@@ -166,6 +166,8 @@ def _track(data: memoryview, found: dict[bytes, tuple[int, int]]) -> dict:
         raise ValueError("samples beyond the end")
     sizes = np.full(n, uniform, np.int64) if uniform else ints(b"stsz", skip=8)
     chunks = ints(b"co64", form=">u8") if b"co64" in found else ints(b"stco")
+    if len(chunks) and (chunks.min() < 0 or chunks.max() > len(data)):  # before anything is added to them
+        raise ValueError("samples beyond the end")
     runs = ints(b"stsc", 3).reshape(-1, 3)
     first = runs[:, 0]
     if len(runs) and (first[0] != 1 or first[-1] > len(chunks) or (np.diff(first) <= 0).any()) or (len(chunks) and not len(runs)):
@@ -180,8 +182,13 @@ def _track(data: memoryview, found: dict[bytes, tuple[int, int]]) -> dict:
     if n and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
         raise ValueError("samples beyond the end")
     stts = ints(b"stts", 2).reshape(-1, 2)
+    table_ticks = int((stts[:, 0] * stts[:, 1]).sum())
+    if int(stts[:, 0].sum()) != n or ticks not in (0, 2**32 - 1, 2**64 - 1, table_ticks):
+        raise ValueError("sample tables disagree")
     keys = ints(b"stss") - 1 if b"stss" in found else np.arange(n)
-    return {"number": number, "handler": handler, "codec": codec, "timescale": scale, "ticks": ticks, "table_ticks": int((stts[:, 0] * stts[:, 1]).sum()), "offsets": offsets, "sizes": sizes, "keys": keys[(keys >= 0) & (keys < n)]}
+    if len(keys) and (keys[0] < 0 or keys[-1] >= n or (np.diff(keys) <= 0).any()):
+        raise ValueError("sample tables disagree")
+    return {"number": number, "handler": handler, "codec": codec, "timescale": scale, "ticks": ticks, "table_ticks": table_ticks, "offsets": offsets, "sizes": sizes, "keys": keys}
 
 
 def sample_bytes(media: bytes, t: dict) -> bytes:
