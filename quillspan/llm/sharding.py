@@ -79,11 +79,19 @@ def external_shuffle(rows: DataFrame, *, key: str = "doc_id", shards: int = SHAR
     The order depends on the seed and the rows, not on how they arrive: each bucket is sorted before it is shuffled.
     Columns must be of types that can be sorted (no maps).
     """
-    return _placed(rows, key, shards, seed, bucket_rows, bucket_bytes).drop("part")
+    return _placed(rows, key, shards, seed, bucket_rows, bucket_bytes).drop(part_of(rows))
+
+
+def part_of(rows: DataFrame) -> str:
+    """Name of the column, and folder, of runs of buckets: ``part``, with as many underscores as none of the rows' own columns has."""
+    name = "part"
+    while name in rows.columns:
+        name += "_"
+    return name
 
 
 def _placed(rows: DataFrame, key: str = "doc_id", shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """As ``external_shuffle``, with ``part``: the run of ``TOGETHER`` buckets, which a task holds whole."""
+    """As ``external_shuffle``, with ``part_of(rows)``: the run of ``TOGETHER`` buckets, which a task holds whole."""
     names = [c for c in rows.columns if c not in ("shard", "slot")]
     long = [c for c, kind in rows.select(*[f"`{c}`" for c in names]).dtypes if kind in ("string", "binary")]
     weight = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in long), F.lit(16 * len(names)))
@@ -113,15 +121,16 @@ def _placed(rows: DataFrame, key: str = "doc_id", shards: int = SHARDS, seed: in
         *[F.col("item.row").getField(c).alias(c) for c in names],
         F.pmod(at, F.lit(shards)).cast("int").alias("shard"),
         F.expr(f"(start + i) div {shards}").alias("slot"),
-        "part",
+        F.col("part").alias(part_of(rows)),
     )
 
 
 def write_shards(rows: DataFrame, path: str, *, rows_per_file: int = 1_000_000, **options) -> None:
     """Shuffle ``rows`` and write them as Parquet under ``path``, a folder for each shard, in order of slot.
 
-    A shard may be larger than a task: it is cut into folders of consecutive slots, numbered by ``part``, and these into
+    A shard may be larger than a task: it is cut into folders of consecutive slots, numbered by ``part_of(rows)``, and these into
     files of at most ``rows_per_file``. The task that has shuffled a run of buckets writes it, so rows move once.
     """
+    part = part_of(rows)
     done = _placed(rows, **options)
-    done.sortWithinPartitions("shard", "part", "slot").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard", "part").parquet(path)
+    done.sortWithinPartitions("shard", part, "slot").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard", part).parquet(path)
