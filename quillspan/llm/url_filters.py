@@ -4,9 +4,9 @@ An entry (domain, action, listed_at) holds for the domain and all hosts below it
 ``remove`` ends what stood before. For each host the entries of all its parent domains are laid out on one time line of
 intervals, in which the most specific domain with an active entry decides. Captures then join that time line on the host and
 a time bucket, with the interval as a residual condition, so each capture meets one interval at most: nothing needs to be
-grouped by capture afterwards, and a hot host's captures spread over the buckets, which grow in number with them. A short
-domain's entries are repeated for each of ``SALTS`` keys, over which the hosts below it are dealt out.
-Only DataFrame functions.
+grouped by capture afterwards. Only hot hosts have buckets of time, by their own captures, so intervals are not repeated for
+the others, and the buckets of all hot hosts together have a fixed bound. A short domain's entries are repeated for each of
+``SALTS`` keys, over which the hosts below it are dealt out. Only DataFrame functions.
 
 Defined cases: captures without a host or a fetch time, or before the first entry, are ``none``; entries without a domain
 or a date are ignored; of entries of one domain and date ``block`` wins over ``allow`` and ``allow`` over ``remove``; equal
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Time buckets between the first and the last capture: so many at least, and one for so many captures.
-BUCKETS, BUCKET_CAPTURES = 64, 2_000_000
+#: A host is hot with more captures than this, or than one part in ``HOT`` of all; so there are fewer than ``HOT`` hot hosts.
+LEAST, HOT = 4096, 65_536
+#: Captures that no entry can reach (no host, no time) are spread over so many keys.
+SPREAD = 1024
 #: Domains of so few labels (``com``, ``co.uk``) have many hosts below them, which are dealt out over so many keys.
 SHORT, SALTS = 2, 32
 #: From weak to strong, for entries of one domain and date.
@@ -73,21 +75,45 @@ def time_lines(hosts: DataFrame, entries: DataFrame) -> DataFrame:
     return line.select("host", F.col("at").alias("valid_from"), until.alias("valid_to"), F.col("c.domain").alias("matched_domain"), F.col("c.e.listed_at").alias("listed_at"), F.col("c.e.action").alias("action"))
 
 
+def hot_hosts(hosts: DataFrame) -> DataFrame:
+    """(h, start, width) of hosts(host, n, first, last) that take more than one bucket, by the host's hash, marked for broadcast.
+
+    Buckets hold ``LEAST`` captures on average, or more where that would make over ``HOT`` of them; so the rows, of fixed size,
+    are fewer than ``HOT`` whatever the captures are. Hosts of equal hash share their buckets' width.
+    """
+    total = hosts.agg(F.sum("n")).first()[0] or 0
+    each = max(LEAST, -(-total // HOT))
+    span = F.max("last") - F.min("first")
+    width = F.floor(span / F.ceil(F.sum("n") / F.lit(each))).cast("bigint") + 1
+    return F.broadcast(hosts.filter(F.col("n") > each).groupBy(F.xxhash64("host").alias("h")).agg(F.min("first").alias("start"), width.alias("width")))
+
+
+def _bucket(t: Column) -> Column:
+    return F.coalesce(F.floor((t - F.col("start")) / F.col("width")), F.lit(0).cast("bigint"))
+
+
+def bucketed(lines: DataFrame, hot: DataFrame) -> DataFrame:
+    """(host, b, lo, hi, ...): intervals within their host's first and last capture, one row for each bucket of a hot host that they touch."""
+    spans = lines.select("*", F.unix_micros("valid_from").alias("lo"), F.coalesce(F.unix_micros("valid_to"), F.col("last") + 1).alias("hi")).filter("lo <= last and hi > first")
+    at = spans.withColumn("h", F.xxhash64("host")).join(hot, "h", "left")
+    buckets = F.sequence(_bucket(F.greatest("lo", "first")), _bucket(F.least(F.col("hi") - 1, F.col("last"))))
+    return at.select("host", "matched_domain", "listed_at", "action", "lo", "hi", F.explode(buckets).alias("b"))
+
+
 def temporal_join(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """All columns of ``captures`` with host, action (block, allow or none), matched_domain, listed_at and blocked."""
     made = ("host", "action", "matched_domain", "listed_at", "blocked")
     names = [c for c in captures.columns if c not in made]
     keyed = captures.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in names], host_of(F.col(f"`{url_col}`")).alias("host"), F.unix_micros(F.col(f"`{time_col}`").cast("timestamp")).alias("t"))
-    first, last, n = keyed.agg(F.min("t"), F.max("t"), F.count("*")).first()
-    first, last = first or 0, last or 0
-    width = (last - first) // max(BUCKETS, n // BUCKET_CAPTURES) + 1
-    bucket = lambda t: F.floor((t - F.lit(first)) / F.lit(width))
-
     # hosts and their events are written once: three steps read them, and captures are not scanned again for each
-    lines = time_lines(written(keyed.select("host").distinct().filter("host <> ''"), "hosts"), entries)
-    spans = lines.filter("action is not null").select("*", F.unix_micros("valid_from").alias("lo"), F.coalesce(F.unix_micros("valid_to"), F.lit(last + 1)).alias("hi")).filter((F.col("lo") <= last) & (F.col("hi") > first))
-    cut = spans.select("host", "matched_domain", "listed_at", "action", "lo", "hi", F.explode(F.sequence(bucket(F.greatest("lo", F.lit(first))), bucket(F.least("hi", F.lit(last))))).alias("b"))
-    x, y = keyed.withColumn("b", bucket(F.col("t"))).alias("x"), cut.alias("y")
+    hosts = written(keyed.filter("host <> '' and t is not null").groupBy("host").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last")), "hosts")
+    hot = hot_hosts(hosts)
+    lines = time_lines(hosts.select("host"), entries).filter("action is not null")
+    cut = bucketed(lines.join(hosts.select("host", "first", "last"), "host"), hot)
+    reached = (F.col("host") != "") & F.col("t").isNotNull()
+    idle = -1 - F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
+    placed = keyed.withColumn("h", F.xxhash64("host")).join(hot, "h", "left")
+    x, y = placed.withColumn("b", F.when(reached, _bucket(F.col("t"))).otherwise(idle)).alias("x"), cut.alias("y")
     met = x.join(y, (F.col("x.host") == F.col("y.host")) & (F.col("x.b") == F.col("y.b")) & (F.col("x.t") >= F.col("y.lo")) & (F.col("x.t") < F.col("y.hi")), "left")
     return met.select(
         *[F.col(f"x.c_{c}").alias(c) for c in names],

@@ -347,3 +347,20 @@ def test_url_lists_match_sql(spark, sf_dir):
     want = con.sql(queries.OP7_SQL)
     got = queries.op7_temporal_lists(spark, sf_dir).select(*want.columns).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_intervals_are_cut_for_hot_hosts_only(spark, monkeypatch):
+    start = 1_600_000_000
+    captures = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit("https://hot.example.com/")).otherwise(F.concat(F.lit("https://h"), F.col("id") % 2000, F.lit(".example.com/"))).alias("url"), F.timestamp_seconds(F.lit(start) + F.col("id")).alias("fetched_at"), "id")
+    entries = spark.createDataFrame([("example.com", "block", dt.datetime(2020, 1, 1)), ("hot.example.com", "allow", dt.datetime(2020, 9, 13, 20))], "domain string, action string, listed_at timestamp")
+    made = []
+    whole = url_filters.bucketed
+    monkeypatch.setattr(url_filters, "bucketed", lambda lines, hot: made.append((hot.count(), whole(lines, hot).count())) or whole(lines, hot))
+    for rows in (captures, captures.withColumn("x", F.explode(F.array(*map(F.lit, range(4)))))):
+        got = {(r.hot, r.action) for r in url_filters.temporal_join(rows, entries).select((F.col("host") == "hot.example.com").alias("hot"), "action").distinct().collect()}
+        assert got == {(False, "block"), (True, "block"), (True, "allow")}
+    (few, rows), (few4, rows4) = made
+    assert few == few4 == 1
+    assert 2001 <= rows <= 2001 + 6 and rows4 <= 2001 + 22
+    monkeypatch.setattr(url_filters, "LEAST", 1)
+    assert url_filters.hot_hosts(spark.range(1000).selectExpr("concat('h', id) host", "1000000 n", "0L first", "10L last")).count() < url_filters.HOT
