@@ -121,19 +121,26 @@ def top_pairs(items: DataFrame, k: int = 10, *, corpus: str = "corpus_id", digit
     return best.join(more, corpus)
 
 
-def pair_percentiles(pairs: DataFrame, *, corpus: str = "corpus_id", value: str = "similarity", floor: int = MIN_PAIRS) -> DataFrame:
-    """``pairs`` with ``percentile``: (below + half of the equal ones, itself included) / total * 100; null under the floor.
+def _ranks(hist: DataFrame, corpus: str) -> DataFrame:
+    """hist(corpus, __v, equal, ...) with ``base`` + ``inside``, the count below each value, and the corpus's ``total``.
 
-    Equal values are counted first, then summed up within 1,024 bins of the value and over the bins, so no window spans a
-    whole corpus however many pairs it has.
+    Summed up within 1,024 bins of the value and over the bins, so no window spans a whole corpus however many values it has.
     """
-    hist = pairs.groupBy(corpus, F.col(value).alias("__v")).agg(F.count("*").alias("equal"))
     hist = hist.withColumn("bin", F.floor((F.col("__v") + 1) * 512))
     bins = hist.groupBy(corpus, "bin").agg(F.sum("equal").alias("t"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select(corpus, "bin", F.coalesce(F.sum("t").over(before(Window.partitionBy(corpus).orderBy("bin"))), F.lit(0)).alias("base"), F.sum("t").over(Window.partitionBy(corpus)).alias("total"))
     inside = F.coalesce(F.sum("equal").over(before(Window.partitionBy(corpus, "bin").orderBy("__v"))), F.lit(0))
-    ranks = hist.withColumn("inside", inside).join(bins, [corpus, "bin"])
+    return hist.withColumn("inside", inside).join(bins, [corpus, "bin"])
+
+
+def pair_percentiles(pairs: DataFrame, *, corpus: str = "corpus_id", value: str = "similarity", floor: int = MIN_PAIRS) -> DataFrame:
+    """``pairs`` with ``percentile``: (below + half of the equal ones, itself included) / total * 100; null under the floor.
+
+    Equal values are counted first, then summed up within 1,024 bins of the value and over the bins, so no window spans a
+    whole corpus however many pairs it has.
+    """
+    ranks = _ranks(pairs.groupBy(corpus, F.col(value).alias("__v")).agg(F.count("*").alias("equal")), corpus)
     percent = F.when(F.col("total") >= floor, (F.col("base") + F.col("inside") + 0.5 * F.col("equal")) / F.col("total") * 100)
     known = ranks.select(F.col(corpus).alias("__c"), "__v", percent.alias("percentile"))
     return pairs.join(known, (F.col(corpus) == F.col("__c")) & (F.col(value) == F.col("__v")), "left").drop("__c", "__v")
@@ -142,12 +149,17 @@ def pair_percentiles(pairs: DataFrame, *, corpus: str = "corpus_id", value: str
 def percentile_of(values: DataFrame, pairs: DataFrame, *, corpus: str = "corpus_id", value: str = "similarity", floor: int = MIN_PAIRS) -> DataFrame:
     """``values(corpus, value)`` with the percentile each has among the corpus's pairs, whether it is one of them or not.
 
-    Counts are gathered by value and then compared, one row for each different value of a corpus.
+    Values are merged into the pairs' counts, as rows that count nothing, and take their places in the same prefix sums, so a
+    value never meets a similarity. Each different value has one row; a null value and a corpus under the floor have null; pairs
+    without a similarity don't count.
     """
-    v = values.select(corpus, F.col(value).alias("at")).distinct()
-    hist = pairs.groupBy(corpus, F.col(value).alias("p")).agg(F.count("*").alias("n"))
-    seen = v.join(hist, corpus, "left").groupBy(corpus, "at").agg(F.sum(F.when(F.col("p") < F.col("at"), F.col("n")).otherwise(0)).alias("below"), F.sum(F.when(F.col("p") == F.col("at"), F.col("n")).otherwise(0)).alias("equal"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    return seen.select(corpus, F.col("at").alias(value), F.when(F.col("total") >= floor, (F.col("below") + 0.5 * F.col("equal")) / F.col("total") * 100).alias("percentile"))
+    asked = values.select(corpus, F.col(value).alias("__v")).distinct()
+    hist = pairs.filter(F.col(value).isNotNull()).groupBy(corpus, F.col(value).alias("__v")).agg(F.count("*").alias("equal"))
+    both = hist.withColumn("asked", F.lit(False)).unionByName(asked.filter(F.col("__v").isNotNull()).withColumn("equal", F.lit(0).cast("bigint")).withColumn("asked", F.lit(True)))
+    merged = both.groupBy(corpus, "__v").agg(F.sum("equal").alias("equal"), F.max("asked").alias("asked"))
+    percent = F.when(F.col("total") >= floor, (F.col("base") + F.col("inside") + 0.5 * F.col("equal")) / F.nullif(F.col("total"), F.lit(0)) * 100)
+    found = _ranks(merged, corpus).filter("asked").select(corpus, F.col("__v").alias(value), percent.alias("percentile"))
+    return found.unionByName(asked.filter(F.col("__v").isNull()).select(corpus, F.col("__v").alias(value), F.lit(None).cast("double").alias("percentile")))
 
 
 def approximate_percentile_of(values: DataFrame, pairs: DataFrame, *, value: str = "similarity", steps: int = 1000) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -78,25 +79,68 @@ def since_baseline(events: DataFrame, *, by: str, time: str, kind: str, ready: s
 
 
 class _Baseline(StatefulProcessor):
+    """The first ``ready`` so far, the events counted from it on, and how many there were at each time before it."""
+
+    def __init__(self, kind: str, bounded: bool):
+        self.kind, self.bounded = kind, bounded
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("count", "ready boolean, n bigint")
+        self.handle = handle
+        self.state = handle.getValueState("count", f"first {self.kind}, n bigint")
+        self.before = handle.getMapState("before", f"t {self.kind}", "n bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        ready, n = self.state.get() if self.state.exists() else (False, 0)
-        for is_ready in pd.concat(list(rows)).sort_values("t")["ready"]:
-            ready = ready or bool(is_ready)
-            n += ready
-        self.state.update((ready, n))
+        first, n = self.state.get() if self.state.exists() else (None, 0)
+        events = pd.concat(list(rows))
+        events = events[events["known"]]
+        ready = events.loc[events["ready"], "t"].tolist()
+        if ready and (first is None or min(ready) < first):  # the baseline moves back, over events seen before
+            first = min(ready)
+            for (t,), (m,) in list(self.before.iterator()):
+                if t >= first:
+                    n += m
+                    self.before.removeKey((t,))
+        for t, m in Counter(events["t"].tolist()).items():
+            if first is not None and t >= first:
+                n += m
+                continue
+            seen = self.before.getValue((t,))[0] if self.before.containsKey((t,)) else 0
+            self.before.updateValue((t,), (seen + m,))
+            if self.bounded:
+                self.handle.registerTimer(t // 1000 + 1)
+        self.state.update((first, n))
         yield pd.DataFrame({"k": [key[0]], "n": [n]})
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """No ``ready`` as old as these events is let in any more, so they will never count."""
+        gone = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        for (t,) in [k for k in self.before.keys() if k[0] < gone]:
+            self.before.removeKey((t,))
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def since_baseline_stream(events: DataFrame, *, by: str, time: str, kind: str, ready: str) -> DataFrame:
-    """The running count after each micro-batch, for events that arrive in order."""
-    base = events.select(F.col(by).alias("k"), F.col(time).alias("t"), (F.col(kind) == ready).alias("ready"))
-    out = base.groupBy("k").transformWithStateInPandas(_Baseline(), f"k {dict(base.dtypes)['k']}, n bigint", "update", "none")
+def since_baseline_stream(events: DataFrame, *, by: str, time: str, kind: str, ready: str, late: str | None = None) -> DataFrame:
+    """The running count after each micro-batch, as ``since_baseline`` has it for all events so far, in whatever order they arrive.
+
+    An earlier ``ready`` that arrives late moves the baseline back. For that, state holds a count for each time before the
+    baseline: without ``late`` of all such times; with it (``time`` is a timestamp then) events later than that are dropped, and
+    times that the watermark has passed leave the state. Events without a time don't count.
+    """
+    timed = events.withWatermark(time, late) if late else events
+    at = F.col(time)
+    if dict(events.dtypes)[time].startswith("timestamp"):
+        at = F.unix_micros(at.cast("timestamp"))
+    elif late:
+        raise ValueError("late needs a time column of type timestamp")
+    known = at.isNotNull()
+    base = timed.select(F.col(by).alias("k"), at.alias("t"), known.alias("known"), (known & F.coalesce(F.col(kind) == ready, F.lit(False))).alias("ready"), *([F.col(time).alias("at")] if late else []))
+    kinds = dict(base.dtypes)
+    # a null would make whole numbers floating in the state's frames
+    whole = base.withColumn("t", F.coalesce("t", F.lit("0").cast(kinds["t"])))
+    out = whole.groupBy("k").transformWithStateInPandas(_Baseline(kinds["t"], bool(late)), f"k {kinds['k']}, n bigint", "update", "eventTime" if late else "none")
     return out.withColumnRenamed("k", by)
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspan.operators import admit
@@ -137,6 +138,25 @@ def test_since_baseline(spark, tmp_path):
     assert {r.k: r.n for r in spark.table("since").collect()} == {"u": 3, "v": 0}
 
 
+@pytest.mark.parametrize("late", [None, "2 hours"])
+def test_since_baseline_in_any_order(spark, tmp_path, late):
+    draw = random.Random(5)
+    rows = [(f"u{draw.randrange(6)}", dt.datetime(2024, 3, 1) + dt.timedelta(seconds=draw.randrange(3600)), draw.choice(["x", "x", "y", None, "ready"])) for _ in range(300)] + [("u0", None, "ready"), ("none", None, "ready")]
+    draw.shuffle(rows)
+    table = spark.createDataFrame(rows, "k string, t timestamp, kind string")
+    options = {"by": "k", "time": "t", "kind": "kind", "ready": "ready"}
+    for n in range(5):
+        spark.createDataFrame(rows[n::5], table.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", notes.ROCKSDB)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    name = "shuffled_" + ("bounded" if late else "whole")
+    q = notes.since_baseline_stream(stream, late=late, **options).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(240)
+    got = {r.k: r.n for r in spark.table(name).groupBy("k").agg({"n": "max"}).toDF("k", "n").collect()}
+    want = {r.k: r.n for r in notes.since_baseline(table, **options).collect()}
+    assert {k: n for k, n in got.items() if n} == {k: n for k, n in want.items() if n} and sum(want.values()) > 200
+
+
 def test_refits_and_pointers(spark):
     seen = []
     run = notes.on_change(lambda dirty: seen.extend(r.corpus_id for r in dirty.collect()))
