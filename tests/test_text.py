@@ -47,7 +47,7 @@ def test_offsets_and_index(spark):
 
 @pytest.mark.parametrize(
     ("text", "n"),
-    [("A. B. C. D.", 4), ("One. Two! Three?", 3), ("Pi is 3.14 today. Yes.", 2), ("今天天气好。我们走吧！好的。", 3), ("no marks at all", 1), ("", 0), ("line one\nline two", 2), ('He said "Go." Then left.', 2), ("e.g. lower goes on. Next.", 2)],
+    [("Rain. Hail! Fog. Is it snow?", 4), ("One. Two! Three?", 3), ("Pi is 3.14 today. Yes.", 2), ("今天天气好。我们走吧！好的。", 3), ("no marks at all", 1), ("", 0), ("line one\nline two", 2), ('He said "Go." Then left.', 2), ("e.g. lower goes on. Next.", 2)],
 )
 def test_sentences(spark, text, n):
     [(found,)] = values(spark, [text], T.sentences("text"))
@@ -118,7 +118,7 @@ def test_graphemes_stay_whole(spark):
 
 def test_native_fold_agrees(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("note_id"), "text")
-    extra = [(9001, "Short one. " + "word " * 200 + "end. Short two."), (9002, "word " * 300), (9003, "Only."), (9004, "")]
+    extra = [(9001, "Tea first. " + "leaf " * 200 + "steeps. Then milk."), (9002, "leaf " * 300), (9003, "Only."), (9004, "")]
     docs = docs.union(spark.createDataFrame(extra, docs.schema))
     columns = ["note_id", "ord", "text", "token_count", "truncated"]
     a, b = chunk.chunk_notes(docs).select(columns), chunk.chunk_notes_native(docs).select(columns)
@@ -134,10 +134,10 @@ def test_chunks_partition_the_text(spark, sf_dir):
 
 
 def test_owner_of_grapheme(spark):
-    notes = spark.createDataFrame([("n", "Aa bb. Cc dd. Ee ff.")], "note_id string, text string")
-    points = spark.createDataFrame([("n", i) for i in (0, 13, 14, 19, 20)], "note_id string, i int")
+    notes = spark.createDataFrame([("n", "Dry oak. Wet elm. Old fig.")], "note_id string, text string")
+    points = spark.createDataFrame([("n", i) for i in (0, 17, 18, 25, 26)], "note_id string, i int")
     got = chunk.owner_of_grapheme(points, chunk.chunk_notes(notes, **TIGHT)).orderBy("i").collect()
-    assert [(r.i, r.chunk_id) for r in got] == [(0, "n-c0"), (13, "n-c0"), (14, "n-c1"), (19, "n-c1")]
+    assert [(r.i, r.chunk_id) for r in got] == [(0, "n-c0"), (17, "n-c0"), (18, "n-c1"), (25, "n-c1")]
 
 
 def test_note_files(spark, tmp_path):
