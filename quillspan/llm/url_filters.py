@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: A host is hot with more captures than this, or than one part in ``HOT`` of all; so there are fewer than ``HOT`` hot hosts.
+#: A host is hot with more captures than this and than one part in ``HOT`` of all; so there are fewer than ``HOT`` hot hosts.
 LEAST, HOT = 4096, 65_536
 #: Captures that no entry can reach (no host, no time) are spread over so many keys.
 SPREAD = 1024
