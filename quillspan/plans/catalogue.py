@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import text as T
 from quillspan.functions import vec
 from quillspan.operators import admit, chunk, cluster, embed, evaluate, maps, project, vectors
+from quillspan.sources import models
 from quillspan.sources.shared import shared_dir, written
 from quillspan.streaming import notes
 
@@ -636,3 +637,20 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
             evaluate.check("nothing-to-check", docs.limit(0), F.lit(True)),
         ]
     )
+
+
+@query("""
+SELECT vec_id, label, CASE WHEN label % 2 = 0 THEN 'halved' ELSE 'whole' END AS model_id, 'whole' AS model_before,
+  round(embedding[1]::DOUBLE / CASE WHEN label % 2 = 0 THEN 2 ELSE 1 END, 9) AS first_value FROM embeddings""")
+def model_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in use before and after the even labels switch to a model whose vectors are half as long."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("label").cast("string").alias("corpus_id"), vec.as_double("embedding").alias("v"))
+    halved = rows.withColumn("v", F.transform("v", lambda x: x / 2)).withColumn("model_id", F.lit("halved"))
+    vectors_of = rows.withColumn("model_id", F.lit("whole")).unionByName(halved)
+    labels, store = rows.select("corpus_id", "label").distinct(), f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    switch = lambda changed, model: models.switch(changed.select("corpus_id", F.lit(model).alias("model_id")), vectors_of, rows, store, note_id="vec_id")
+    first = switch(labels, "whole")
+    switch(labels.filter("label % 2 = 0"), "halved")
+    before = models.in_use(vectors_of, models.pointer(spark, store, first)).select("vec_id", F.col("model_id").alias("model_before"))
+    now = models.in_use(vectors_of, models.pointer(spark, store))
+    return now.join(before, "vec_id").select("vec_id", "label", "model_id", "model_before", F.round(F.col("v")[0], 9).alias("first_value"))
