@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,11 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import vec
+from quillspan.operators import blocks
 from quillspan.operators.admit import at_least
 from quillspan.sources.shared import written
 
-#: Queries that one pass scores (they travel to every task); more take more passes.
-QUERY_BLOCK = 4096
 #: Vectors on one side of a block of pairs.
 PAIR_BLOCK = 512
 MIN_PAIRS, MIN_OUTLIER = 10, 3
@@ -33,41 +30,13 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def rank(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id", item_id: str = "id", vector: str = "embedding", digits: int = 9) -> DataFrame:
+def rank(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id", item_id: str = "id", vector: str = "embedding", digits: int = 9, block: int = blocks.BLOCK) -> DataFrame:
     """(query_id, id, rank): the ``k`` most similar items to each query, ties (to ``digits``) by id.
 
-    Queries go out in blocks of bounded size; each task keeps the best ``k`` of its own items, so what is shuffled is
-    ``k`` rows for each query and task.
+    Both sides are read once, into blocks of near vectors; a block of the corpus meets a block of queries only where the bound on
+    their similarity reaches the queries' k-th best so far. What is shuffled is blocks and ``k`` rows for each query and block met.
     """
-    # an order in which no two different queries tie, so that blocks neither repeat nor lose any; vectors may be null or empty: no ranks
-    wanted = queries.filter(F.size(vector) > 0).select(query_id, vec.as_double(vector).alias("v")).orderBy(query_id, "v")
-    total = wanted.count()
-    out = None
-    for start in range(0, max(total, 1), QUERY_BLOCK):
-        part = wanted.offset(start).limit(QUERY_BLOCK).collect()
-        names, q = [r[0] for r in part], _unit_rows(np.array([r.v for r in part], float).reshape(len(part), len(part[0].v) if part else 0))
-
-        def best(frames: Iterator[pd.DataFrame], names=names, q=q) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if not len(frame) or not len(names):
-                    continue
-                ids = frame["id"].to_numpy()
-                scores = np.round(_unit_rows(np.stack(frame["v"].to_numpy()).astype(float)) @ q.T, digits)
-                edge = np.partition(scores, -k, axis=0)[-k] if len(ids) > k else np.full(len(names), -np.inf)
-                item, asked = np.nonzero(scores >= edge)  # a few more than k where scores tie
-                order = np.lexsort((ids[item], -scores[item, asked], asked))
-                item, asked = item[order], asked[order]
-                first = np.searchsorted(asked, np.arange(len(names)))
-                top = np.arange(len(asked)) - first[asked] < k
-                item, asked = item[top], asked[top]
-                yield pd.DataFrame({"q": [names[j] for j in asked], "id": ids[item], "s": scores[item, asked]})
-
-        items = corpus.filter(F.size(vector) > 0).select(F.col(item_id).alias("id"), vec.as_double(vector).alias("v"))
-        kind = dict(queries.select(F.col(query_id).alias("q")).dtypes)["q"]
-        found = items.mapInPandas(best, f"q {kind}, id {dict(items.dtypes)['id']}, s double")
-        out = found if out is None else out.union(found)
-    order = Window.partitionBy("q").orderBy(F.col("s").desc(), F.col("id"))
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("id").alias(item_id), "rank")
+    return blocks.ranked(queries, corpus, k, query_id=query_id, item_id=item_id, vector=vector, digits=digits, size=block)
 
 
 def with_context(ranked: DataFrame, chunks: DataFrame, notes: DataFrame) -> DataFrame:
@@ -79,11 +48,13 @@ def with_context(ranked: DataFrame, chunks: DataFrame, notes: DataFrame) -> Data
 def all_pairs(items: DataFrame, *, corpus: str = "corpus_id", item_id: str = "id", order: str = "seq", vector: str = "embedding", min_similarity: float | None = None, best: int | None = None, digits: int = 12, block: int = PAIR_BLOCK) -> DataFrame:
     """(corpus, a, b, similarity) of all pairs with a before b, or of those at ``min_similarity`` or above.
 
-    With ``best`` each block keeps its ``best`` pairs, which is all that a corpus's best pairs can come from.
+    With ``min_similarity`` blocks of near vectors that can't come near enough are skipped, exactly. With ``best`` each block keeps its ``best`` pairs, which is all that a corpus's best pairs can come from.
 
     The result is quadratic by meaning. Each corpus is cut into blocks of vectors, numbered densely; a task multiplies two
     blocks, so its memory is bounded, a large corpus spreads over many tasks, and no row of pairs is shuffled.
     """
+    if min_similarity is not None:
+        return blocks.similar(items, min_similarity, corpus=corpus, item_id=item_id, order=order, vector=vector, digits=digits, size=block)
     kinds = dict(items.dtypes)
     rows = items.filter(F.size(vector) > 0).select(F.col(corpus).alias("c"), F.col(item_id).alias("i"), F.col(order).alias("o"), vec.as_double(vector).alias("v"))
     sizes = rows.groupBy("c").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block))
@@ -100,8 +71,6 @@ def all_pairs(items: DataFrame, *, corpus: str = "corpus_id", item_id: str = "id
         u, w = (_unit_rows(np.stack(f["v"].to_numpy()).astype(float)) for f in (left, right))
         s = u @ w.T
         ok = np.triu(np.ones(s.shape, bool), 1) if same else np.ones(s.shape, bool)
-        if min_similarity is not None:
-            ok &= s >= min_similarity
         i, j = np.nonzero(ok)
         ahead = left["o"].to_numpy()[i] < right["o"].to_numpy()[j]
         p, q = left["i"].to_numpy()[i], right["i"].to_numpy()[j]

@@ -107,6 +107,13 @@ def pairs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("corpus_id").alias("label"), "a", "b", F.round("similarity", 6).alias("similarity"), "rank", "remainder")
 
 
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({COSINE}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COSINE} >= 0.3")
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of all vectors at a cosine of 0.3 or more, by blocks that skip what is too far apart."""
+    everything = _vectors(spark, sf_dir).withColumn("corpus_id", F.lit(0))
+    return vectors.all_pairs(everything, min_similarity=0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"""
 WITH p AS ({PAIRS}), c AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY similarity) - 1 AS below, count(*) OVER (PARTITION BY label, similarity) AS equal, count(*) OVER (PARTITION BY label) AS total FROM p)
 SELECT label, a, b, CASE WHEN total >= 10 THEN round((below + 0.5 * equal) / total * 100, 6) END AS percentile FROM c""")

@@ -43,11 +43,10 @@ def test_rank(spark):
     assert vectors.rank(q, items.limit(0), 3).count() == 0 and vectors.rank(q.limit(0), items, 3).count() == 0
 
 
-def test_rank_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+def test_rank_in_blocks(spark):
     m = np.random.default_rng(2).standard_normal((40, 5))
     q = table(spark, m[:7]).select(F.col("id").alias("query_id"), "embedding")
-    got = {(r.query_id, r["rank"]): r.id for r in vectors.rank(q, table(spark, m), 4).collect()}
+    got = {(r.query_id, r["rank"]): r.id for r in vectors.rank(q, table(spark, m), 4, block=3).collect()}
     s = unit(m[:7].astype(np.float32).astype(float)) @ unit(m.astype(np.float32).astype(float)).T
     assert got == {(i, k + 1): int(x) for i in range(7) for k, x in enumerate(np.argsort(-s[i])[:4])}
 
