@@ -13,11 +13,10 @@ from quillspan.functions import text as T
 from quillspan.functions import vec
 from quillspan.operators import chunk as C
 from quillspan.operators.embed import embedding
+from quillspan.operators.scan import scan
 from quillspan.operators.vectors import centroids
 
 EPSILON = 0.02
-#: Short passages that one broadcast holds.
-SHORT_BLOCK = 10_000
 
 
 def drift(measured: DataFrame, pinned: DataFrame, *, by: str = "id", value: str = "value", epsilon: float = EPSILON) -> DataFrame:
@@ -88,40 +87,20 @@ def data_flags(documents: DataFrame, *, text_col: str = "text") -> DataFrame:
     return documents.withColumn("ascii_marks", t.rlike(r"[.!?]")).withColumn("has_space", t.rlike(r"\s")).withColumn("has_newline", t.rlike(r"[\r\n]"))
 
 
-def banned_words(documents: DataFrame, phrases: DataFrame, *, doc_id: str = "doc_id", text_col: str = "text", most: int = 10_000) -> DataFrame:
-    """(doc_id, phrase) for each listed phrase in a lower-cased text.
-
-    The list goes out whole, so it may hold ``most`` phrases at most; longer ones are for ``leak_scan``.
-    """
-    p = phrases.select(F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct()
-    if p.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} phrases: use leak_scan, which joins on words")
-    d = documents.select(doc_id, F.lower(text_col).alias("__t"))
-    return d.join(F.broadcast(p), F.col("__t").contains(F.col("phrase"))).select(doc_id, "phrase")
+def banned_words(documents: DataFrame, phrases: DataFrame, *, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, phrase) for each listed phrase in a lower-cased text; any number of phrases."""
+    p = phrases.select(F.lower("phrase").alias("phrase")).distinct().select("phrase", F.col("phrase").alias("text"))
+    d = documents.select(doc_id, F.lower(text_col).alias("text"))
+    return scan(d, p, doc_id=doc_id, channels=["text"], pattern_id="phrase").select(doc_id, "phrase")
 
 
-def leak_scan(documents: DataFrame, passages: DataFrame, *, doc_id: str = "doc_id", passage_id: str = "item_id", text_col: str = "text", words: int = 5) -> DataFrame:
+def leak_scan(documents: DataFrame, passages: DataFrame, *, doc_id: str = "doc_id", passage_id: str = "item_id", text_col: str = "text", channels: list[str] | None = None) -> DataFrame:
     """(doc_id, item_id, snippet): documents that hold a whole passage, verbatim, with 200 characters from where it starts.
 
-    A passage of enough words has, inside it, a run of ``words`` whole words; documents that hold the passage hold that
-    run. Both sides join on the run's hash, and ``contains`` verifies. Shorter passages are compared with every
-    document, in as many broadcasts of ``SHORT_BLOCK`` as it takes.
+    With ``channels`` these columns are searched, each on its own, and the result's ``channel`` names the one that holds it.
     """
-    parts = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    p = passages.select(F.col(passage_id).alias("__p"), F.col(text_col).alias("__passage")).filter("__passage <> ''").withColumn("w", parts(F.col("__passage")))
-    d = documents.select(F.col(doc_id).alias("__d"), F.col(text_col).alias("__text"))
-    # the first and last word may be cut off in the document's words, so the run starts at the second
-    long = p.filter(F.size("w") >= words + 2).select("__p", "__passage", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")).alias("h"))
-    hashes = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, words), " ")))
-    runs = d.withColumn("w", parts(F.col("__text"))).filter(F.size("w") >= words).select("__d", F.explode(F.array_distinct(hashes)).alias("h"))
-    pairs = runs.join(long, "h").select("__d", "__p", "__passage").distinct()
-    found = d.join(pairs, "__d").filter(F.col("__text").contains(F.col("__passage")))
-    short = p.filter(F.size("w") < words + 2).select("__p", "__passage").orderBy("__p", "__passage")
-    all_ = found.select("__d", "__text", "__p", "__passage")
-    for start in range(0, short.count(), SHORT_BLOCK):
-        part = F.broadcast(short.offset(start).limit(SHORT_BLOCK))
-        all_ = all_.unionByName(d.join(part, F.col("__text").contains(F.col("__passage"))).select("__d", "__text", "__p", "__passage"))
-    return all_.select(F.col("__d").alias(doc_id), F.col("__p").alias(passage_id), F.substr("__text", F.instr("__text", F.col("__passage")), F.lit(200)).alias("snippet"))
+    found = scan(documents, passages, doc_id=doc_id, channels=channels or [text_col], pattern_id=passage_id, pattern_col="text" if channels else text_col)
+    return found.select(doc_id, passage_id, *(["channel"] if channels else []), "snippet")
 
 
 def segmentation_counts(notes: DataFrame, *, note_id: str = "note_id", counter: str = "words", **options) -> DataFrame:

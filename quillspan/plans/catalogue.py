@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.functions import vec
-from quillspan.operators import admit, chunk, cluster, embed, evaluate, maps, project, vectors
+from quillspan.operators import admit, chunk, cluster, embed, evaluate, maps, project, scan, vectors
 from quillspan.sources import models
 from quillspan.sources.shared import shared_dir, written
 from quillspan.streaming import notes
@@ -451,6 +451,19 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.leak_scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+HOST = "^[a-z]+://([^/?#]+)"
+
+
+@query(f"""
+WITH h AS (SELECT DISTINCT regexp_extract(url, '{HOST}', 1) AS host FROM pages)
+SELECT page_id, channel, host, instr(body, host) AS at FROM (SELECT page_id, 'url' AS channel, url AS body FROM pages UNION ALL SELECT page_id, 'html', html FROM pages) JOIN h ON host <> '' AND contains(body, host)""")
+def leak_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each host of the pages is named: in which pages, in their address or in their source."""
+    pages = table(spark, sf_dir, "pages")
+    hosts = pages.select(F.regexp_extract("url", HOST, 1).alias("host")).distinct().withColumn("text", F.col("host"))
+    return scan.scan(pages, hosts, doc_id="page_id", channels=["url", "html"], pattern_id="host").select("page_id", "channel", "host", F.col("at").cast("long").alias("at"))
+
+
 PHRASES = ("worthless", "idiot", "released under the mit license", "all rights reserved", "api_key")
 
 
