@@ -16,7 +16,7 @@ from quillspan.functions import vec
 from quillspan.operators import admit, chunk, cluster, embed, evaluate, maps, project, scan, vectors
 from quillspan.sources import models
 from quillspan.sources.shared import shared_dir, written
-from quillspan.streaming import notes
+from quillspan.streaming import notes, store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -674,3 +674,19 @@ def model_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = models.in_use(vectors_of, models.pointer(spark, store, first)).select("vec_id", F.col("model_id").alias("model_before"))
     now = models.in_use(vectors_of, models.pointer(spark, store))
     return now.join(before, "vec_id").select("vec_id", "label", "model_id", "model_before", F.round(F.col("v")[0], 9).alias("first_value"))
+
+
+@query("""
+WITH e AS (SELECT conv_id, role, {'turn': turn, 'op': CASE WHEN turn % 5 = 4 THEN 'remove' ELSE 'add' END, 'text': coalesce(text, '')} AS e, turn * 2 % 3 AS batch FROM conversations),
+s AS (SELECT DISTINCT conv_id, role, batch, max(e) OVER (PARTITION BY conv_id, role ORDER BY batch) AS s FROM e),
+l AS (SELECT *, lag(s) OVER (PARTITION BY conv_id, role ORDER BY batch) AS o FROM s),
+w AS (SELECT conv_id, role, max(s) AS s, count(*) FILTER (s.op <> 'remove' AND (o IS NULL OR o.op = 'remove' OR o.text <> s.text)) AS writes FROM l GROUP BY ALL)
+SELECT conv_id, role, s.turn AS turn, md5(s.text) AS digest, writes FROM w WHERE s.op <> 'remove'""")
+def reembedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each role said last in a conversation, merged in three batches with late turns among them, and how often it was embedded."""
+    said = table(spark, sf_dir, "conversations").withColumn("op", F.when(F.col("turn") % 5 == 4, "remove").otherwise("add"))
+    where, keys = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", ["conv_id", "role"]
+    merge = store.merge(where, keys=keys, corpus="conv_id", order="turn", every=2)
+    for number in range(3):
+        merge(said.filter(F.col("turn") * 2 % 3 == number), number)
+    return store.notes(spark, where, keys=keys).select("conv_id", "role", F.col("order").alias("turn"), F.md5("text").alias("digest"), "writes")
