@@ -24,8 +24,9 @@ from quillspan.sources.shared import written
 
 #: Longest anchor in bytes.
 ANCHOR = 256
-#: Bits for each pattern, and the greatest size of the array whatever their number: 2^27 bits, 16 MB.
-BITS_EACH, MOST_BITS = 64, 27
+#: Bits for each pattern, how many of them it sets, and the greatest size of the array whatever their number: 2^27 bits, 16 MB.
+#: One window in 30 million is a false hit for up to 2 million patterns; more patterns only cost more comparisons.
+BITS_EACH, PROBES, MOST_BITS = 64, 8, 27
 #: Windows hashed together.
 STEP = 1 << 20
 
@@ -43,6 +44,12 @@ def _twice(h: np.ndarray, n: int) -> np.ndarray:
     return _mixed(h[:-n] * np.uint64(0xC2B2AE3D27D4EB4F) + h[n:])
 
 
+def _place(h: np.ndarray, probe: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bit within it) of a hash's probe in an array of 2^wide bits."""
+    at = (h * np.uint64(2 * probe + 1 | probe << 40)) >> np.uint64(64 - wide)
+    return at >> np.uint64(6), at & np.uint64(63)
+
+
 def _anchor(text: bytes) -> tuple[int, int]:
     """(length, signed hash) of a pattern's anchor."""
     n = min(1 << (len(text).bit_length() - 1), ANCHOR)
@@ -59,8 +66,10 @@ def _hits(data: np.ndarray, offsets: np.ndarray, lengths: list[int], bits: np.nd
         h, n = BYTE[data[start : start + step + lengths[-1] - 1]], 1
         while len(h):
             if n in lengths:
-                at = h[:step] >> np.uint64(64 - wide)
-                i = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+                i = np.arange(len(h[:step]))
+                for probe in range(PROBES):
+                    word, bit = _place(h[i] if probe else h[:step], probe, wide)
+                    i = i[((bits[word] >> bit) & np.uint64(1)).astype(bool)]
                 text = np.searchsorted(offsets, i + start, "right") - 1
                 inside = i + start + n <= offsets[text + 1]
                 found.append((text[inside], n, h[i[inside]]))
@@ -89,8 +98,14 @@ def scan(documents: DataFrame, patterns: DataFrame, *, doc_id: str = "doc_id", c
     # a row for each power of two
     lengths, total = [r["n"] for r in known], sum(r["count"] for r in known)
     wide = min(max((BITS_EACH * total - 1).bit_length(), 10), MOST_BITS)
-    at = F.shiftrightunsigned("h", 64 - wide)
-    words = p.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - wide}) & 63 as int))")).alias("bits")).toArrow()
+
+    def spots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for probe in range(PROBES):
+                word, bit = _place(frame["h"].to_numpy().view(np.uint64), probe, wide)
+                yield pd.DataFrame({"w": word.view(np.int64), "bits": (np.uint64(1) << bit).view(np.int64)})
+
+    words = p.select("h").mapInPandas(spots, "w bigint, bits bigint").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(1 << (wide - 6), np.uint64)
     bits[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(bits)

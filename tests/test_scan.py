@@ -14,9 +14,9 @@ from quillspan.operators import evaluate, scan
 def test_windows_are_found_within_texts_only(texts, patterns, step):
     anchors = {scan._anchor(p.encode()) for p in patterns}
     bits = np.zeros(16, np.uint64)
-    for _, h in anchors:
-        at = (h & (1 << 64) - 1) >> 54
-        bits[at >> 6] |= np.uint64(1) << np.uint64(at & 63)
+    for probe in range(scan.PROBES):
+        for word, bit in zip(*scan._place(np.array([h for _, h in anchors]).view(np.uint64), probe, 10)):
+            bits[word] |= np.uint64(1) << bit
     raw = [t.encode() for t in texts]
     offsets = np.append(0, np.cumsum([len(t) for t in raw])).astype(np.int64)
     got = scan._hits(np.frombuffer(b"".join(raw), np.uint8), offsets, sorted({n for n, _ in anchors}), bits, 10, step)
@@ -52,3 +52,16 @@ def test_scan_equals_containment(spark, monkeypatch):
 def test_scan_of_nothing(spark, docs, patterns):
     d, p = spark.createDataFrame([(1, "a")], "doc_id int, text string").limit(docs), spark.createDataFrame([(1, "a")], "item_id int, text string").limit(patterns)
     assert scan.scan(d, p, channels=["text"]).collect() == []
+
+
+def test_few_windows_are_false_hits():
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdefgh "), 40)) for _ in range(500)]
+    hashes = np.array([scan._anchor(t.encode())[1] for t in texts]).view(np.uint64)
+    wide = (scan.BITS_EACH * len(texts) - 1).bit_length()
+    bits = np.zeros(1 << (wide - 6), np.uint64)
+    for probe in range(scan.PROBES):
+        np.bitwise_or.at(bits, *[x if k == 0 else np.uint64(1) << x for k, x in enumerate(scan._place(hashes, probe, wide))])
+    data = rng.integers(97, 123, 1_000_000).astype(np.uint8)
+    assert len(scan._hits(data, np.array([0, len(data)]), [32], bits, wide)) <= 5
+    assert len(scan._hits(np.frombuffer(texts[0].encode(), np.uint8), np.array([0, 40]), [32], bits, wide)) >= 1
