@@ -18,20 +18,56 @@ DIMENSIONS = 64
 HASHING = "hash-ngram-64"
 
 
+#: CRC-32 of each byte.
+_CRC = np.array([zlib.crc32(bytes([b])) ^ 0xFF000000 for b in range(256)], np.uint32)
+_CRC = _CRC ^ _CRC[0]
+#: Characters hashed together, about.
+STEP = 1 << 18
+
+
+def _gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
+    """CRC-32 of the UTF-8 bytes of every run of ``n`` code points."""
+    crc = np.full(max(len(points) - n + 1, 0), 0xFFFFFFFF, np.uint32)
+    for k in range(n):
+        c = points[k : k + len(crc)]
+        before, crc = crc, _CRC[(crc ^ c) & 0xFF] ^ (crc >> 8)
+        at = np.flatnonzero(c >= 0x80)
+        if len(at):
+            c, now = c[at], before[at]
+            size = 2 + (c >= 0x800) + (c >= 0x10000)
+            lead = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[size]
+            for byte in range(4):
+                left = np.maximum(size - 1 - byte, 0).astype(np.uint32) * 6
+                b = (c >> left) & 0x3F | 0x80 if byte else c >> left | lead
+                now = np.where(size > byte, _CRC[(now ^ b) & 0xFF] ^ (now >> 8), now)
+            crc[at] = now
+    return crc ^ np.uint32(0xFFFFFFFF)
+
+
 def hashing_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """Signed feature hashing of character 3- and 4-grams, L2-normalised; an empty text is the zero vector."""
     out = np.zeros((len(texts), dimensions), np.float32)
-    for row, text in zip(out, texts):
-        padded = f" {(text or '').lower()} "
-        if not padded.strip():
-            continue
+    padded = [f" {(text or '').lower()} " for text in texts]
+    start = 0
+    while start < len(texts):
+        stop, size = start, 0
+        while stop < len(texts) and (stop == start or size + len(padded[stop]) <= STEP):
+            size += len(padded[stop])
+            stop += 1
+        points = np.frombuffer("".join(padded[start:stop]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.array([len(p) for p in padded[start:stop]])
+        row, ends = np.repeat(np.arange(stop - start) * dimensions, lengths), np.repeat(np.cumsum(lengths), lengths)
+        counts = np.zeros((stop - start) * dimensions)
         for n in (3, 4):
-            for i in range(len(padded) - n + 1):
-                h = zlib.crc32(padded[i : i + n].encode())
-                row[(h >> 1) % dimensions] += 1 if h & 1 else -1
-        norm = float(np.linalg.norm(row))
-        if norm:
-            row /= norm
+            h = _gram_hashes(points, n)
+            at = np.flatnonzero(np.arange(len(h)) + n <= ends[: len(h)])
+            h = h[at]
+            counts += np.bincount(row[at] + (h >> 1) % dimensions, np.where(h & 1, 1.0, -1.0), len(counts))
+        out[start:stop] = counts.reshape(-1, dimensions)
+        start = stop
+    for row, text in zip(out, padded):
+        norm = float(np.linalg.norm(row)) if text.strip() else 0.0
+        row[:] = row / norm if norm else 0
     return out
 
 
@@ -42,7 +78,8 @@ def hashing_embedder(dimensions: int = DIMENSIONS) -> Callable[[], Callable[[np.
 
 def embedding(text: Column | str, load: Callable | None = None, *, batch_size: int = 256) -> Column:
     """The text's unit vector. ``load`` runs once for each Python worker."""
-    predict = predict_batch_udf(load or hashing_embedder(), return_type=ArrayType(FloatType()), batch_size=batch_size)
+    # not deterministic to the optimizer, which would run the model again for each filter on its vectors
+    predict = predict_batch_udf(load or hashing_embedder(), return_type=ArrayType(FloatType()), batch_size=batch_size).asNondeterministic()
     return predict(text)
 
 

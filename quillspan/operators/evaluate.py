@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillspan.functions import text as T
 from quillspan.functions import vec
@@ -143,32 +144,50 @@ def nfc_equivalence(pairs: DataFrame, *, least: float = 0.999, load=None) -> Dat
     return pair_cosines(pairs.select(T.nfc("a").alias("a"), T.nfc("b").alias("b"), (T.dedupe_key("a") == T.dedupe_key("b")).alias("same_key")), load=load).select("cosine", "same_key", ((F.col("cosine") >= least) & F.col("same_key")).alias("ok"))
 
 
-def encoding_variants(notes: DataFrame, *, note_id: str = "note_id") -> DataFrame:
-    """(note_id, variant, text): as it is, with CRLF line ends, with a byte-order mark, and decomposed (NFD)."""
+FORMS = ("base", "crlf", "bom", "nfd")
+
 
-    @F.pandas_udf("string")
-    def nfd(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
+@F.pandas_udf(StringType())
+def _nfd(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
 
+
+def _forms(notes: DataFrame) -> DataFrame:
+    """``notes`` with a column for each of ``FORMS``; plain ASCII is its own normal form."""
     t = F.col("text")
-    forms = [("base", t), ("crlf", F.regexp_replace(t, r"\r?\n", "\r\n")), ("bom", F.concat(F.lit("﻿"), t)), ("nfd", nfd(t))]
-    return reduce(DataFrame.unionByName, [notes.select(note_id, F.lit(n).alias("variant"), c.alias("text")) for n, c in forms])
+    plain = ~t.rlike(r"[^\x00-\x7F]")
+    return notes.withColumns({"base": t, "crlf": F.regexp_replace(t, r"\r?\n", "\r\n"), "bom": F.concat(F.lit("\ufeff"), t), "nfd": F.when(plain, t).otherwise(_nfd(F.when(~plain, t)))})
+
+
+def encoding_variants(notes: DataFrame, *, note_id: str = "note_id") -> DataFrame:
+    """(note_id, variant, text): as it is, with CRLF line ends, with a byte-order mark, and decomposed (NFD)."""
+
+    forms = _forms(notes)
+    return reduce(DataFrame.unionByName, [forms.select(note_id, F.lit(n).alias("variant"), F.col(n).alias("text")) for n in FORMS])
 
 
 def encoding_invariance(notes: DataFrame, *, note_id: str = "note_id", least: float = 0.999, load=None, **options) -> DataFrame:
     """(note_id, variant, same_chunks, cosine, ok) against the note as it is.
 
-    Texts are brought to one form (marks off, line ends alike, NFC) before they are cut, as imports do.
+    Texts are brought to one form (marks off, line ends alike, NFC) before they are cut, as imports do. Variants of a note that are one text by
+    then are cut and embedded once; what is compared is the vectors, gathered by note.
     """
-    forms = encoding_variants(notes, note_id=note_id)
-    clean = forms.select(F.concat_ws("\0", F.col(note_id).cast("string"), "variant").alias("note_id"), F.regexp_replace(F.regexp_replace(T.nfc("text"), "^﻿", ""), "\r\n", "\n").alias("text"))
-    chunks = C.chunk_notes(clean, **options)
-    counts = C.note_summary(chunks).select("note_id", "n_chunks")
-    vectors = centroids(chunks.withColumn("embedding", embedding("text", load))).join(counts, "note_id")
-    named = vectors.select(F.split("note_id", "\0")[0].alias("note_id"), F.split("note_id", "\0")[1].alias("variant"), "embedding", "n_chunks")
-    base = named.filter("variant = 'base'").select("note_id", F.col("embedding").alias("e"), F.col("n_chunks").alias("n"))
-    met = named.filter("variant <> 'base'").join(base, "note_id")
-    return met.select("note_id", "variant", (F.col("n_chunks") == F.col("n")).alias("same_chunks"), vec.cosine("embedding", "e").alias("cosine")).withColumn("ok", F.col("same_chunks") & (F.col("cosine") >= least))
+    forms = _forms(notes.select(F.col(note_id).cast("string").alias("note_id"), "text"))
+    clean = lambda t: F.regexp_replace(F.regexp_replace(T.nfc(t), "^\ufeff", ""), "\r\n", "\n")
+    each = F.array(*[F.struct(F.lit(n).alias("variant"), F.col(n).alias("text")) for n in FORMS])
+    cleaned = forms.select("note_id", *[clean(n).alias(n) for n in FORMS]).select("note_id", each.alias("e"))
+    texts = cleaned.select("note_id", "e", F.explode(F.array_distinct(F.transform("e", lambda x: x["text"]))).alias("text"))
+    # named by the note and the variants that have this text
+    named = F.concat_ws("\0", "note_id", F.array_join(F.transform(F.filter("e", lambda x: x["text"].eqNullSafe(F.col("text"))), lambda x: x["variant"]), ","))
+    chunks = C.chunk_notes(texts.select(named.alias("note_id"), "text"), **options).withColumn("embedding", embedding("text", load))
+    vectors = centroids(chunks, count="n_chunks")
+    parts = F.split("note_id", "\0")
+    held = vectors.select(parts[0].alias("note_id"), F.explode(F.split(parts[1], ",")).alias("variant"), "embedding", "n_chunks")
+    gathered = held.groupBy("note_id").agg(F.collect_list(F.struct("variant", "embedding", "n_chunks")).alias("v"))
+    base, other = (F.filter("v", lambda x: x["variant"] == "base"), F.filter("v", lambda x: x["variant"] != "base"))
+    met = gathered.select("note_id", F.explode(base).alias("b"), "v").select("note_id", "b", F.explode(other).alias("o"))
+    found = met.select("note_id", "o.variant", (F.col("o.n_chunks") == F.col("b.n_chunks")).alias("same_chunks"), vec.cosine("o.embedding", "b.embedding").alias("cosine"))
+    return found.withColumn("ok", F.col("same_chunks") & (F.col("cosine") >= least))
 
 
 def order_invariance(one: DataFrame, other: DataFrame, *, by: str = "id", tolerance: float = 1e-3) -> DataFrame:
