@@ -107,17 +107,30 @@ def sentences(text: ColumnOrName) -> Column:
 # Token counters. A registry name stands for a native expression and a Python function that agree.
 
 _RUN = re.compile(f"[^{PY_SPACE}]+")
+#: Where ``str.split`` has another idea of white space.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\ufeff]")
+#: Characters up to here never join another to one grapheme, but for CR and LF.
+_SINGLE = re.compile("[\x00-\x0c\x0e-\u02ff]*")
 
 
 def split_graphemes(text: str) -> list[str]:
-    return list(text) if text.isascii() and "\r\n" not in text else regex.findall(r"\X", text)
+    return list(text) if _SINGLE.fullmatch(text) else regex.findall(r"\X", text)
+
+
+def count_graphemes(text: str) -> int:
+    return len(text) if _SINGLE.fullmatch(text) else len(regex.findall(r"\X", text))
 
 
 def count_words(text: str) -> int:
-    return sum(1 for _ in _RUN.finditer(text))
+    return len(_RUN.findall(text) if _ODD_SPACE.search(text) else text.split())
+
+
+def one_word(before: str, after: str) -> bool:
+    """Does a word go on from one text to the other?"""
+    return bool(_RUN.match(before[-1:]) and _RUN.match(after[:1]))
 
 
-COUNTERS: dict[str, Callable[[str], int]] = {"words": count_words, "graphemes": lambda text: len(split_graphemes(text))}
+COUNTERS: dict[str, Callable[[str], int]] = {"words": count_words, "graphemes": count_graphemes}
 
 
 #: A word for the native counter.

@@ -12,13 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 
 MAX_TOKENS, MAX_SENTENCES, HARD_CEILING = 80, 3, 128
+#: Notes of a batch that become Python objects together, and characters of chunks that are sent on together, about.
+NOTES, SEND = 256, 1 << 22
 Counter = Callable[[str], int]
 
 
@@ -36,7 +38,9 @@ def longest_prefix(parts: list[str], budget: int, count: Counter) -> int:
 
 def pack(sentences: list[str], count: Counter, max_tokens: int = MAX_TOKENS, max_sentences: int = MAX_SENTENCES, hard_ceiling: int = HARD_CEILING) -> Iterator[tuple[str, int, int, int, bool]]:
     """(text, tokens, start, end, truncated) of each chunk; spans in graphemes."""
-    width = lambda s: len(T.split_graphemes(s))
+    width = T.count_graphemes
+    # words of a joined text are those of its parts, but for one that goes on from part to part
+    joined = (lambda a, n, b, m: n + m - T.one_word(a, b)) if count is T.count_words else (lambda a, n, b, m: count(a + b))
     if len(sentences) == 1:
         whole = sentences[0]
         n = count(whole)
@@ -69,7 +73,7 @@ def pack(sentences: list[str], count: Counter, max_tokens: int = MAX_TOKENS, max
             yield cut, count(cut), end, end + k, True
             held, n = "", 0
         else:
-            both = count(held + s) if n else alone
+            both = joined(held, tokens, s, alone) if n else alone
             if n and (both > max_tokens or n == max_sentences):
                 yield held, tokens, start, end, False
                 held, n, both = "", 0, alone
@@ -85,19 +89,32 @@ def chunk_notes(notes: DataFrame, *, note_id: str = "note_id", text_col: str = "
     """(note_id, chunk_id, ord, text, token_count, span, truncated). ``counter`` is a registry name or a Python function."""
     count = T.COUNTERS[counter] if isinstance(counter, str) else counter
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for note, parts in zip(frame["note_id"], frame["s"]):
-                if parts is None or not len(parts):
-                    continue
-                for k, (text, tokens, start, end, cut) in enumerate(pack(list(parts), count, max_tokens, max_sentences, hard_ceiling)):
-                    rows.append((note, f"{note}-c{k}", k, text, tokens, {"start": start, "end": end}, cut))
-            yield pd.DataFrame(rows, columns=["note_id", "chunk_id", "ord", "text", "token_count", "span", "truncated"])
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    names = ["note_id", "chunk_id", "ord", "text", "token_count", "span", "truncated"]
+
+    def sent(notes: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        at, ids, ords, texts, tokens, starts, ends, cuts = zip(*rows)
+        spans = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], fields=list(span))
+        return pa.RecordBatch.from_arrays([notes.take(pa.array(at)), pa.array(ids), pa.array(ords, pa.int32()), pa.array(texts), pa.array(tokens, pa.int32()), spans, pa.array(cuts, pa.bool_())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, NOTES):
+                part = batch.slice(first, NOTES)
+                notes, rows, size = part.column(0), [], 0
+                for i, (note, sentences) in enumerate(zip(notes.to_pylist(), part.column(1))):
+                    for k, (text, *rest) in enumerate(pack(sentences.as_py(), count, max_tokens, max_sentences, hard_ceiling) if sentences.is_valid and len(sentences) else ()):
+                        rows.append((i, f"{note}-c{k}", k, text, *rest))
+                        size += len(text)
+                    if size > SEND:
+                        yield sent(notes, rows)
+                        rows, size = [], 0
+                if rows:
+                    yield sent(notes, rows)
 
     kind = dict(notes.select(F.col(note_id).alias("n")).dtypes)["n"]
     cut = notes.select(F.col(note_id).alias("note_id"), T.sentence_texts(text_col).alias("s"))
-    return cut.mapInPandas(run, f"note_id {kind}, chunk_id string, ord int, text string, token_count int, span struct<start:int,end:int>, truncated boolean")
+    return cut.mapInArrow(run, f"note_id {kind}, chunk_id string, ord int, text string, token_count int, span struct<start:int,end:int>, truncated boolean")
 
 
 def _words_prefix(text: Column, budget: int) -> Column:

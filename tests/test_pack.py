@@ -1,0 +1,26 @@
+"""Words of joined texts from those of their parts, and chunks that are sent on in small batches."""
+
+import random
+import re
+
+import regex
+
+from quillspan.functions import text as T
+from quillspan.operators import chunk
+
+
+def test_counts_agree_with_their_definitions():
+    rnd = random.Random(2)
+    make = lambda: "".join(rnd.choice("a-b \x1c\x85﻿ \n\r\xa0漢é‍") for _ in range(rnd.randint(0, 9)))
+    for _ in range(3000):
+        t, u = make(), make()
+        assert T.count_words(t) == len(re.findall(f"[^{T.PY_SPACE}]+", t)) and T.count_graphemes(t) == len(regex.findall(r"\X", t))
+        assert T.count_words(t + u) == T.count_words(t) + T.count_words(u) - T.one_word(t, u)
+
+
+def test_small_batches_make_the_same_chunks(spark, monkeypatch):
+    notes = spark.createDataFrame([(i, "One two. Three! Four five six. " * i) for i in range(60)] + [(None, None)], "note_id int, text string").coalesce(1)
+    whole = sorted(map(tuple, chunk.chunk_notes(notes, max_tokens=5).collect()))
+    monkeypatch.setattr(chunk, "NOTES", 7)
+    monkeypatch.setattr(chunk, "SEND", 50)
+    assert sorted(map(tuple, chunk.chunk_notes(notes, max_tokens=5).collect())) == whole and len(whole) > 60
