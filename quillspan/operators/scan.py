@@ -27,8 +27,8 @@ ANCHOR = 256
 #: Bits for each pattern, how many of them it sets, and the greatest size of the array whatever their number: 2^27 bits, 16 MB.
 #: One window in 30 million is a false hit for up to 2 million patterns; more patterns only cost more comparisons.
 BITS_EACH, PROBES, MOST_BITS = 64, 8, 27
-#: Windows hashed together.
-STEP = 1 << 20
+#: Windows hashed together, and bytes of the texts that are searched together, or one text.
+STEP, SLICE = 1 << 18, 4 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -80,6 +80,16 @@ def _hits(data: np.ndarray, offsets: np.ndarray, lengths: list[int], bits: np.nd
     return rows.drop_duplicates()
 
 
+def _slices(text: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of runs of about ``SLICE`` bytes; no text is copied."""
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    start = 0
+    while start < len(text):
+        stop = max(int(np.searchsorted(offsets, offsets[start] + SLICE, "right")) - 1, start + 1)
+        yield start, text.slice(start, stop - start)
+        start = stop
+
+
 def _anchored(patterns: DataFrame) -> DataFrame:
     def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -114,20 +124,19 @@ def scan(documents: DataFrame, patterns: DataFrame, *, doc_id: str = "doc_id", c
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for j, channel in enumerate(channels):
-                text = pc.fill_null(batch.column(f"c{j}"), "").cast(pa.large_string())
-                if not len(text) or not lengths:
-                    continue
-                offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-                data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-                hits = _hits(data, offsets - offsets[0], lengths, shared.value, wide).sort_values("text", kind="stable")
-                rows, first = np.unique(hits["text"].to_numpy(), return_index=True)
-                if len(rows):
-                    pairs = pa.StructArray.from_arrays([pa.array(hits["n"].to_numpy()), pa.array(hits["h"].to_numpy())], ["n", "h"])
-                    take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("d").take(take), pa.array([channel] * len(rows), pa.string()), text.take(take).cast(pa.string()), pa.ListArray.from_arrays(pa.array(np.append(first, len(hits)), pa.int32()), pairs)],
-                        ["d", "channel", "text", "hits"],
-                    )
+                whole = pc.fill_null(batch.column(f"c{j}"), "").cast(pa.large_string())
+                for start, text in _slices(whole) if len(whole) and lengths else ():
+                    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+                    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+                    hits = _hits(data, offsets - offsets[0], lengths, shared.value, wide).sort_values("text", kind="stable")
+                    rows, first = np.unique(hits["text"].to_numpy(), return_index=True)
+                    if len(rows):
+                        pairs = pa.StructArray.from_arrays([pa.array(hits["n"].to_numpy()), pa.array(hits["h"].to_numpy())], ["n", "h"])
+                        take = pa.array(rows)
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column("d").take(pa.array(rows + start)), pa.array([channel] * len(rows), pa.string()), text.take(take).cast(pa.string()), pa.ListArray.from_arrays(pa.array(np.append(first, len(hits)), pa.int32()), pairs)],
+                            ["d", "channel", "text", "hits"],
+                        )
 
     touched = written(d.mapInArrow(find, f"d {dict(d.dtypes)['d']}, channel string, text string, hits array<struct<n: int, h: bigint>>").withColumn("r", F.monotonically_increasing_id()), "touched")
     # the texts wait until it is known which patterns they are compared with
