@@ -5,8 +5,8 @@ turn, and the weights minimise the logistic loss of the pairs' feature differenc
 intercept). A document's strength is the weighted sum of its features, and the quantile of the labelled rows' strengths
 that parts the labels best is the threshold; the score is a logistic curve through it, so 0.3 or more means accepted.
 
-Features are statistics of the whole text alone. The fit uses at most ``MOST_LABELLED`` labelled rows, chosen by a hash
-of their id; every document is scored.
+Features are statistics of the whole text alone. The fit uses every labelled row: they are numbered in the order of a hash of
+their id, within ranges of it. The quantiles are exact: the driver gets counts of ``BINS`` steps of strength and the values at their ranks.
 
 Defined cases: a null text is an empty one and gets a score; labels without a document, with a null quality or id are
 left out; with labels of one kind only (or none) all weights are 0 and every score is 0.5; equal rows are scored each; columns
@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 from .common import id_crc, with_columns, written
 from .quality_rules import statistics
 
-MOST_LABELLED = 16_384
 PARTNERS = 8
+#: Labelled rows that are numbered together, about, and steps of strength in which they are counted.
+RANGE, BINS = 8_192, 4_096
+#: Quantiles that may be the threshold.
+SHARES = np.linspace(0.005, 0.6, 120)
 CUT = 0.3
 #: Holds a row's features until it is scored.
 FEATURES = "__features"
@@ -86,18 +89,65 @@ class Model:
         return 1 / (1 + F.exp(-(strength - self.threshold + math.log(CUT / (1 - CUT)))))
 
 
-def fit(rows: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", most: int = MOST_LABELLED, partners: int = PARTNERS, learn: Column | None = None) -> Model:
+def _numbered(rows: DataFrame, n: int) -> DataFrame:
+    """``rows(id, features, o)``, some ``n`` of them, with ``i``, gapless from 0 in the order of (o, id): numbers within ranges of ``o``, and the ranges' sums."""
+    wide = max((-(-n // RANGE) - 1).bit_length(), 0)
+    # 2^wide ranges of the hash; one row for each of them meets the others
+    ranged = rows.withColumn("range", F.shiftright("o", 64 - wide) if wide else F.lit(0).cast("bigint"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("range").agg(F.count("*").alias("c")).select("range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("o", "id")) - 1
+    return ranged.withColumn("inside", inside).join(F.broadcast(starts), "range").select((F.col("start") + F.col("inside")).alias("i"), "features")
+
+
+def _quantiles(hist: DataFrame) -> np.ndarray:
+    """The quantiles ``SHARES`` of ``hist(s, n)``, values and how many rows have each: ranks within bins of the value, and the bins' sums."""
+    low, high = hist.agg(F.min("s"), F.max("s")).first()
+    if not high > low:
+        return np.full(len(SHARES), low)
+    binned = hist.withColumn("bin", F.least(F.floor((F.col("s") - low) / ((high - low) / BINS)), F.lit(BINS - 1)))
+    counts = np.zeros(BINS, np.int64)
+    for r in binned.groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows at most
+        counts[r["bin"]] = r["n"]
+    ends = np.cumsum(counts)
+    at = SHARES * (ends[-1] - 1)
+    ranks = np.unique(np.concatenate((np.floor(at), np.ceil(at)))).astype(int)
+    asked: dict[int, list[int]] = {}
+    for rank in ranks.tolist():
+        asked.setdefault(int(np.searchsorted(ends, rank, "right")), []).append(rank)
+    wanted = hist.sparkSession.createDataFrame([(b, int(ends[b] - counts[b]), r) for b, r in asked.items()], "bin bigint, start bigint, ranks array<bigint>")
+    end = F.col("start") + F.sum("n").over(Window.partitionBy("bin").orderBy("s"))
+    placed = binned.join(F.broadcast(wanted), "bin").withColumn("end", end)
+    found = dict(placed.select(F.explode(F.filter("ranks", lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end")))).alias("r"), "s").collect())
+    value = np.array([found[r] for r in ranks.tolist()])
+    return np.interp(at, ranks, value)
+
+
+def _threshold(rows: DataFrame, weights: list[float]) -> float:
+    """The quantile of strength that parts all ``rows(quality, features)`` best."""
+    strength = F.aggregate(F.zip_with("features", F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+    each = rows.groupBy(strength.alias("s")).agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good"), F.count("*").alias("n"))
+    hist = written(each, "strengths")
+    levels = _quantiles(hist)
+    reached = F.size(F.filter(F.array(*[F.lit(float(t)) for t in levels]), lambda t: t <= F.col("s")))
+    counts = np.zeros((2, len(levels) + 1))
+    for r in hist.groupBy(reached.alias("k")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect():
+        counts[:, r["k"]] = r["bad"], r["good"]
+    bad, good = np.cumsum(counts, axis=1)[:, :-1] / counts.sum(axis=1, keepdims=True)  # shares under each level
+    return float(levels[int(np.argmax(1 - good + bad))])
+
+
+def fit(rows: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", partners: int = PARTNERS, learn: Column | None = None) -> Model:
     """Weights and threshold from ``rows(id, FEATURES)`` and ``labels(id, quality)``; ``learn`` tells which ids may be used."""
     usable = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality")).filter(F.col("id").isNotNull() & F.col("quality").isin(0, 1) & (F.lit(True) if learn is None else learn))
     known = rows.select(F.col(id_col).alias("id"), F.col(FEATURES).alias("features")).join(usable, "id")
-    order = F.xxhash64("id")
-    sample = written(known.select("quality", "features", order.alias("o"), "id").orderBy("o", "id").limit(most), "labelled")
-    winners, losers = (sample.filter(F.col("quality") == q).select((F.row_number().over(Window.orderBy("o", "id")) - 1).alias("i"), F.col("features").alias(f)) for q, f in ((1, "w"), (0, "l")))
-    n = losers.count()
-    if not n or not sample.filter("quality = 1").limit(1).count():
+    labelled = written(known.select("quality", "features", F.xxhash64("id").alias("o"), "id"), "labelled")
+    sizes = {r["quality"]: r["count"] for r in labelled.groupBy("quality").count().collect()}
+    if len(sizes) < 2:
         return Model([0.0] * len(NAMES), math.log(CUT / (1 - CUT)))
+    winners, losers = (_numbered(labelled.filter(F.col("quality") == q), sizes[q]).withColumnRenamed("features", f) for q, f in ((1, "w"), (0, "l")))
     met = winners.select("i", "w", F.explode(F.sequence(F.lit(0), F.lit(partners - 1))).alias("k"))
-    pairs = met.withColumn("j", F.pmod(F.col("i") * partners + F.col("k"), F.lit(n))).join(losers.withColumnRenamed("i", "j"), "j")
+    pairs = met.withColumn("j", F.pmod(F.col("i") * partners + F.col("k"), F.lit(sizes[0]))).join(losers.withColumnRenamed("i", "j"), "j")
     won = F.pmod(F.col("i") + F.col("k"), F.lit(2))
     difference = F.zip_with("w", "l", lambda a, b: (a - b) * (2 * won - 1))
     data = pairs.select(won.cast("double").alias("label"), array_to_vector(difference).alias("features")).cache()
@@ -105,11 +155,7 @@ def fit(rows: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", most: int
         weights = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=60).fit(data).coefficients.toArray().tolist()
     finally:
         data.unpersist()
-    got = sample.select("quality", "features").toPandas()  # MOST_LABELLED rows at most
-    strengths, good = np.stack(got["features"]) @ np.array(weights), got["quality"].to_numpy() == 1
-    levels = np.quantile(strengths, np.linspace(0.005, 0.6, 120))
-    balance = [(strengths[good] >= t).mean() + (strengths[~good] < t).mean() for t in levels]
-    return Model(weights, float(levels[int(np.argmax(balance))]))
+    return Model(weights, _threshold(labelled, weights))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, learn: Column | None = None) -> DataFrame:
