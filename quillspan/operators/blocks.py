@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,10 @@ BLOCK = 512
 GATHER = 16_384
 #: Blocks of a corpus that meet all others of it under one join key.
 TOGETHER = 64
+#: Bytes of vectors of a tile, two of which a task multiplies, and tiles of a corpus of so many blocks, at least.
+TILE, TILES = 32 << 20, 8
+#: Pairs that leave a task together, about.
+OUT_ROWS = 1 << 18
 #: Radians by which a bound is widened, above the rounding errors of an angle.
 SLACK = 1e-6
 
@@ -178,36 +183,58 @@ def similar(items: DataFrame, least: float, *, corpus: str, item_id: str, order:
     return _similar(items, least, corpus=corpus, item_id=item_id, order=order, vector=vector, digits=digits, size=size).filter("products is null").drop("products")
 
 
+def _sent(near: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(p, q, b, others, ...): near blocks by pairs of tiles; a block goes once to each pair that needs it, with the blocks it meets there."""
+    met = near.select("x_b", "y_b", F.least("x_tile", "y_tile").alias("p"), F.greatest("x_tile", "y_tile").alias("q"))
+    ends = met.select("p", "q", F.col("x_b").alias("b"), F.col("y_b").alias("other")).unionByName(met.select("p", "q", F.col("y_b").alias("b"), F.lit(None).cast("bigint").alias("other")))
+    return ends.groupBy("p", "q", "b").agg(F.collect_list("other").alias("others")).join(blocks.select("c", "b", "i", "o", "m", "centre", "reach"), "b")
+
+
 def _similar(items: DataFrame, least: float, *, corpus: str, item_id: str, order: str, vector: str, digits: int, size: int = BLOCK) -> DataFrame:
     """The same rows, and for each pair of blocks one with ``products`` only."""
     blocks = packed_by(items, corpus=corpus, item_id=item_id, order=order, vector=vector, size=size)
     kinds = {n: t for n, t in dict(blocks.dtypes).items()}
     wide = float(np.arccos(np.clip(least, -1, 1))) + SLACK
     # a hot corpus's blocks are spread over keys, each of which meets all of the corpus's blocks
-    keys = blocks.groupBy(F.col("c").alias("k")).agg(F.ceil(F.count("*") / TOGETHER).alias("keys"))
-    left = _summary(blocks, "x", "c").join(keys, F.col("x_c").eqNullSafe(F.col("k"))).withColumn("key", F.pmod(F.xxhash64("x_b"), F.col("keys"))).drop("k", "keys")
-    right = _summary(blocks, "y", "c").join(keys, F.col("y_c").eqNullSafe(F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("keys") - 1))).drop("k", "keys")
+    tiles = F.least(F.count("*"), F.greatest(F.lit(TILES), F.ceil(F.sum(F.length("m")) / TILE)))
+    keys = blocks.groupBy(F.col("c").alias("k")).agg(F.ceil(F.count("*") / TOGETHER).alias("keys"), tiles.alias("tiles"))
+    tile = lambda side: F.pmod(F.xxhash64(f"{side}_b", F.lit(1)), F.col("tiles")).alias(f"{side}_tile")
+    left = _summary(blocks, "x", "c").join(keys, F.col("x_c").eqNullSafe(F.col("k"))).withColumn("key", F.pmod(F.xxhash64("x_b"), F.col("keys"))).select("*", tile("x")).drop("k", "keys", "tiles")
+    right = _summary(blocks, "y", "c").join(keys, F.col("y_c").eqNullSafe(F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("keys") - 1))).select("*", tile("y")).drop("k", "keys", "tiles")
     near = left.join(right, F.col("x_c").eqNullSafe(F.col("y_c")) & (F.col("key") == F.col("other")) & (F.col("x_b") <= F.col("y_b")) & (_gap() <= wide if least > 0 else F.lit(True)))
-    columns = ("i", "o", "m", "centre", "reach")
-    both = near.select("x_b", "y_b").join(_whole(blocks, "x", "c", *columns), "x_b").join(_whole(blocks, "y", *columns), "y_b")
-    fields = [f"{s}_{c}" for s in "xy" for c in columns]
-
-    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                u, w = _matrix(r.x_m, len(r.x_i)), _matrix(r.y_m, len(r.y_i))
-                rows, cols = np.arange(len(u)), np.arange(len(w))
-                same = r.x_b == r.y_b
-                if least > 0 and not same:
-                    rows, cols = (np.flatnonzero(_angle(m @ np.asarray(centre)) - reach <= wide) for m, centre, reach in ((u, r.y_centre, r.y_reach), (w, r.x_centre, r.x_reach)))
-                s = u[rows] @ w[cols].T
-                ok = s >= least
-                i, j = np.nonzero(np.triu(ok, 1) if same else ok)
-                one, two = (np.asarray(ids)[at[k]] for ids, at, k in ((r.x_i, rows, i), (r.y_i, cols, j)))
-                ahead = np.asarray(r.x_o)[rows[i]] < np.asarray(r.y_o)[cols[j]]
-                count = (np.append(x, None) for x in (np.where(ahead, one, two), np.where(ahead, two, one), np.round(s[i, j], digits)))
-                yield pd.DataFrame(dict(zip(("a", "b", "similarity"), count)) | {"c": [r.x_c] * (len(i) + 1), "products": [None] * len(i) + [s.size]}, dtype=object)
-
+    sent = _sent(near, blocks)
+
+    def multiply(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, meet = {}, []
+        for batch in batches:
+            for r in range(batch.num_rows):
+                b, others, i, o, m, centre, reach = (batch.column(c)[r] for c in ("b", "others", "i", "o", "m", "centre", "reach"))
+                n = len(i.values)
+                there[b.as_py()] = i.values, o.values.to_numpy(zero_copy_only=False), np.frombuffer(m.as_buffer()).reshape(n, -1), centre.values.to_numpy(), reach.as_py()
+                meet += [(b.as_py(), other) for other in others.as_py()]
+        ready, rows_ready = [], 0
+        for x_b, y_b in sorted(meet):
+            (x_i, x_o, u, x_centre, x_reach), (y_i, y_o, w, y_centre, y_reach) = there[x_b], there[y_b]
+            rows, cols = np.arange(len(u)), np.arange(len(w))
+            same = x_b == y_b
+            if least > 0 and not same:
+                rows, cols = (np.flatnonzero(_angle(m @ centre) - reach <= wide) for m, centre, reach in ((u, y_centre, y_reach), (w, x_centre, x_reach)))
+            s = u[rows] @ w[cols].T
+            ok = s >= least
+            i, j = np.nonzero(np.triu(ok, 1) if same else ok)
+            one, two = rows[i], len(u) + cols[j]
+            ahead = x_o[one] < y_o[cols[j]]
+            ids = pa.concat_arrays([x_i, y_i])
+            made = [pa.repeat(key[0], len(i)), ids.take(pa.array(np.where(ahead, one, two))), ids.take(pa.array(np.where(ahead, two, one))), pa.array(np.round(s[i, j], digits)), pa.nulls(len(i), pa.int64())]
+            ready += [pa.RecordBatch.from_arrays(made, names=names), pa.RecordBatch.from_arrays([pa.repeat(key[0], 1), *(pa.nulls(1, x.type) for x in made[1:4]), pa.array([s.size])], names=names)]
+            rows_ready += len(i) + 1
+            if rows_ready >= OUT_ROWS:
+                yield pa.concat_batches(ready)
+                ready, rows_ready = [], 0
+        if ready:
+            yield pa.concat_batches(ready)
+
+    names = ["c", "a", "b", "similarity", "products"]
     item = kinds["i"][6:-1]
-    made = both.select("x_b", "y_b", "x_c", *fields).mapInPandas(multiply, f"c {kinds['c']}, a {item}, b {item}, similarity double, products bigint")
+    made = sent.groupBy("c", "p", "q").applyInArrow(multiply, f"c {kinds['c']}, a {item}, b {item}, similarity double, products bigint")
     return made.withColumnRenamed("c", corpus)

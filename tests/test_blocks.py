@@ -92,6 +92,31 @@ def test_far_vectors_are_not_multiplied(spark):
     assert 0 < products < 240 * 240 / 4
 
 
+def test_blocks_are_sent_by_tiles_not_by_pairs(spark, monkeypatch):
+    rng, sent, keep = np.random.default_rng(3), [], blocks._sent
+    monkeypatch.setattr(blocks, "_sent", lambda near, made: sent.append((near, made, keep(near, made))) or sent[-1][2])
+    items = table(spark, rng.normal(size=(1200, 16)))
+    got = {(r.a, r.b) for r in vectors.all_pairs(items, min_similarity=0.5, block=16).collect()}
+    near, made, rows = sent[0]
+    n = made.count()
+    assert near.count() == n * (n + 1) // 2  # nothing can be skipped
+    assert rows.count() <= n * blocks.TILES < near.count() / 4
+    u = unit(rng.__class__(np.random.PCG64(3)).normal(size=(1200, 16)))
+    assert got == {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.5, 1)))}
+
+
+def test_lsh_pairs_are_those_that_share_a_bucket(spark):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    m = unit(np.random.default_rng(5).normal(size=(300, 6)))
+    u = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id int, v array<double>").select("id", array_to_vector("v").alias("u"))
+    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=2 * 0.2**0.5, numHashTables=1, seed=7).fit(u)
+    plain = model.approxSimilarityJoin(u, u, 0.2**0.5, "d").filter("datasetA.id < datasetB.id").select("datasetA.id", "datasetB.id")
+    got = [(r.a, r.b) for r in vectors.similar_pairs_lsh(table(spark, m), min_similarity=0.9, tables=1).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in plain.collect()) and len(got) < int((np.triu(m @ m.T, 1) >= 0.9).sum())
+
+
 def test_blocks_without_usable_vectors(spark):
     kind = "corpus_id string, id int, seq int, embedding array<double>"
     odd = spark.createDataFrame([("c", 1, 1, None), ("c", 2, 2, []), ("c", 3, 3, [1.0, None]), ("c", 4, 4, [float("nan"), 1.0]), ("c", 5, 5, [float("inf"), 1.0])], kind)
