@@ -19,10 +19,13 @@ SPACE = r"[\s\p{Z}\x{FEFF}\x0B]"
 #: The same set for Python.
 PY_SPACE = "\t\n\x0b\x0c\r    -     　﻿"
 
+#: Latin-1 without marks that end a sentence, each by name: one look-up a character, where a class with other marks asks for each.
+_NO_MARK = "".join(rf"\x{{{c:x}}}" for c in range(256) if c not in b"\n\r\x85.!?")
 #: Unicode sentence boundaries (UAX #29) as one possessive pattern: runs up to a terminator with its closers and spaces, or a line end;
 #: decimals, initials, a lower-case or comma continuation don't end a sentence.
 SENTENCE = (
-    r"((?s)(?:[^\n\r\x{85}\x{2028}\x{2029}.!?…。．！？؟۔।]++|[.](?=\p{N})|(?<=[\p{Lu}\p{Ll}])[.](?=\p{Lu})"
+    rf"((?s)(?:[{_NO_MARK}]++|[\x{{100}}-\x{{5FF}}]++|[\x{{3040}}-\x{{D7FF}}]++|"
+    r"[^\n\r\x{85}\x{2028}\x{2029}.!?…。．！？؟۔।]++|[.](?=\p{N})|(?<=[\p{Lu}\p{Ll}])[.](?=\p{Lu})"
     r"|[.]+[\p{Pe}\p{Pf}\"']*\s*(?=[^\p{L}\n.!?]*\p{Ll})|[.!?…。．！？؟۔।]+[\p{Pe}\p{Pf}\"']*[ \t]*(?=[,:;\-，、]))*+"
     r"(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}]|[.!?…。．！？؟۔।]+[\p{Pe}\p{Pf}\"']*[ \t\x{A0}\x{3000}]*(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])?|$))"
 )

@@ -117,6 +117,11 @@ def chunk_notes(notes: DataFrame, *, note_id: str = "note_id", text_col: str = "
     return cut.mapInArrow(run, f"note_id {kind}, chunk_id string, ord int, text string, token_count int, span struct<start:int,end:int>, truncated boolean")
 
 
+def note_of(chunk_id: Column | str) -> Column:
+    """The note that a chunk_id names, as text."""
+    return F.regexp_replace(chunk_id, r"-c\d+$", "")
+
+
 def _words_prefix(text: Column, budget: int) -> Column:
     return F.regexp_extract(text, rf"(?s)^{T.SPACE}*(?:(?!{T.SPACE}).++{T.SPACE}*+){{0,{budget}}}".replace(".++", r"[^\s\p{Z}\x{FEFF}\x0B]++"), 0)
 

@@ -83,10 +83,12 @@ def rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five chunks of all documents nearest to each benchmark passage, with their notes."""
     docs = _documents(spark, sf_dir)
-    chunks = written(embed.embed(chunk.chunk_notes(docs)), "chunks")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), embed.embedding("text").alias("embedding"))
-    ranked = vectors.rank(asked, chunks, 5, item_id="chunk_id")
-    return vectors.with_context(ranked, chunks, docs).select("query_id", "rank", "chunk_id", "note_id", "chunk_text", F.length("note_text").alias("note_length"))
+    ranked = written(vectors.rank_few(asked, embed.embed(chunk.chunk_notes(docs)), 5, item_id="chunk_id"), "ranked")
+    # the notes of what was found are cut again, so the chunks of all others are never written
+    found = ranked.select(chunk.note_of("chunk_id").cast(docs.schema["note_id"].dataType).alias("note_id")).distinct()
+    notes = written(docs.join(found, "note_id", "left_semi"), "notes")
+    return vectors.with_context(ranked, chunk.chunk_notes(notes), notes).select("query_id", "rank", "chunk_id", "note_id", "chunk_text", F.length("note_text").alias("note_length"))
 
 
 @query("""

@@ -1,0 +1,72 @@
+"""Few queries against all items in one pass, and sentences by a pattern that decides most characters at once."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillspan.functions import text as T
+from quillspan.operators import blocks, vectors
+from quillspan.plans import catalogue
+from tests.test_blocks import clouds, hard, table, unit
+
+
+@pytest.mark.parametrize("m", [clouds(), hard()], ids=["clouds", "hard"])
+@pytest.mark.parametrize("together,k", [(1, 3), (50, 20), (1 << 22, 3)])
+def test_few_queries_equal_brute_force(spark, monkeypatch, m, together, k):
+    monkeypatch.setattr(vectors, "TOGETHER", together)
+    asked = m[::7]
+    q = table(spark, asked).select(F.col("id").alias("query_id"), "embedding")
+    named = table(spark, m).withColumn("id", F.format_string("é%03d", "id")).repartition(3)
+    got = {}
+    for r in vectors.rank_few(q, named, k).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = int(r.id[1:])
+    s = np.round(unit(asked) @ unit(m).T, 9)
+    for i in range(len(asked)):
+        assert [got[i][x + 1] for x in range(k)] == sorted(range(len(m)), key=lambda j: (-s[i, j], j))[:k]
+
+
+def test_few_queries_write_nothing_of_the_corpus(spark, monkeypatch):
+    names = []
+    keep = vectors.written
+    for module in (vectors, blocks):
+        monkeypatch.setattr(module, "written", lambda df, name: (names.append(name), keep(df, name))[1])
+    items = table(spark, hard())
+    q = items.limit(9).select(F.col("id").alias("query_id"), "embedding")
+    few = vectors.rank_few(q, items, 3).collect()
+    assert names == ["asked"]
+    many = vectors.rank_few(q, items, 3, most=8).collect()
+    assert "corpus" in names and sorted(few) == sorted(many)
+
+
+def test_few_queries_odd_inputs(spark):
+    kind = "corpus_id string, id int, seq int, embedding array<double>"
+    odd = spark.createDataFrame([("c", 1, 1, None), ("c", 2, 2, []), ("c", 3, 3, [1.0, None]), ("c", 4, 4, [float("nan"), 1.0])], kind)
+    some = odd.union(spark.createDataFrame([("c", 6, 6, [1.0, 0.0]), ("c", 7, 7, [1.0, 0.1]), ("c", 8, 8, [0.0, 0.0])], kind))
+    asked = lambda rows: rows.withColumnRenamed("id", "query_id")
+    assert vectors.rank_few(asked(odd), some, 3).count() == 0 and vectors.rank_few(asked(some), odd, 3).count() == 0
+    got = vectors.rank_few(asked(some), some, 5).collect()
+    assert sorted(tuple(r) for r in got) == [(6, 6, 1), (6, 7, 2), (6, 8, 3), (7, 6, 2), (7, 7, 1), (7, 8, 3), (8, 6, 1), (8, 7, 2), (8, 8, 3)]
+    with pytest.raises(Exception, match="unequal"):
+        vectors.rank_few(asked(some), spark.createDataFrame([("c", 1, 1, [1.0])], kind), 1).collect()
+
+
+def test_search_context_writes_no_chunk_that_is_not_found(spark, sf_dir, monkeypatch):
+    tables = {}
+    keep = catalogue.written
+    monkeypatch.setattr(catalogue, "written", lambda df, name: tables.setdefault(name, keep(df, name)))
+    rows = catalogue.search_context(spark, sf_dir).collect()
+    asked = catalogue.table(spark, sf_dir, "benchmark").count()
+    assert "chunks" not in tables and len(rows) == 5 * asked and tables["notes"].count() == len({r.note_id for r in rows})
+    assert all(r.chunk_id.startswith(f"{r.note_id}-c") and r.chunk_text for r in rows)
+
+
+def test_sentences_of_all_scripts_are_as_by_the_plain_class(spark):
+    plain = T.SENTENCE[: T.SENTENCE.index("[")] + T.SENTENCE[T.SENTENCE.index(r"[^\n\r") :]
+    rng = np.random.default_rng(5)
+    letters = list("aZ é\x00\x7f\x85ÿ\xa0\n\r\t\"'.,:;-!?…。．！？؟۔।)»1ĀЖ׿؀あ龥퟿  　𝒜😀")
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 60, 3000)] + ["Er kam. Dann 1.5 m. z.B. so. " * 50, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    by = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(1))
+    assert plain != T.SENTENCE and len(T.SENTENCE) > len(plain) + 1000
+    assert df.filter(~by(plain).eqNullSafe(by(T.SENTENCE))).count() == 0
+    assert df.filter(F.array_join(T.sentence_texts("t"), "") != F.col("t")).count() == 0
