@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +26,15 @@ _CRC = _CRC ^ _CRC[0]
 STEP = 1 << 18
 
 
-def _gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
-    """CRC-32 of the UTF-8 bytes of every run of ``n`` code points."""
-    crc = np.full(max(len(points) - n + 1, 0), 0xFFFFFFFF, np.uint32)
-    for k in range(n):
-        c = points[k : k + len(crc)]
-        before, crc = crc, _CRC[(crc ^ c) & 0xFF] ^ (crc >> 8)
-        at = np.flatnonzero(c >= 0x80)
+def _gram_hashes(points: np.ndarray, *sizes: int) -> Iterator[np.ndarray]:
+    """CRC-32 of the UTF-8 bytes of every run of so many code points, for each of the rising ``sizes``: a longer run's goes on from a shorter's."""
+    crc = np.full(len(points), 0xFFFFFFFF, np.uint32)
+    wide = bool(len(points)) and int(points.max()) >= 0x80
+    for k in range(max(sizes)):
+        c = points[k:]
+        before, crc = crc[: len(c)], crc[: len(c)]
+        crc = _CRC[(crc ^ c) & 0xFF] ^ (crc >> 8)
+        at = np.flatnonzero(c >= 0x80) if wide else ()
         if len(at):
             c, now = c[at], before[at]
             size = 2 + (c >= 0x800) + (c >= 0x10000)
@@ -41,7 +44,8 @@ def _gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
                 b = (c >> left) & 0x3F | 0x80 if byte else c >> left | lead
                 now = np.where(size > byte, _CRC[(now ^ b) & 0xFF] ^ (now >> 8), now)
             crc[at] = now
-    return crc ^ np.uint32(0xFFFFFFFF)
+        if k + 1 in sizes:
+            yield crc ^ np.uint32(0xFFFFFFFF)
 
 
 def hashing_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -56,18 +60,22 @@ def hashing_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarra
             stop += 1
         points = np.frombuffer("".join(padded[start:stop]).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.array([len(p) for p in padded[start:stop]])
-        row, ends = np.repeat(np.arange(stop - start) * dimensions, lengths), np.repeat(np.cumsum(lengths), lengths)
-        counts = np.zeros((stop - start) * dimensions)
-        for n in (3, 4):
-            h = _gram_hashes(points, n)
-            at = np.flatnonzero(np.arange(len(h)) + n <= ends[: len(h)])
-            h = h[at]
-            counts += np.bincount(row[at] + (h >> 1) % dimensions, np.where(h & 1, 1.0, -1.0), len(counts))
-        out[start:stop] = counts.reshape(-1, dimensions)
+        row, ends = np.repeat(np.arange(stop - start) * 2 * dimensions, lengths), np.repeat(np.cumsum(lengths), lengths)
+        counts = np.zeros((stop - start) * 2 * dimensions, int)
+        for n, h in zip((3, 4), _gram_hashes(points, 3, 4)):
+            inside = np.arange(n, len(h) + n) <= ends[: len(h)]
+            counts += np.bincount(row[: len(h)][inside] + h[inside] % (2 * dimensions), minlength=len(counts))
+        # the lowest bit is the sign
+        counts = counts.reshape(-1, dimensions, 2)
+        counts = (counts[..., 1] - counts[..., 0]).astype(float)
+        counts[[p.isspace() for p in padded[start:stop]]] = 0
+        squares, rows = (counts * counts).sum(axis=1), counts.astype(np.float32)
+        # up to 2^24 a sum of squares is exact in single precision too; of longer texts each norm is rounded on its own
+        norms = np.sqrt(squares.astype(np.float32))
+        for at in np.flatnonzero(squares >= 1 << 24):
+            norms[at] = np.linalg.norm(rows[at])
+        out[start:stop] = np.divide(rows, norms[:, None], out=np.zeros_like(rows), where=norms[:, None] > 0)
         start = stop
-    for row, text in zip(out, padded):
-        norm = float(np.linalg.norm(row)) if text.strip() else 0.0
-        row[:] = row / norm if norm else 0
     return out
 
 
@@ -76,10 +84,18 @@ def hashing_embedder(dimensions: int = DIMENSIONS) -> Callable[[], Callable[[np.
     return lambda: lambda texts: hashing_vectors([str(t) if t is not None else "" for t in np.ravel(texts).tolist()], dimensions)
 
 
+@F.arrow_udf(ArrayType(FloatType()))
+def _hashed(texts: pa.Array) -> pa.Array:
+    vectors = hashing_vectors(texts.to_pylist())
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * DIMENSIONS, pa.int32()), pa.array(vectors.ravel()))
+
+
 def embedding(text: Column | str, load: Callable | None = None, *, batch_size: int = 256) -> Column:
-    """The text's unit vector. ``load`` runs once for each Python worker."""
+    """The text's unit vector. ``load`` runs once for each Python worker; without it, texts are hashed."""
     # not deterministic to the optimizer, which would run the model again for each filter on its vectors
-    predict = predict_batch_udf(load or hashing_embedder(), return_type=ArrayType(FloatType()), batch_size=batch_size).asNondeterministic()
+    if load is None:
+        return _hashed.asNondeterministic()(text)
+    predict = predict_batch_udf(load, return_type=ArrayType(FloatType()), batch_size=batch_size).asNondeterministic()
     return predict(text)
 
 
