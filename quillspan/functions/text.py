@@ -116,12 +116,17 @@ _ODD_SPACE = re.compile("[\x1c-\x1f\x85\ufeff]")
 _SINGLE = re.compile("[\x00-\x0c\x0e-\u02ff]*")
 
 
+def _single(text: str) -> bool:
+    """Is each character a grapheme for certain? ASCII is told without a look at each."""
+    return "\r" not in text if text.isascii() else bool(_SINGLE.fullmatch(text))
+
+
 def split_graphemes(text: str) -> list[str]:
-    return list(text) if _SINGLE.fullmatch(text) else regex.findall(r"\X", text)
+    return list(text) if _single(text) else regex.findall(r"\X", text)
 
 
 def count_graphemes(text: str) -> int:
-    return len(text) if _SINGLE.fullmatch(text) else len(regex.findall(r"\X", text))
+    return len(text) if _single(text) else len(regex.findall(r"\X", text))
 
 
 def count_words(text: str) -> int:
