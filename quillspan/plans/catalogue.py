@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.functions import vec
-from quillspan.operators import admit, chunk, cluster, embed, evaluate, maps, project, scan, vectors
+from quillspan.operators import admit, chunk, cluster, embed, evaluate, maps, project, ranks, scan, vectors
 from quillspan.sources import models
 from quillspan.sources.shared import shared_dir, written
 from quillspan.streaming import notes, store
@@ -120,7 +120,7 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH p AS ({PAIRS}), c AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY similarity) - 1 AS below, count(*) OVER (PARTITION BY label, similarity) AS equal, count(*) OVER (PARTITION BY label) AS total FROM p)
 SELECT label, a, b, CASE WHEN total >= 10 THEN round((below + 0.5 * equal) / total * 100, 6) END AS percentile FROM c""")
 def pair_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vectors.pair_percentiles(vectors.all_pairs(_vectors(spark, sf_dir), digits=9))
+    found = ranks.pair_percentiles(_vectors(spark, sf_dir), digits=9)
     return found.select(F.col("corpus_id").alias("label"), "a", "b", F.round("percentile", 6).alias("percentile"))
 
 
