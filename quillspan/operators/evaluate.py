@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -145,6 +148,7 @@ def nfc_equivalence(pairs: DataFrame, *, least: float = 0.999, load=None) -> Dat
 
 
 FORMS = ("base", "crlf", "bom", "nfd")
+_LINE_END = re.compile("\r?\n")
 
 
 @F.pandas_udf(StringType())
@@ -166,20 +170,39 @@ def encoding_variants(notes: DataFrame, *, note_id: str = "note_id") -> DataFram
     return reduce(DataFrame.unionByName, [forms.select(note_id, F.lit(n).alias("variant"), F.col(n).alias("text")) for n in FORMS])
 
 
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(note_id, text): each note's different texts after all its ``FORMS`` were cleaned, named by the note and the variants that have it.
+
+    Texts become Python objects a few at a time and leave by ``SEND`` characters, so what a worker holds is its batch and little more.
+    """
+    clean = lambda t: unicodedata.normalize("NFC", t).removeprefix("\ufeff").replace("\r\n", "\n")
+    for batch in batches:
+        names, texts, size = [], [], 0
+        for row in range(batch.num_rows):
+            note, text = (batch.column(c)[row].as_py() for c in (0, 1))
+            if note is None or text is None:
+                continue
+            found: dict[str, list[str]] = {}
+            for variant, form in zip(FORMS, (text, _LINE_END.sub("\r\n", text), "\ufeff" + text, unicodedata.normalize("NFD", text))):
+                found.setdefault(clean(form), []).append(variant)
+            names += [f"{note}\0{','.join(variants)}" for variants in found.values()]
+            texts += found
+            size += sum(map(len, found))
+            if size > C.SEND:
+                yield pa.RecordBatch.from_pydict({"note_id": names, "text": texts})
+                names, texts, size = [], [], 0
+        if names:
+            yield pa.RecordBatch.from_pydict({"note_id": names, "text": texts})
+
+
 def encoding_invariance(notes: DataFrame, *, note_id: str = "note_id", least: float = 0.999, load=None, **options) -> DataFrame:
     """(note_id, variant, same_chunks, cosine, ok) against the note as it is.
 
     Texts are brought to one form (marks off, line ends alike, NFC) before they are cut, as imports do. Variants of a note that are one text by
     then are cut and embedded once; what is compared is the vectors, gathered by note.
     """
-    forms = _forms(notes.select(F.col(note_id).cast("string").alias("note_id"), "text"))
-    clean = lambda t: F.regexp_replace(F.regexp_replace(T.nfc(t), "^\ufeff", ""), "\r\n", "\n")
-    each = F.array(*[F.struct(F.lit(n).alias("variant"), F.col(n).alias("text")) for n in FORMS])
-    cleaned = forms.select("note_id", *[clean(n).alias(n) for n in FORMS]).select("note_id", each.alias("e"))
-    texts = cleaned.select("note_id", "e", F.explode(F.array_distinct(F.transform("e", lambda x: x["text"]))).alias("text"))
-    # named by the note and the variants that have this text
-    named = F.concat_ws("\0", "note_id", F.array_join(F.transform(F.filter("e", lambda x: x["text"].eqNullSafe(F.col("text"))), lambda x: x["variant"]), ","))
-    chunks = C.chunk_notes(texts.select(named.alias("note_id"), "text"), **options).withColumn("embedding", embedding("text", load))
+    texts = notes.select(F.col(note_id).cast("string").alias("note_id"), "text").mapInArrow(_cleaned, "note_id string, text string")
+    chunks = C.chunk_notes(texts, **options).withColumn("embedding", embedding("text", load))
     vectors = centroids(chunks, count="n_chunks")
     parts = F.split("note_id", "\0")
     held = vectors.select(parts[0].alias("note_id"), F.explode(F.split(parts[1], ",")).alias("variant"), "embedding", "n_chunks")

@@ -38,3 +38,20 @@ def test_encoding_invariance_embeds_each_text_once(spark, tmp_path):
     got = evaluate.encoding_invariance(notes, load=load).collect()
     assert sorted((r.note_id, r.variant) for r in got) == [(i, v) for i in "12" for v in ("bom", "crlf", "nfd")] and all(r.ok for r in got)
     assert len(open(f"{tmp_path}/seen").readlines()) == 2
+
+
+def test_encodings_are_cleaned_in_small_batches(spark):
+    """One pass of bounded batches cleans all forms; before, two functions over columns held a batch of each form."""
+    import pyarrow as pa
+
+    from quillspan.operators import chunk
+
+    texts = [f"é{i}\n" * 30_000 for i in range(60)] + [None, "﻿a\r\nb"]
+    batch = pa.RecordBatch.from_pydict({"note_id": [str(i) for i in range(62)], "text": texts})
+    made = list(evaluate._cleaned(iter([batch])))
+    rows = [r for b in made for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert [n.split("\0")[0] for n, _ in rows] == [str(i) for i in range(60)] + ["61", "61"]
+    assert rows[0] == ("0\0base,crlf,bom,nfd", texts[0]) and rows[-2:] == [("61\0base,crlf,nfd", "a\nb"), ("61\0bom", "﻿a\nb")]
+    assert len(made) > 1 and all(sum(map(len, b.column(1).to_pylist())) <= chunk.SEND + len(texts[0]) for b in made)
+    plan = evaluate.encoding_invariance(spark.createDataFrame([(1, "é")], "note_id int, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
